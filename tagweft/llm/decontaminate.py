@@ -36,12 +36,12 @@ from . import words
 
 @dataclass(frozen=True)
 class Settings:
-    threshold: float = 0.6
+    threshold: float = 0.7
     overlap: float = 0.8
     shingle: int = 5
     k1: float = 1.2
     b: float = 0.75
-    block: int = 16
+    block: int = 8
     part_items: int = 50_000
     part_words: int = 4_000_000
 
@@ -67,19 +67,27 @@ def shingles(part: list[bytes], size: int) -> set[tuple[bytes, ...]]:
 
 @dataclass
 class Index:
-    """Postings by term, in blocks of ``block`` items: (items, weights), each block's last item and largest weight."""
+    """Postings by term, ordered by item, and for each term its blocks of items with their largest weight.
+
+    A block is ``settings.block`` consecutive items. Terms that stand in over half
+    of many blocks are ``common``: their part of a bound is taken from the items,
+    whose common weights sum up to ``common_most`` in each block at most.
+    """
 
     settings: Settings
     ids: list = field(default_factory=list)
     items: list[list[bytes]] = field(default_factory=list)
     terms: dict[bytes, int] = field(default_factory=dict)
     postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    last: list[np.ndarray] = field(default_factory=list)
-    most: list[np.ndarray] = field(default_factory=list)
+    blocks: list[dict[int, tuple[int, int, float]]] = field(default_factory=list)  # block: postings from, to, largest weight
+    n_blocks: int = 0
     longest: int = 0
     hashes: np.ndarray | None = None  # of terms, sorted
     order: np.ndarray | None = None  # term number of each
-    bound: np.ndarray | None = None  # largest weight of each term
+    at: np.ndarray | None = None  # where the blocks of each rare term begin in the next two
+    block_no: np.ndarray | None = None
+    block_most: np.ndarray | None = None
+    common_most: np.ndarray | None = None
 
 
 def build(rows: list[tuple], settings: Settings, n_items: int | None = None, df: Counter | None = None, mean: float | None = None) -> Index:
@@ -103,86 +111,110 @@ def build(rows: list[tuple], settings: Settings, n_items: int | None = None, df:
         whole = sum(weight.values())
         for term, w in weight.items():
             lists[term].append((i, w / whole))
+    index.n_blocks = -(-len(index.items) // settings.block)
+    common_sum = np.zeros(len(index.items))
+    at, block_no, block_most = [0], [], []
     for term, found in lists.items():
         index.terms[term] = len(index.postings)
         who, w = np.array([i for i, _ in found]), np.array([x for _, x in found])
         index.postings.append((who, w))
-        edges = range(0, len(who), settings.block)
-        index.last.append(np.array([who[min(e + settings.block, len(who)) - 1] for e in edges]))
-        index.most.append(np.array([w[e : e + settings.block].max() for e in edges]))
+        no, first = np.unique(who // settings.block, return_index=True)
+        most, end = np.maximum.reduceat(w, first), [*first[1:], len(who)]
+        index.blocks.append({int(b): (int(f), int(e), float(m)) for b, f, e, m in zip(no, first, end, most)})
+        if len(no) > 4 and 2 * len(no) > index.n_blocks:
+            common_sum[who] += w
+        else:
+            block_no.append(no)
+            block_most.append(most)
+        at.append(at[-1] + (len(no) if not (len(no) > 4 and 2 * len(no) > index.n_blocks) else 0))
     if index.terms:
-        text = b" ".join(index.terms)
-        data = np.frombuffer(text, np.uint8)
+        data = np.frombuffer(b" ".join(index.terms), np.uint8)
         hashed = words.word_hashes(words.split(data, np.array([0, len(data)])))
         index.order = np.argsort(hashed)
         index.hashes = hashed[index.order]
-        index.bound = np.array([m.max() for m in index.most])
+        index.at = np.array(at)
+        index.block_no = np.concatenate([*block_no, np.zeros(0, np.int64)]).astype(np.int64)
+        index.block_most = np.concatenate([*block_most, np.zeros(0)])
+        index.common_most = np.maximum.reduceat(common_sum, np.arange(0, len(common_sum), settings.block))
     return index
 
 
-def wand(index: Index, query: list[int]) -> list[tuple[int, float]]:
-    """All (item, score) at the threshold or above for a set of term numbers, by block-max WAND."""
+def wand(index: Index, query: list[int], block: int) -> list[tuple[int, float]]:
+    """All (item, score) of a block at the threshold or above for a set of term numbers."""
     need = index.settings.threshold - 1e-9
-    block = index.settings.block
-    lists = [[t, 0] for t in query]  # term, place in its postings
-    out = []
+    lists = []  # place, end, bound, items, weights
+    for t in query:
+        part = index.blocks[t].get(block)
+        if part:
+            lists.append([part[0], part[1], part[2], *index.postings[t]])
+    out: list[tuple[int, float]] = []
+    if sum(x[2] for x in lists) < need:
+        return out
     while True:
-        lists = [x for x in lists if x[1] < len(index.postings[x[0]][0])]
-        lists.sort(key=lambda x: index.postings[x[0]][0][x[1]])
+        lists = [x for x in lists if x[0] < x[1]]
+        lists.sort(key=lambda x: x[3][x[0]])
         total, pivot = 0.0, -1
-        for k, (t, _) in enumerate(lists):
-            total += index.bound[t]
+        for k, x in enumerate(lists):
+            total += x[2]
             if total >= need:
                 pivot = k
                 break
         if pivot < 0:
             return out
-        item = index.postings[lists[pivot][0]][0][lists[pivot][1]]
-        while pivot + 1 < len(lists) and index.postings[lists[pivot + 1][0]][0][lists[pivot + 1][1]] == item:
-            pivot += 1
-        blocks = [int(np.searchsorted(index.last[t], item)) for t, _ in lists[: pivot + 1]]
-        if sum(index.most[t][b] for (t, _), b in zip(lists, blocks) if b < len(index.most[t])) < need:
-            # no item up to the nearest block end can reach the threshold
-            ends = [index.last[t][b] for (t, _), b in zip(lists, blocks) if b < len(index.last[t])]
-            to = min([*ends, *([index.postings[lists[pivot + 1][0]][0][lists[pivot + 1][1]] - 1] if pivot + 1 < len(lists) else [])], default=item) + 1
-            to = max(to, item + 1)
-            for x in lists[: pivot + 1]:
-                x[1] = max(x[1], int(np.searchsorted(index.postings[x[0]][0], to)))
-        elif index.postings[lists[0][0]][0][lists[0][1]] == item:
+        item = lists[pivot][3][lists[pivot][0]]
+        if lists[0][3][lists[0][0]] == item:
             score = 0.0
-            for x in lists[: pivot + 1]:
-                score += index.postings[x[0]][1][x[1]]
-                x[1] += 1
+            for x in lists:
+                if x[3][x[0]] != item:
+                    break
+                score += x[4][x[0]]
+                x[0] += 1
             if score >= need:
                 out.append((int(item), float(score)))
         else:
             for x in lists[:pivot]:
-                first = (x[1] // block) * block
-                x[1] = max(x[1], first + int(np.searchsorted(index.postings[x[0]][0][first:], item)))
+                x[0] += int(np.searchsorted(x[3][x[0] : x[1]], item))
+
 
+def passages(block: words.Block, index: Index) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(text, first word, end, item blocks) of the passages whose bound reaches the threshold in some block.
 
-def passages(block: words.Block, index: Index) -> Iterator[tuple[int, int, int]]:
-    """(text, first word, end) of the passages whose bound reaches the threshold, in words of ``block``."""
+    The bounds of all passages and item blocks are added up at once: a passage is
+    two neighbouring segments of the longest item's words.
+    """
     hashed = words.word_hashes(block)
     place = np.minimum(np.searchsorted(index.hashes, hashed), len(index.hashes) - 1)
-    value = np.where(index.hashes[place] == hashed, index.bound[index.order[place]], 0.0)
-    total = np.zeros(len(value) + 1)
-    np.cumsum(value, out=total[1:])
+    hit = np.flatnonzero(index.hashes[place] == hashed)
+    if not len(hit):
+        return
+    term = index.order[place[hit]]
     counts, step = block.counts(), index.longest
-    n = np.where(counts > 0, np.maximum(1, -(-(counts - step) // step)), 0)
+    n = -(-counts // step)  # segments of each text
     at = np.cumsum(n) - n
-    doc = np.repeat(np.arange(len(counts)), n)
-    first = block.bounds[:-1][doc] + (np.arange(len(doc)) - at[doc]) * step
-    end = np.minimum(first + 2 * step, block.bounds[1:][doc])
-    for k in np.flatnonzero(total[end] - total[first] >= index.settings.threshold - 1e-6):
-        yield int(doc[k]), int(first[k]), int(end[k])
-
-
-def leaks(index: Index, passage: list[bytes]) -> Iterator[tuple[int, float, float, float]]:
-    """(item, score, question overlap, answer overlap) of the items that a passage holds."""
+    doc = np.repeat(np.arange(len(counts)), counts)[hit]
+    segment = at[doc] + (hit - block.bounds[:-1][doc]) // step
+    size = index.at[term + 1] - index.at[term]
+    from_ = np.repeat(index.at[term], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    key = np.repeat(segment, size) * index.n_blocks + index.block_no[from_]
+    total = np.bincount(key, index.block_most[from_], int(n.sum()) * index.n_blocks).reshape(-1, index.n_blocks)
+    owner = np.repeat(np.arange(len(counts)), n)
+    bound = total.copy()
+    if len(total) > 1:
+        bound[:-1] += total[1:] * (owner[1:] == owner[:-1])[:, None]
+    bound += index.common_most
+    within = np.arange(len(owner)) - at[owner]
+    reached = (bound >= index.settings.threshold - 1e-6) & ((within == 0) | (within < n[owner] - 1))[:, None]
+    for k in np.flatnonzero(reached.any(axis=1)):
+        d = owner[k]
+        first = block.bounds[d] + within[k] * step
+        yield int(d), int(first), int(min(first + 2 * step, block.bounds[d + 1])), np.flatnonzero(reached[k])
+
+
+def leaks(index: Index, passage: list[bytes], item_blocks: np.ndarray) -> Iterator[tuple[int, float, float, float]]:
+    """(item, score, question overlap, answer overlap) of the items in some blocks that a passage holds."""
     s = index.settings
     known = sorted({index.terms[t] for t in set(passage) if t in index.terms})
-    for item, score in wand(index, known):
+    for item, score in (x for b in item_blocks for x in wand(index, known, int(b))):
         shares = []
         for part in parts_of(index.items[item]):
             want = shingles(part, s.shingle)
@@ -200,13 +232,14 @@ def _found(column: pa.Array, index: Index) -> Iterator[tuple[int, int, float, fl
     data, at = words.text_buffers(column)
     table = np.where(_IN_WORD, np.arange(256), 32).astype(np.uint8)
     row, rows = 0, len(at) - 1
+    size = max(1 << 16, min(words.BLOCK_BYTES, (4 << 20) // index.n_blocks * index.longest * 6))  # bounds the passages' table
     while row < rows:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + words.BLOCK_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
         block = words.split(table[data[at[row] : at[end]]], at[row : end + 1] - at[row])
         best: dict[tuple[int, int], tuple] = {}
-        for doc, first, stop in passages(block, index):
+        for doc, first, stop, item_blocks in passages(block, index):
             got = block.data[block.starts[first] : block.ends[stop - 1]].tobytes().split()
-            for item, *values in leaks(index, got):
+            for item, *values in leaks(index, got, item_blocks):
                 key = (row + doc, item)
                 if key not in best or values[0] > best[key][0]:
                     best[key] = (*values, first - int(block.bounds[doc]))
