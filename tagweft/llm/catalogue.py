@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, packing, quality, simhash
+from . import chat, decontaminate, exact_dedup, packing, pii, quality, simhash, site_tree, substrings
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key="demonstration key").select("doc_id", "text", "n_pseudonyms")
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), RANKS, PATTERN).drop("ids")
 
@@ -34,6 +38,14 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_window_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
+def op7_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extracted(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = simhash.groups(table(spark, sf_dir, "documents"))
     return marks.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,7 +59,7 @@ def op10_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents")).drop("row_no")
 
 
-QUERIES = {f.__name__: f for f in (op2_harmonic_packing, op3_prefix_targets, op4_quality_classifier, op8_simhash_vp, op9_benchmark_wand, op10_extendible_dedup)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_prefix_targets, op4_quality_classifier, op6_window_doubling, op7_site_style_tree, op8_simhash_vp, op9_benchmark_wand, op10_extendible_dedup)}
 
 OP3_SQL = r"""
 WITH turns AS (
