@@ -6,13 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, packing, pii, quality, simhash, site_tree, substrings
+from . import chat, decontaminate, exact_dedup, language_model, packing, pii, quality, simhash, site_tree, substrings
+from .shared import ship
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +40,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+
+
 def op6_window_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(table(spark, sf_dir, "documents"))
 
@@ -59,7 +65,7 @@ def op10_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents")).drop("row_no")
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_prefix_targets, op4_quality_classifier, op6_window_doubling, op7_site_style_tree, op8_simhash_vp, op9_benchmark_wand, op10_extendible_dedup)}
+QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_prefix_targets, op4_quality_classifier, op5_attention_scores, op6_window_doubling, op7_site_style_tree, op8_simhash_vp, op9_benchmark_wand, op10_extendible_dedup)}
 
 OP3_SQL = r"""
 WITH turns AS (
