@@ -142,8 +142,8 @@ def position_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scaffold_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.scaffold_reads(spark, sf_dir).repartition("read_key")
-    start, barcode = scaffold.anchored_barcode(F.col("read2"), derived.SCAFFOLD, derived.FEATURE, 2)
-    return rows.select("read_key", "line_no", start.alias("start"), barcode.alias("feature_barcode"))
+    found = scaffold.anchored(rows, derived.SCAFFOLD, derived.FEATURE, 2)
+    return found.select("read_key", "line_no", "start", "feature_barcode")
 
 
 def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

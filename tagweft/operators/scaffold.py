@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUDGET = 2
@@ -54,8 +54,12 @@ def locate(read: Column, scaffold: str, start: Column | int, end: Column) -> Col
     return F.aggregate(costs, begin, step, lambda x: F.when(x["at"] <= end, x["at"]))
 
 
-def anchored_barcode(read2: Column, scaffold: str, length: int, max_mismatch: int) -> tuple[Column, Column]:
-    """PRJ5: (scaffold start, feature barcode): the ``length`` bases before the scaffold, filled up with N on the left; null if there is none."""
-    start = locate(read2, scaffold, length - max_mismatch, F.length(read2) - (len(scaffold) - BUDGET))
-    before = F.substring(read2, F.greatest(start - length, F.lit(0)) + 1, F.least(start, F.lit(length)))
-    return start, F.when(start.isNotNull(), F.lpad(before, length, "N"))
+def anchored(reads: DataFrame, scaffold: str, length: int, max_mismatch: int) -> DataFrame:
+    """PRJ5: ``reads`` with the scaffold's start in read2 and the ``length`` bases before it, filled up with N on the left.
+
+    Both are null where there is no scaffold. The search is a column of its own, so it is made once a read.
+    """
+    end = F.length("read2") - (len(scaffold) - BUDGET)
+    found = reads.withColumn("start", locate(F.col("read2"), scaffold, length - max_mismatch, end))
+    before = F.substring("read2", F.greatest(F.col("start") - length, F.lit(0)) + 1, F.least("start", F.lit(length)))
+    return found.withColumn("feature_barcode", F.when(F.col("start").isNotNull(), F.lpad(before, length, "N")))

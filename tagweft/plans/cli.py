@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chemistry, molecules
-from ..operators.scaffold import anchored_barcode
+from ..operators.scaffold import anchored
 from ..sinks import tables
 from ..sources import fastq, lists
 from . import run as plan
@@ -72,10 +72,11 @@ def main(argv: list[str] | None = None) -> None:
     cells = lists.cell_list(spark, f"{args.cell_lists}/{chemistry.LISTS[found.name]}")
     cell_length = cells.select(F.length("barcode")).first()[0]
     layout = molecules.Layout(cell_length, found.umi_length, length, max(found.feature_start, 0), found.cell_mismatch, args.max_mismatch_feature)
-    anchored = args.feature_type == "crispr" and args.scaffold_sequence
-    feature = anchored_barcode(F.col("read2"), args.scaffold_sequence, length, args.max_mismatch_feature)[1] if anchored else None
     options = plan.Options(args.umi_correct_method, args.umi_count_cutoff, args.read_ratio_cutoff, args.genome)
     spread = reads.select("read1", "read2").repartition(spark.sparkContext.defaultParallelism * 4)
+    feature = None
+    if args.feature_type == "crispr" and args.scaffold_sequence:
+        spread, feature = anchored(spread, args.scaffold_sequence, length, args.max_mismatch_feature), F.col("feature_barcode")
     result = plan.run(spread, cells, features, layout, options, feature)
     tables.write_molecules(result.molecules, f"{args.output}/molecules")
     for step in ("raw", "umi_correct", "chimeric_filtered"):
