@@ -42,7 +42,7 @@ from .shared import stored
 
 @dataclass(frozen=True)
 class Settings:
-    shard_bytes: int = 8 << 20
+    shard_bytes: int = 4 << 20
     bucket_words: int = 1_500_000
     pairs: int = 1 << 20
     sample_shards: int = 12

@@ -119,10 +119,18 @@ def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return (total[ends] - total[starts]) * down[np.minimum(starts, len(down) - 1)]
 
 
-def word_hashes(block: Block) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    h = span_sums(block.data.astype(np.uint64) + np.uint64(1), block.starts, block.ends)
-    return mix(h + (block.ends - block.starts).astype(np.uint64))
+def word_hashes(block: Block, part: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, made over parts of the block at a time."""
+    out = np.empty(len(block.starts), np.uint64)
+    first = 0
+    while first < len(out):
+        low = block.starts[first]
+        last = max(first + 1, int(np.searchsorted(block.ends, low + part, "right")))
+        starts, ends = block.starts[first:last] - low, block.ends[first:last] - low
+        out[first:last] = span_sums(block.data[low : low + ends[-1]].astype(np.uint64) + np.uint64(1), starts, ends)
+        out[first:last] += (ends - starts).astype(np.uint64)
+        first = last
+    return mix(out)
 
 
 def joined(block: Block) -> tuple[bytes, np.ndarray, np.ndarray]:
