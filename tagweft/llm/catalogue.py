@@ -91,4 +91,14 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM n WINDOW w AS (PARTITION BY body)
 """
 
-ORACLE_SQL = {"op3_prefix_targets": OP3_SQL, "op10_extendible_dedup": OP10_SQL}
+OP6_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+lost AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (k) WHERE m < doc_id),
+words AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN lost USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL = {"op6_window_doubling": OP6_SQL, "op3_prefix_targets": OP3_SQL, "op10_extendible_dedup": OP10_SQL}

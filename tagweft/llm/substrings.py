@@ -12,9 +12,8 @@ repeat in another document alone are extended to twice the length, that is, to a
 full windows around them. With ``grow``, windows that repeat are doubled further,
 level by level, until none survives, which tells how far each repeat reaches.
 
-Windows are compared by two independent 64-bit hashes. Null text has no words; a
-null id is never smaller than another, so its windows are compared with all others
-but prove nothing to them. Rows with the same id do not remove each other's words.
+Windows are compared by two independent 64-bit hashes. Ids are integers. Null text
+has no words; a null id is larger than all others, so it proves nothing to them. Rows with the same id do not remove each other's words.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -92,17 +91,19 @@ def documents_table(documents: DataFrame, length: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, n_words long, sha string, at array<int>, anchor array<long>")
 
 
-def _rank(column: str = "doc_id"):
-    """Orders ids with null last."""
-    return F.struct(F.col(column).isNull().alias("none"), F.col(column).alias("id"))
+LAST = 2**63 - 1
+
+
+def _rank() -> Column:
+    """The id as a number, with null last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
 
 
 def windows(candidates: DataFrame, length: int, reach: int) -> DataFrame:
-    """(doc_id, sha, start, h1, h2) of all windows of ``length`` words around the places of each candidate.
+    """(row_no, rank, start, h1, h2) of all windows of ``length`` words around the places of each candidate.
 
-    ``candidates`` has doc_id, sha, text and places; a window starts up to ``reach`` words before a place.
+    ``candidates`` has row_no, rank, text and places; a window starts up to ``reach`` words before a place.
     """
-    kind = candidates.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,44 +118,52 @@ def windows(candidates: DataFrame, length: int, reach: int) -> DataFrame:
                     own = np.flatnonzero(np.cumsum(wanted)[: max(0, n - length + 1)] > 0)
                     starts.append(own + block.bounds[i])
                     rows.append(np.full(len(own), i))
-                start, row = np.concatenate([*starts, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+                start, row = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (starts, rows))
                 h1, h2 = window_hashes(words.word_hashes(block), start, length)
                 take = pa.array(row + block.first)
                 yield pa.record_batch(
-                    [batch.column("doc_id").take(take), batch.column("sha").take(take), pa.array((start - block.bounds[row]).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                    names=["doc_id", "sha", "start", "h1", "h2"],
+                    [batch.column("row_no").take(take), batch.column("rank").take(take), pa.array((start - block.bounds[row]).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                    names=["row_no", "rank", "start", "h1", "h2"],
                 )
 
-    return candidates.select("doc_id", "sha", "text", "places").mapInArrow(make, f"doc_id {kind}, sha string, start int, h1 long, h2 long")
+    return candidates.select("row_no", "rank", "text", "places").mapInArrow(make, "row_no long, rank long, start int, h1 long, h2 long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """The windows that stand in two documents or more: doc_id, sha, start, and ``lost`` if one has a smaller id."""
-    first = found.groupBy("h1", "h2").agg(F.min(_rank()).alias("first"), F.max(_rank()).alias("last")).where("first < last").drop("last")
-    return found.join(first, ["h1", "h2"]).select("doc_id", "sha", "start", (F.col("first") < _rank()).alias("lost"))
-
+    """The windows that stand in two documents or more: row_no, rank, start, and ``lost`` if one has a smaller id.
 
-def _representatives(table: DataFrame) -> DataFrame:
-    """Equal word sequences as one row: sha, the smallest id."""
-    return table.groupBy("sha").agg(F.min(_rank()).alias("keeper"))
+    The repeats are written first: both sides of the join are then plain tables,
+    and Spark can split a passage that very many documents share.
+    """
+    first = found.groupBy("h1", "h2").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first < last").drop("last")
+    return found.join(stored(first, "substr-first"), ["h1", "h2"]).select("row_no", "rank", "start", (F.col("first") < F.col("rank")).alias("lost"))
 
 
 def candidate_places(table: DataFrame) -> DataFrame:
-    """(doc_id, sha, places): the picked half windows that stand in more than one document."""
-    marks = table.select("doc_id", "sha", F.explode(F.arrays_zip("at", "anchor")).alias("z")).select("doc_id", "sha", F.col("z.at").alias("at"), F.col("z.anchor").alias("anchor"))
-    shared = marks.groupBy("anchor").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a < b").select("anchor")
-    return marks.join(shared, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("at").alias("places"))
+    """(sha, places): the picked half windows that stand in more than one word sequence."""
+    mark = F.xxhash64("sha")
+    marks = table.select("sha", mark.alias("mark"), F.explode(F.arrays_zip("at", "anchor")).alias("z")).select("sha", "mark", F.col("z.at").alias("at"), F.col("z.anchor").alias("anchor"))
+    shared = stored(marks.groupBy("anchor").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a < b").select("anchor"), "substr-anchors")
+    return marks.join(shared, "anchor").groupBy("sha").agg(F.collect_set("at").alias("places"))
+
 
+def search(documents: DataFrame, length: int = 50, broadcast_ids: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table of documents with their keepers, the candidates with texts, and the repeated windows.
 
-def search(documents: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The table of documents with their keepers, the candidates with texts, and the repeated windows."""
+    Candidates' texts are found by id. If a count finds ``broadcast_ids`` candidates
+    or fewer, their ids are broadcast, so that other texts are not shuffled.
+    """
     table = stored(documents_table(documents, length), "substr-documents")
-    keepers = stored(_representatives(table), "substr-keepers")
+    keepers = stored(table.groupBy("sha").agg(F.min(_rank()).alias("keeper")), "substr-keepers")
     known = table.join(keepers, "sha")
-    own = known.where(_rank() == F.col("keeper")).dropDuplicates(["sha"])
-    places = stored(candidate_places(own.where(F.size("anchor") > 0)), "substr-places")
-    texts = documents.select("doc_id", "text").join(places.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    candidates = stored(texts.where(F.col("sha") == words_sha(F.col("text"))), "substr-candidates")
+    own = known.where(_rank() == F.col("keeper")).where(F.size("anchor") > 0).groupBy("sha").agg(F.first("keeper").alias("rank"), F.first("at").alias("at"), F.first("anchor").alias("anchor"))
+    own = stored(own, "substr-own")
+    places = stored(candidate_places(own).join(own.select("sha", "rank"), "sha"), "substr-places")
+    texts = documents.select(_rank().alias("rank"), "text")
+    if places.count() <= broadcast_ids:
+        texts = texts.join(F.broadcast(places.select("rank").distinct()), "rank", "left_semi")
+    texts = texts.join(places, "rank").where(F.col("sha") == words_sha(F.col("text")))
+    candidates = stored(texts.withColumn("row_no", F.monotonically_increasing_id()), "substr-candidates")
     found = stored(windows(candidates, length, length - length // 2), "substr-windows")
     return known.drop("at", "anchor"), candidates, stored(repeated(found), "substr-repeated")
 
@@ -165,25 +174,25 @@ def words_sha(text):
 
 
 def grown(candidates: DataFrame, found: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, sha, start, words): each repeated window with the longest level at which it still repeats.
+    """(row_no, rank, start, words): each repeated window with the longest level at which it still repeats.
 
     Windows that repeat at one length alone are doubled, until no candidates survive.
     """
     best, level, now = found.withColumn("words", F.lit(length)), length, found
     while not now.isEmpty():
-        places = now.groupBy("sha").agg(F.collect_set("start").alias("places"))
+        places = now.groupBy("row_no").agg(F.collect_set("start").alias("places"))
         level *= 2
-        longer = windows(candidates.drop("places").join(places, "sha"), level, 0)
+        longer = windows(candidates.drop("places").join(places, "row_no"), level, 0)
         now = stored(repeated(stored(longer, "substr-level")), "substr-level-repeated")
         best = best.union(now.withColumn("words", F.lit(level)))
-    return best.groupBy("doc_id", "sha", "start").agg(F.max("words").alias("words"))
+    return best.groupBy("row_no", "rank", "start").agg(F.max("words").alias("words"))
 
 
 def removed(documents: DataFrame, length: int = 50) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     known, candidates, found = search(documents, length)
-    starts = found.where("lost").groupBy("sha").agg(F.collect_set("start").alias("starts"))
-    cut = candidates.select("sha", "text").join(starts, "sha")
+    starts = found.where("lost").groupBy("row_no").agg(F.collect_set("start").alias("starts"))
+    cut = candidates.select("row_no", "sha", "text").join(starts, "row_no").drop("row_no")
 
     def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -199,12 +208,10 @@ def removed(documents: DataFrame, length: int = 50) -> DataFrame:
                 out.append((sha, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pd.DataFrame(out, columns=["sha", "lost", "left"])
 
-    changed = cut.mapInPandas(trim, "sha string, lost long, left string")
-    changed = stored(changed.dropDuplicates(["sha"]), "substr-changed")
+    changed = stored(cut.mapInPandas(trim, "sha string, lost long, left string").dropDuplicates(["sha"]), "substr-changed")
     first = _rank() == F.col("keeper")
     whole = F.col("n_words") >= length
-    all_ = known.join(changed, "sha", "left")
-    return all_.select(
+    return known.join(changed, "sha", "left").select(
         "doc_id",
         "n_words",
         F.when(first, F.coalesce("lost", F.lit(0))).when(whole, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
