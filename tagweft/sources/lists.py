@@ -14,7 +14,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     A byte order mark on the first line goes. A line splits at its first comma or
     tab; without one, the name is the barcode. There is no header.
     """
-    line = F.when(F.col("line_no") == 0, F.regexp_replace("line", "^(﻿|￾|��)", "")).otherwise(F.col("line"))
+    line = F.when(F.col("line_no") == 0, F.regexp_replace("line", "^(\\uFEFF|\\uFFFD\\uFFFD)", "")).otherwise(F.col("line"))
     split = F.split(line, "[,\t]", 2)
     barcode = trim_space(F.get(split, F.lit(0)))
     name = F.when(F.size(split) > 1, trim_space(F.get(split, F.lit(1)))).otherwise(barcode)
