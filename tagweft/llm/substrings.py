@@ -147,8 +147,8 @@ def candidate_places(table: DataFrame) -> DataFrame:
     return marks.join(shared, "anchor").groupBy("sha").agg(F.collect_set("at").alias("places"))
 
 
-def search(documents: DataFrame, length: int = 50, broadcast_ids: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The table of documents with their keepers, the candidates with texts, and the repeated windows.
+def search(documents: DataFrame, length: int = 50, broadcast_ids: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The table of documents, each word sequence's keeper, the candidates with texts, and the repeated windows.
 
     Candidates' texts are found by id. If a count finds ``broadcast_ids`` candidates
     or fewer, their ids are broadcast, so that other texts are not shuffled.
@@ -165,7 +165,7 @@ def search(documents: DataFrame, length: int = 50, broadcast_ids: int = 200_000)
     texts = texts.join(places, "rank").where(F.col("sha") == words_sha(F.col("text")))
     candidates = stored(texts.withColumn("row_no", F.monotonically_increasing_id()), "substr-candidates")
     found = stored(windows(candidates, length, length - length // 2), "substr-windows")
-    return known.drop("at", "anchor"), candidates, stored(repeated(found), "substr-repeated")
+    return table.select("doc_id", "n_words", "sha"), keepers, candidates, stored(repeated(found), "substr-repeated")
 
 
 def words_sha(text):
@@ -190,7 +190,7 @@ def grown(candidates: DataFrame, found: DataFrame, length: int = 50) -> DataFram
 
 def removed(documents: DataFrame, length: int = 50) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    known, candidates, found = search(documents, length)
+    table, keepers, candidates, found = search(documents, length)
     starts = found.where("lost").groupBy("row_no").agg(F.collect_set("start").alias("starts"))
     cut = candidates.select("row_no", "sha", "text").join(starts, "row_no").drop("row_no")
 
@@ -208,10 +208,11 @@ def removed(documents: DataFrame, length: int = 50) -> DataFrame:
                 out.append((sha, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pd.DataFrame(out, columns=["sha", "lost", "left"])
 
-    changed = stored(cut.mapInPandas(trim, "sha string, lost long, left string").dropDuplicates(["sha"]), "substr-changed")
+    changed = cut.mapInPandas(trim, "sha string, lost long, left string").dropDuplicates(["sha"])
+    known = stored(keepers.join(changed, "sha", "left"), "substr-known")
     first = _rank() == F.col("keeper")
     whole = F.col("n_words") >= length
-    return known.join(changed, "sha", "left").select(
+    return table.join(known, "sha").select(
         "doc_id",
         "n_words",
         F.when(first, F.coalesce("lost", F.lit(0))).when(whole, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
