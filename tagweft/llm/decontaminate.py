@@ -196,7 +196,7 @@ def passages(block: words.Block, index: Index) -> Iterator[tuple[int, int, int,
     size = index.at[term + 1] - index.at[term]
     from_ = np.repeat(index.at[term], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     key = np.repeat(segment, size) * index.n_blocks + index.block_no[from_]
-    total = np.bincount(key, index.block_most[from_], int(n.sum()) * index.n_blocks).reshape(-1, index.n_blocks)
+    total = np.bincount(key, index.block_most[from_], int(n.sum()) * index.n_blocks).astype(np.float64).reshape(-1, index.n_blocks)
     owner = np.repeat(np.arange(len(counts)), n)
     bound = total.copy()
     if len(total) > 1:
