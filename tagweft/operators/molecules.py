@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import strict_substr
+from ..storage import stored
 from . import nearest
 
 
@@ -30,11 +31,13 @@ def pieces(reads: DataFrame, layout: Layout, feature: Column | None = None) -> D
 
 
 def assigned(parts: DataFrame, cells: DataFrame, features: DataFrame, layout: Layout, exact: bool = False) -> DataFrame:
-    """Every read with cell_id, feature_id (null: no valid match) and category.
+    """Reads with cell_id, feature_id (null: no valid match) and category; ``n`` reads that are alike are one row.
 
-    ``cells`` has id and barcode, ``features`` also category. Matching works on
-    distinct barcodes; one join each brings the ids back to the reads.
+    ``cells`` has id and barcode, ``features`` also category. Alike reads are
+    combined on the map side and stored once, so the source is read and parsed once;
+    matching works on distinct barcodes, and one join each brings the ids back.
     """
+    parts = stored(parts.groupBy("cell_barcode", "feature_barcode", "read1").agg(F.count("*").alias("n")), "reads")
     c = nearest.match(parts.select(F.col("cell_barcode").alias("barcode")), cells, layout.cell_length, 0 if exact else layout.cell_mismatch)
     f = nearest.match(parts.where("feature_barcode IS NOT NULL").select(F.col("feature_barcode").alias("barcode")), features, layout.feature_length, 0 if exact else layout.feature_mismatch)
     f = f.join(features.select("id", "category"), "id")
@@ -59,17 +62,21 @@ def molecules(reads: DataFrame, layout: Layout, umi_length: int | None = None) -
     """AGG1: (category, cell_id, feature_id, umi, reads); an upper-case N drops the read, before upper-casing."""
     umi = umi_of(F.col("read1"), layout, umi_length)
     valid = reads.where(F.col("cell_id").isNotNull() & F.col("feature_id").isNotNull() & ~F.contains(umi, F.lit("N")))
-    return valid.groupBy("category", "cell_id", "feature_id", F.upper(umi).alias("umi")).agg(F.count("*").alias("reads"))
+    return valid.groupBy("category", "cell_id", "feature_id", F.upper(umi).alias("umi")).agg(F.sum("n").alias("reads"))
 
 
 def counters(reads: DataFrame, layout: Layout, umi_length: int | None = None) -> DataFrame:
     """AGG3: one row of counts, in one pass."""
     cell, feature = F.col("cell_id").isNotNull(), F.col("feature_id").isNotNull()
     umi = ~F.contains(umi_of(F.col("read1"), layout, umi_length), F.lit("N"))
+
+    def total(which: Column) -> Column:
+        return F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)).cast("bigint")
+
     return reads.agg(
-        F.count("*").alias("n_reads"),
-        F.count_if(cell).alias("n_valid_cell"),
-        F.count_if(feature).alias("n_valid_feature"),
-        F.count_if(cell & feature).alias("n_valid"),
-        F.count_if(cell & feature & umi).alias("n_valid_umi"),
+        total(F.lit(True)).alias("n_reads"),
+        total(cell).alias("n_valid_cell"),
+        total(feature).alias("n_valid_feature"),
+        total(cell & feature).alias("n_valid"),
+        total(cell & feature & umi).alias("n_valid_umi"),
     )

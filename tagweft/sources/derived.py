@@ -25,16 +25,23 @@ def _put(text: Column, place: Column, base: Column) -> Column:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_key, line_no, read1, read2): cell barcode and UMI, and feature barcode, with planted errors."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
     k, line = F.col("l_orderkey"), F.col("l_linenumber")
-    base = F.substring(F.lit("ACGTN"), (k % 5 + 1).cast("int"), F.lit(1))
-    cell = _tag("cell", F.col("l_suppkey") % N_CELLS, CELL)
-    umi = _tag("umi", (k * 7 + line) % N_UMIS, UMI)
-    feature = _tag("feat", F.col("l_partkey") % N_FEATURES, FEATURE)
-    cell = F.when(k % 7 == 0, _put(cell, line + 1, base)).otherwise(cell)
-    umi = F.when(k % 3 == 0, _put(umi, line + 2, base)).otherwise(umi)
-    feature = F.when(k % 6 == 0, _put(feature, line + 3, base)).otherwise(feature)
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.select(k.alias("read_key"), line.alias("line_no"), F.concat(cell, umi).alias("read1"), feature.alias("read2"))
+    # The table can be one row group, and so one task; the tags are columns first, so that each hash is made once.
+    tags = rows.repartition(spark.sparkContext.defaultParallelism).select(
+        k.alias("read_key"),
+        line.alias("line_no"),
+        F.substring(F.lit("ACGTN"), (k % 5 + 1).cast("int"), F.lit(1)).alias("base"),
+        _tag("cell", F.col("l_suppkey") % N_CELLS, CELL).alias("cell"),
+        _tag("umi", (k * 7 + line) % N_UMIS, UMI).alias("umi"),
+        _tag("feat", F.col("l_partkey") % N_FEATURES, FEATURE).alias("feature"),
+    )
+    k, line = F.col("read_key"), F.col("line_no")
+
+    def spoiled(name: str, every: int, shift: int) -> Column:
+        return F.when(k % every == 0, _put(F.col(name), line + shift, F.col("base"))).otherwise(F.col(name))
+
+    return tags.select("read_key", "line_no", F.concat(spoiled("cell", 7, 1), spoiled("umi", 3, 2)).alias("read1"), spoiled("feature", 6, 3).alias("read2"))
 
 
 def cells(spark: SparkSession) -> DataFrame:
