@@ -21,7 +21,8 @@ def molecule_stream(reads: DataFrame, cells: DataFrame, features: DataFrame, lay
     parts = m.pieces(reads, layout)
     c = cells.select(F.col("barcode").alias("cell_barcode"), F.col("id").alias("cell_id"))
     f = features.select(F.col("barcode").alias("feature_barcode"), F.col("id").alias("feature_id"), "category")
-    return m.molecules(parts.join(c, "cell_barcode").join(f, "feature_barcode"), layout)
+    reads = parts.join(c, "cell_barcode").join(f, "feature_barcode")
+    return m.molecules(reads.withColumn("n", F.lit(1).cast("bigint")), layout)
 
 
 def start(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
