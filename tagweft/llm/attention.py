@@ -189,24 +189,37 @@ def gradients(net: dict[str, np.ndarray], t: Tables, before: np.ndarray, blank:
     return float(loss / n), g
 
 
+class Trainer:
+    """Adam on a copy of a network."""
+
+    def __init__(self, net: dict[str, np.ndarray]):
+        self.net = {x: y.copy() for x, y in net.items()}
+        self.mean = {x: np.zeros_like(y) for x, y in net.items()}
+        self.square = {x: np.zeros_like(y) for x, y in net.items()}
+        self.turn = 0
+
+    def step(self, t: Tables, windows: tuple[np.ndarray, ...], rate: float) -> None:
+        """One step on windows (before, blank, now, used, inner)."""
+        _, g = gradients(self.net, t, *windows)
+        self.turn += 1
+        step = rate * np.sqrt(1 - 0.98**self.turn) / (1 - 0.9**self.turn)
+        for x in self.net:
+            self.mean[x] = 0.9 * self.mean[x] + 0.1 * g[x]
+            self.square[x] = 0.98 * self.square[x] + 0.02 * g[x] ** 2
+            self.net[x] = (self.net[x] - step * self.mean[x] / (np.sqrt(self.square[x]) + 1e-8)).astype(np.float32)
+
+
 def fit(t: Tables, windows: tuple[np.ndarray, ...], epochs: int = 4, batch: int = 32, rate: float = 0.01, seed: int = 3) -> dict[str, np.ndarray]:
-    """Train with Adam on windows (before, blank, now, used, inner)."""
+    """Train a new network on windows (before, blank, now, used, inner)."""
     net = start_network(int(t.row.max(initial=2048)) + 1 if len(t.row) else 2049, groups=64, seed=seed)
     net["embed"] = net["embed"] if len(net["embed"]) >= 2049 else start_network(seed=seed)["embed"]
-    mean = {x: np.zeros_like(y) for x, y in net.items()}
-    square = {x: np.zeros_like(y) for x, y in net.items()}
+    trainer = Trainer(net)
     random = np.random.default_rng(seed)
-    n, turn = len(windows[0]), 0
+    n = len(windows[0])
     total = max(1, epochs * -(-n // batch))
     for _ in range(epochs):
         order = random.permutation(n)
         for at in range(0, n, batch):
             pick = np.sort(order[at : at + batch])
-            _, g = gradients(net, t, *(w[pick] for w in windows))
-            turn += 1
-            step = rate * (1 - 0.9 * turn / total) * np.sqrt(1 - 0.98**turn) / (1 - 0.9**turn)
-            for x in net:
-                mean[x] = 0.9 * mean[x] + 0.1 * g[x]
-                square[x] = 0.98 * square[x] + 0.02 * g[x] ** 2
-                net[x] = (net[x] - step * mean[x] / (np.sqrt(square[x]) + 1e-8)).astype(np.float32)
-    return net
+            trainer.step(t, tuple(w[pick] for w in windows), rate * (1 - 0.9 * (trainer.turn + 1) / total))
+    return trainer.net
