@@ -32,6 +32,7 @@ class Tables:
     vocabulary: int
     end_id: int
     starts: np.ndarray  # whether an id begins a word
+    first_count: np.ndarray  # training words that begin with an id, or texts for the end
     first: np.ndarray  # probability of an id among those that begin a word, or the end
     inner: np.ndarray  # probability of an id among all others
     stop: np.ndarray  # probability that a word ends after an id
@@ -73,7 +74,7 @@ def tables(starts: np.ndarray, end_id: int, first_count: np.ndarray, stop_count:
     group = np.full(v, groups - 1, np.int32)
     group[np.argsort(-first, kind="stable")[: groups - 1]] = np.arange(groups - 1)
     mass = np.bincount(group, first, groups)
-    return Tables(v, end_id, starts, first.astype(np.float32), inner.astype(np.float32), np.clip(stop, 1e-7, 1).astype(np.float32), left.astype(np.float32), pair_key, value.astype(np.float32), row, group, (first / np.maximum(mass[group], 1e-12)).astype(np.float32))
+    return Tables(v, end_id, starts, first_count.astype(np.float64), first.astype(np.float32), inner.astype(np.float32), np.clip(stop, 1e-7, 1).astype(np.float32), left.astype(np.float32), pair_key, value.astype(np.float32), row, group, (first / np.maximum(mass[group], 1e-12)).astype(np.float32))
 
 
 def start_network(rows: int = 2049, width: int = 16, groups: int = 64, seed: int = 3) -> dict[str, np.ndarray]:

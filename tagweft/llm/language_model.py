@@ -14,7 +14,9 @@ with the input.
 2. Dictionaries meet by ranges of word hashes ("buckets"); each bucket adds up its
    words over all shards, returns the sums to the shards, and counts subwords.
 3. Shards and sums meet, and each text is scored alone: no window crosses texts. A
-   word's probability is half that of its subwords and half that of the word itself.
+   word's probability mixes that of its subwords up to its end, that of the word
+   after its first subword's probability in context, and that of the word alone
+   (``MIX``), so those of all words, and the end, sum to one at most.
 
 Only per-shard dictionaries are shuffled, so a word as common as can be counts once
 a shard. Null text is just an end token; rows with a null id train, as no remainder
@@ -43,6 +45,10 @@ from .packing import encoder
 from .shared import stored
 
 
+#: Weights of a word's subwords, of its first subword in context and the word after it, and of the word alone.
+MIX = (0.3, 0.65, 0.05)
+
+
 @dataclass(frozen=True)
 class Settings:
     shard_bytes: int = 4 << 20
@@ -323,24 +329,32 @@ def network(table: DataFrame, t: attention.Tables, ranks_file: str, pattern: str
     return {x: v.reshape(net[x].shape) for x, v in zip(net, np.split(means.value.to_numpy(np.float32), edges))}
 
 
-def log_probabilities(net: dict[str, np.ndarray], t: attention.Tables, s: Sequence, whole: np.ndarray, batch: int = 128) -> np.ndarray:
+def log_probabilities(net: dict[str, np.ndarray], t: attention.Tables, s: Sequence, count: np.ndarray, whole: np.ndarray, batch: int = 128) -> np.ndarray:
     """log10 probability of each text of a sequence.
 
-    A word is drawn from the subword model or, as likely, from ``whole``: the
-    unigram probability of each word that the training texts hold, else 0.
+    ``count`` has each word's count in training texts, ``whole`` its unigram
+    probability, 0 where the count is. A word without an id of its own (white space
+    beyond the six bytes) shares those of the word before it.
     """
+    if not len(s.word_at):
+        return np.zeros(0)
+    size = np.diff(np.append(s.word_at, len(s.ids)))
+    first, last = s.word_at, s.word_at + size - 1
+    stop = s.stop.copy()
+    opens = first[(size > 0) & (t.starts[s.ids[first]] | (s.ids[first] == t.end_id))]
+    stop[opens] = 1  # a word's end counts to the word itself, below
     out = np.zeros(len(s.ids), np.float32)
-    doc, first = windows(s, t)
+    doc, begin = windows(s, t)
     for at in range(0, len(doc), batch):
-        before, blank, now, used, place = gathered(s, t, doc[at : at + batch], first[at : at + batch])
+        before, blank, now, used, place = gathered(s, t, doc[at : at + batch], begin[at : at + batch])
         flat = place[used]
-        out[flat] = attention.probabilities(net, t, before, blank, now, used, s.stop[flat], s.inner[flat])
-    if not len(s.word_at):
-        return np.zeros(0)
-    # a word without an id of its own shares those of the word before it
+        out[flat] = attention.probabilities(net, t, before, blank, now, used, stop[flat], s.inner[flat])
     logs = np.concatenate([[0], np.cumsum(np.log10(np.maximum(out, 1e-30), dtype=np.float64))])
-    word = np.diff(logs[np.append(s.word_at, len(out))])
-    mixed = np.where(whole > 0, np.log10(0.5 * 10 ** np.maximum(word, -300) + 0.5 * whole + 1e-300), word + np.log10(0.5))
+    word = np.diff(logs[np.append(first, len(out))]) + np.where(size > 0, np.log10(t.stop[s.ids[last]]), 0)
+    after_first = np.where(size > 0, out[first] * np.minimum(count / np.maximum(t.first_count[s.ids[first]], 1), 1), 0)
+    known = MIX[1] * after_first + MIX[2] * whole
+    spelled = word + np.log10(MIX[0])
+    mixed = np.where(known > 0, np.log10(10 ** np.maximum(spelled, -300) + known), spelled)
     return np.add.reduceat(mixed, s.text_at[:-1])
 
 
@@ -381,7 +395,7 @@ def scored(documents: DataFrame, ranks_file: str, pattern: str, settings: Settin
                 whole = np.where(total > 0, (total + 0.5) / below, 0.0)[every]
                 held = pa.array([held_out(x) for x in ids.to_pylist()])
                 yield pa.record_batch(
-                    [ids, held, pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(ids), n_tokens)), pa.array(base), pa.array(log_probabilities(net, t, s, whole))],
+                    [ids, held, pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(ids), n_tokens)), pa.array(base), pa.array(log_probabilities(net, t, s, total[every], whole))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

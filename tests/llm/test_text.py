@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -250,6 +251,31 @@ def test_probabilities_sum_to_one_at_most():
     assert (total <= 1 + 1e-4).all() and (total > 0.3).all()
 
 
+def test_word_probabilities_sum_to_one():
+    """Over all words of up to six ids, and the end, after a word."""
+    rng = np.random.default_rng(5)
+    v, end = 7, 6  # ids 0 to 2 begin words, 3 to 5 go on
+    starts = np.arange(v) < 3
+    spelled = [(a, *more) for a in range(3) for k in range(6) for more in itertools.product(range(3, 6), repeat=k)]
+    count = {w: int(rng.integers(1, 9)) for w in spelled if rng.random() < 0.05}
+    count[end,] = 12
+    first = np.zeros(v)
+    for w, n in count.items():
+        first[w[0]] += n
+    keys = np.array([a * v + b for a in range(6) for b in range(3, 6)])
+    t = attention.tables(starts, end, first, np.full(v, 60.0), keys, rng.integers(1, 20, len(keys)).astype(float), rows=6, groups=4)
+    net = attention.start_network(rows=7, width=4, groups=4)
+    below = sum(count.values()) + 0.5 * (len(count) + 1)
+    total = 0.0
+    for w in [*spelled, (end,)]:
+        ids = np.array([1, 4, *w, end])
+        before = np.concatenate([[end], ids[:-1]])
+        s = language_model.Sequence(ids, t.stop[before], t.pairs(before, ids), np.array([0, len(ids)]), np.array([0, 2, 2 + len(w)]), np.array([0, 1, 2, 3]))
+        n = np.array([0, count.get(w, 0), 0])
+        total += 10 ** language_model.log_probabilities(net, t, s, n, np.where(n > 0, (n + 0.5) / below, 0))[1]
+    assert 0.97 < total <= 1 + 1e-5
+
+
 def test_language_model(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices(["th", "er", "on", "ing", "sh"], k=rng.randint(1, 3))) for _ in range(60)]
