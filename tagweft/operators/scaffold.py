@@ -39,19 +39,50 @@ def _segment_near(read: Column, pattern: str, start: Column) -> Column:
     return out
 
 
-def locate(read: Column, scaffold: str, start: Column | int, end: Column) -> Column:
-    """PRJ7: the first place in [start, end] within the budget, moved on to strictly better ones at most two places ahead; null if none."""
-    start = F.lit(start) if isinstance(start, int) else start
-    places = F.when(end >= start, F.sequence(start, end + 2 * BUDGET)).otherwise(F.array().cast("array<int>"))
+def _least_place(read: Column, pattern: str) -> Column:
+    """No place before this one is within the budget; null if none is at all.
+
+    One of the pattern's segments must stand in the read, see :func:`_segment_near`.
+    """
+    size = len(pattern) // (BUDGET + 1)
+    if not size:
+        return F.lit(0)
+    spots = []
+    for offset in range(0, size * (BUDGET + 1), size):
+        at = F.instr(read, pattern[offset : offset + size])
+        spots.append(F.when(at > 0, at - (1 + offset + BUDGET)))
+    return F.least(*spots)
+
+
+def _settled(read: Column, scaffold: str, first: Column, last: Column) -> Column:
+    """The first place in [first, last] within the budget, moved on to strictly better ones at most two places ahead; null if none."""
+    places = F.when(last >= first, F.sequence(first, last + 2 * BUDGET)).otherwise(F.array().cast("array<int>"))
     costs = F.transform(places, lambda i: F.struct(i.alias("at"), start_cost(read, scaffold, i).alias("cost")))
     begin = F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("cost"))
 
     def step(now: Column, x: Column) -> Column:
-        opens = now["at"].isNull() & (x["at"] <= end) & (x["cost"] <= BUDGET)
+        opens = now["at"].isNull() & (x["at"] <= last) & (x["cost"] <= BUDGET)
         betters = now["at"].isNotNull() & (x["at"] <= now["at"] + 2) & (x["cost"] < now["cost"])
         return F.when(opens | betters, x).otherwise(now)
 
-    return F.aggregate(costs, begin, step, lambda x: F.when(x["at"] <= end, x["at"]))
+    return F.aggregate(costs, begin, step, lambda x: x["at"])
+
+
+def locate(read: Column, scaffold: str, start: Column | int, end: Column) -> Column:
+    """PRJ7: the first place in [start, end] within the budget, moved on to strictly better ones at most two places ahead; null if none or if it moved beyond ``end``.
+
+    Places around the first whole segment are tried first, and the others only where these give nothing.
+    """
+    start = F.lit(start) if isinstance(start, int) else start
+
+    def search(at: Column) -> Column:
+        found = F.coalesce(_settled(read, scaffold, at["first"], at["near"]), _settled(read, scaffold, at["near"] + 1, end))
+        return F.when(at["least"].isNotNull(), found)
+
+    least = F.transform(F.array(_least_place(read, scaffold)), lambda x: F.struct(x.alias("least"), F.greatest(start, x).alias("first")))
+    bounds = F.transform(least, lambda x: x.withField("near", F.least(x["first"] + 2 * BUDGET, end)))
+    # one-element arrays, so that bounds and result are made once a read
+    return F.transform(F.transform(bounds, search), lambda x: F.when(x <= end, x))[0]
 
 
 def anchored(reads: DataFrame, scaffold: str, length: int, max_mismatch: int) -> DataFrame:
