@@ -21,7 +21,8 @@ def start_cost(read: Column, pattern: str, start: Column) -> Column:
             F.when(F.length(read) >= at + size, F.levenshtein(F.substring(read, at + 1, F.lit(size)), F.lit(rest), BUDGET))
             for size in range(max(0, len(rest) - BUDGET), len(rest) + BUDGET + 1)
         ]
-        return F.least(*[F.when(x >= 0, x).otherwise(BUDGET + 1) for x in fits])
+        # a distance beyond the budget is -1, which this remainder makes BUDGET + 1
+        return F.coalesce(F.least(*[F.pmod(x, F.lit(BUDGET + 2)) for x in fits]), F.lit(BUDGET + 1))
 
     first = (F.substring(read, start + 1, F.lit(1)) != head).cast("int")
     exact = F.least(first + tail(start + 1), tail(start) + 1, F.lit(BUDGET + 1))
