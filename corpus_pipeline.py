@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweft.llm import decontaminate, exact_dedup, packing, quality, simhash
+from tagweft.llm import decontaminate, exact_dedup, near_copies, packing, quality
 from tagweft.llm.catalogue import PATTERN, RANKS, table
 from tagweft.llm.shared import stored
 
@@ -26,8 +26,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the row with the smallest id."""
-    return simhash.deduplicated(docs)
+    """Of each group of texts at a five-word Jaccard similarity of 0.8 or more, the row with the smallest id."""
+    return near_copies.deduplicated(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

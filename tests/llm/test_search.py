@@ -10,7 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tagweft.llm import components, decontaminate, exact_dedup, simhash, site_tree, substrings, words
+import corpus_pipeline
+from tagweft.llm import components, decontaminate, exact_dedup, near_copies, simhash, site_tree, substrings, words
 from tagweft.llm.shared import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,6 +165,50 @@ def test_near_groups(spark):
     assert simhash.groups(docs(spark, texts).limit(0)).count() == 0
 
 
+# --- near copies of the pipeline
+
+
+def plain_shingles(text):
+    own = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))}
+
+
+def test_near_copies(spark, monkeypatch):
+    rng = random.Random(4)
+    menu = " ".join(f"menu{i}" for i in range(30))
+    texts = [None, "", " ", "x", "X", "a b c d e", "A B  c d e"]
+    for k in range(25):
+        own = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([7, 40, 200]))] + (menu.split() if k % 3 else [])
+        for _ in range(5):
+            some = list(own)
+            for _ in range(rng.randint(0, 1 + len(own) // 60)):
+                some[rng.randrange(len(some))] = f"n{rng.randint(0, 10**6)}"
+            texts.append(" ".join(some))
+    ids = [i if rng.random() < 0.9 else rng.choice([None, 3, 20]) for i in range(len(texts))]
+    frame = docs(spark, [*texts, texts[-1]], [*ids, ids[-1]])
+    shingles = [plain_shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(shingles[i] & shingles[j]) >= 4 * (len(shingles[i]) + len(shingles[j])):
+                pairs += shingles[i] != shingles[j]
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert pairs > 50
+    least = {}
+    for i, r in zip(ids, root):
+        least.setdefault(r, []).append(i)
+    want = sorted((i is None, i or 0) for i in (min((x for x in v if x is not None), default=None) for v in least.values()))
+    for sample in (near_copies.SAMPLE, 40):
+        monkeypatch.setattr(near_copies, "SAMPLE", sample)
+        monkeypatch.setattr(near_copies, "BROADCAST", sample)
+        left = corpus_pipeline.near_duplicates(spark, frame, "")
+        assert left.columns == frame.columns
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == want
+    assert corpus_pipeline.near_duplicates(spark, frame.limit(0), "").count() == 0
+
+
 # --- substrings
 
 
