@@ -4,10 +4,9 @@ A text is lower-cased (A-Z) and cut into words (runs of bytes other than the six
 ASCII white-space bytes) and an end token. Texts whose crc32(doc_id) mod 5 is not 1
 train: counts of all their words, in the unigram and in the subword tables, and the
 network of :mod:`attention`. It starts on ``Settings.sample_windows`` windows of
-``sample_shards`` shards; every task then trains its own copy on one window in
-``every`` of those of its shards that a hash picks (one in ``of_shards``), and the
-copies' mean, weighted by windows, is the model. So what the network sees grows
-with the input.
+``sample_shards`` shards; every task then trains its own copy on all training
+windows of all its shards, ``batch`` a step, in one pass, and the copies' mean,
+weighted by windows, is the model.
 
 1. Each task cuts its texts into shards of about ``shard_bytes`` (or one longer
    text) and writes, for each, the words as numbers into the shard's own dictionary.
@@ -56,8 +55,7 @@ class Settings:
     pairs: int = 1 << 20
     sample_shards: int = 12
     sample_windows: int = 6000
-    of_shards: int = 4
-    every: int = 10
+    batch: int = 128
     rate: float = 0.003
 
 
@@ -270,14 +268,18 @@ def gathered(s: Sequence, t: attention.Tables, doc: np.ndarray, first: np.ndarra
     return before, blank, s.ids[place], used, place
 
 
-def shard_windows(r, t: attention.Tables, ranks_file: str, pattern: str, wanted: int | None, random: np.random.Generator, every: int = 1) -> tuple[np.ndarray, ...]:
-    """Windows (before, blank, now, used, inner) of a shard's training texts: ``wanted`` of them, or one in ``every``."""
+def training_windows(r, t: attention.Tables, ranks_file: str, pattern: str, random: np.random.Generator) -> tuple[Sequence, np.ndarray, np.ndarray]:
+    """A shard's sequence, and (as :func:`windows`) all windows of its training texts in random order."""
     s = sequence(t, unsqueeze(r.words), unsqueeze(r.number, "<i4"), np.asarray(r.n_words, np.int64), ranks_file, pattern)
     training = np.array([not held_out(None if pd.isna(i) else i) for i in r.doc_id], bool)
     doc, first = windows(s, t)
-    mine = np.flatnonzero(training[doc])
-    mine = np.sort(random.permutation(mine)[: -(-len(mine) // every) if wanted is None else wanted])
-    before, blank, now, used, place = gathered(s, t, doc[mine], first[mine])
+    mine = random.permutation(np.flatnonzero(training[doc]))
+    return s, doc[mine], first[mine]
+
+
+def with_inner(s: Sequence, t: attention.Tables, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows as (before, blank, now, used, inner)."""
+    before, blank, now, used, place = gathered(s, t, doc, first)
     return before, blank, now, used, s.inner[place]
 
 
@@ -288,7 +290,11 @@ def first_network(table: DataFrame, shared: Broadcast, ranks_file: str, pattern:
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         random = np.random.default_rng(17)
         wanted = -(-settings.sample_windows // settings.sample_shards)
-        parts = [shard_windows(r, shared.value, ranks_file, pattern, wanted, random) for batch in batches for r in batch.itertuples(index=False)]
+        parts = []
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                s, doc, first = training_windows(r, shared.value, ranks_file, pattern, random)
+                parts.append(with_inner(s, shared.value, doc[:wanted], first[:wanted]))
         net = attention.fit(shared.value, tuple(np.concatenate(x) for x in zip(*parts))) if parts else attention.start_network()
         yield pd.DataFrame({"name": list(net), "value": [x.tobytes() for x in net.values()]})
 
@@ -298,31 +304,34 @@ def first_network(table: DataFrame, shared: Broadcast, ranks_file: str, pattern:
     return {x: values[x].reshape(y.shape) if x in values else y for x, y in like.items()}
 
 
-def network(table: DataFrame, t: attention.Tables, ranks_file: str, pattern: str, settings: Settings) -> dict[str, np.ndarray]:
-    """Train on windows of a share of all shards: each task a copy of the first network, then their mean.
-
-    Copies are added up by parameter, so the driver gets one row a parameter.
-    """
-    context = table.sparkSession.sparkContext
-    shared = context.broadcast(t)
-    net = first_network(table, shared, ranks_file, pattern, settings)
-    start = context.broadcast(net)
+def copies(table: DataFrame, shared: Broadcast, start: Broadcast, ranks_file: str, pattern: str, settings: Settings) -> DataFrame:
+    """(place, value, seen): each task's copy of the first network, trained on all training windows of its shards."""
 
     def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trainer, seen = attention.Trainer(start.value), 0
         for batch in batches:
             for r in batch.itertuples(index=False):
-                parts = shard_windows(r, shared.value, ranks_file, pattern, None, np.random.default_rng(abs(r.shard)), settings.every)
-                for at in range(0, len(parts[0]), 32):
-                    trainer.step(shared.value, tuple(w[at : at + 32] for w in parts), settings.rate)
-                seen += len(parts[0])
+                s, doc, first = training_windows(r, shared.value, ranks_file, pattern, np.random.default_rng(abs(r.shard)))
+                for at in range(0, len(doc), settings.batch):
+                    trainer.step(shared.value, with_inner(s, shared.value, doc[at : at + settings.batch], first[at : at + settings.batch]), settings.rate)
+                seen += len(doc)
         if seen:
             flat = np.concatenate([x.reshape(-1) for x in trainer.net.values()]).astype(np.float64)
             yield pd.DataFrame({"place": np.arange(len(flat), dtype=np.int32), "value": flat * seen, "seen": seen})
 
-    picked = table.where(F.pmod(F.xxhash64("shard"), F.lit(settings.of_shards)) == 0)
-    copies = picked.select("shard", "doc_id", "n_words", "words", "number").mapInPandas(go_on, "place int, value double, seen long")
-    means = copies.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas().sort_values("place")
+    return table.select("shard", "doc_id", "n_words", "words", "number").mapInPandas(go_on, "place int, value double, seen long")
+
+
+def network(table: DataFrame, t: attention.Tables, ranks_file: str, pattern: str, settings: Settings) -> dict[str, np.ndarray]:
+    """Train on all training windows: each task a copy of the first network, then their mean.
+
+    Copies are added up by parameter, so the driver gets one row a parameter.
+    """
+    context = table.sparkSession.sparkContext
+    shared = context.broadcast(t)
+    net = first_network(table, shared, ranks_file, pattern, settings)
+    trained = copies(table, shared, context.broadcast(net), ranks_file, pattern, settings)
+    means = trained.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas().sort_values("place")
     if not len(means):
         return net
     edges = np.cumsum([x.size for x in net.values()])[:-1]

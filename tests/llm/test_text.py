@@ -296,3 +296,19 @@ def test_language_model(spark):
     one = {r.score for r in rows if r.doc_id == 0}
     assert max(one) - min(one) < 1e-3  # a text's score does not depend on its shard
     assert language_model.scored(frame.limit(0), RANKS, PATTERN).count() == 0
+
+
+def test_all_training_windows(spark):
+    texts = [f"text {i} " + "some words here " * (i % 50) for i in range(200)]
+    settings = language_model.Settings(shard_bytes=3000)
+    table = language_model.shards(docs(spark, texts).repartition(3), settings).cache()
+    v = len(language_model.id_bytes(RANKS)[0])
+    t = attention.tables(language_model.id_bytes(RANKS)[1], v - 1, np.ones(v), np.ones(v), np.zeros(0, np.int64), np.zeros(0))
+    share = spark.sparkContext.broadcast
+    rows = language_model.copies(table, share(t), share(attention.start_network()), RANKS, PATTERN, settings).where("place = 0").collect()
+    want = 0
+    for r in table.collect():
+        s = language_model.sequence(t, language_model.unsqueeze(r.words), language_model.unsqueeze(r.number, "<i4"), np.array(r.n_words), RANKS, PATTERN)
+        doc = language_model.windows(s, t)[0]
+        want += sum(not language_model.held_out(r.doc_id[d]) for d in doc.tolist())
+    assert sum(r.seen for r in rows) == want > 200
