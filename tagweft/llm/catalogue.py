@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from . import chat, decontaminate, exact_dedup, language_model, packing, pii, quality, simhash, site_tree, substrings
 from .shared import ship
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-PATTERN = public_tokenizers.PATTERN
+VOCABULARY = packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +22,7 @@ def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), RANKS, PATTERN).drop("ids")
+    return packing.packed(table(spark, sf_dir, "documents"), VOCABULARY).drop("ids")
 
 
 def op3_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.scored(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return language_model.scored(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op6_window_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention, words
-from .packing import encoder
+from .packing import Vocabulary, encoder
 from .shared import stored
 
 
@@ -138,9 +138,9 @@ def bucketed(table: DataFrame, n_buckets: int) -> DataFrame:
 
 
 @lru_cache(4)
-def id_bytes(ranks_file: str) -> tuple[np.ndarray, np.ndarray]:
+def id_bytes(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Length of each id's bytes, and whether they begin with a space."""
-    with open(ranks_file, "rb") as lines:
+    with open(vocabulary.ranks, "rb") as lines:
         ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
     size = np.zeros(max(ranks) + 2, np.int64)
     starts = np.zeros(max(ranks) + 2, bool)
@@ -149,20 +149,20 @@ def id_bytes(ranks_file: str) -> tuple[np.ndarray, np.ndarray]:
     return size, starts
 
 
-def subwords(text: bytes, ranks_file: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+def subwords(text: bytes, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words of a dictionary, each with a space before it, and where each word's begin.
 
     An id counts to the word in which it begins.
     """
     if not text:
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
-    ids = np.array(encoder(ranks_file, pattern).encode_ordinary(" " + text.decode("utf-8", "replace")), np.int64)
-    begin = np.cumsum(id_bytes(ranks_file)[0][ids]) - id_bytes(ranks_file)[0][ids]
+    ids = np.array(encoder(vocabulary).ordinary(" " + text.decode("utf-8", "replace")), np.int64)
+    begin = np.cumsum(id_bytes(vocabulary)[0][ids]) - id_bytes(vocabulary)[0][ids]
     block = dictionary(text)
     return ids, np.concatenate([np.searchsorted(begin, block.starts), [len(ids)]])
 
 
-def summed(parts: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+def summed(parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Step 2: for each bucket and shard the sums (shard, entry, count); for each bucket a row of shard -1 with subword counts.
 
     That row's ``entry`` has (kind, id or pair) keys, its ``count`` their counts,
@@ -179,12 +179,12 @@ def summed(parts: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
         out = [(shard, entry, squeeze(total[number[a:b]]), 0) for shard, entry, a, b in zip(frame.shard, frame.entry, edges[:-1], edges[1:])]
         every = b" ".join(texts).split(b" ")
         seen = np.flatnonzero(total > 0)
-        ids, at = subwords(b" ".join([every[i] for i in first[seen].tolist()]), ranks_file, pattern)
+        ids, at = subwords(b" ".join([every[i] for i in first[seen].tolist()]), vocabulary)
         size = np.diff(at)
         weight = np.repeat(total[seen], size)
         begin = np.zeros(len(ids), bool)
         begin[at[:-1][size > 0]] = True
-        v = len(id_bytes(ranks_file)[0])
+        v = len(id_bytes(vocabulary)[0])
         pair = ids[:-1] * v + ids[1:]
         inside = ~begin[1:] if len(ids) else np.zeros(0, bool)
         last = at[1:][size > 0] - 1
@@ -197,9 +197,9 @@ def summed(parts: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     return parts.groupBy("bucket").applyInPandas(merge, "shard long, entry binary, count binary, distinct long")
 
 
-def count_tables(sums: DataFrame, train_texts: int, ranks_file: str, settings: Settings) -> attention.Tables:
+def count_tables(sums: DataFrame, train_texts: int, vocabulary: Vocabulary, settings: Settings) -> attention.Tables:
     """The subword tables from all buckets; of the pairs the ``settings.pairs`` most frequent stay, which bounds the model."""
-    size, starts = id_bytes(ranks_file)
+    size, starts = id_bytes(vocabulary)
     v = len(size)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +230,8 @@ class Sequence:
     text_at: np.ndarray  # first word of each text, and the end
 
 
-def sequence(t: attention.Tables, text: bytes, number: np.ndarray, n_words: np.ndarray, ranks_file: str, pattern: str) -> Sequence:
-    ids, at = subwords(text, ranks_file, pattern)
+def sequence(t: attention.Tables, text: bytes, number: np.ndarray, n_words: np.ndarray, vocabulary: Vocabulary) -> Sequence:
+    ids, at = subwords(text, vocabulary)
     ids, at = np.append(ids, t.end_id), np.append(at, len(ids) + 1)
     before = np.concatenate([[t.end_id], ids[:-1]]) if len(ids) else ids
     inner = t.pairs(before, ids).astype(np.float32)
@@ -268,9 +268,9 @@ def gathered(s: Sequence, t: attention.Tables, doc: np.ndarray, first: np.ndarra
     return before, blank, s.ids[place], used, place
 
 
-def training_windows(r, t: attention.Tables, ranks_file: str, pattern: str, random: np.random.Generator) -> tuple[Sequence, np.ndarray, np.ndarray]:
+def training_windows(r, t: attention.Tables, vocabulary: Vocabulary, random: np.random.Generator) -> tuple[Sequence, np.ndarray, np.ndarray]:
     """A shard's sequence, and (as :func:`windows`) all windows of its training texts in random order."""
-    s = sequence(t, unsqueeze(r.words), unsqueeze(r.number, "<i4"), np.asarray(r.n_words, np.int64), ranks_file, pattern)
+    s = sequence(t, unsqueeze(r.words), unsqueeze(r.number, "<i4"), np.asarray(r.n_words, np.int64), vocabulary)
     training = np.array([not held_out(None if pd.isna(i) else i) for i in r.doc_id], bool)
     doc, first = windows(s, t)
     mine = random.permutation(np.flatnonzero(training[doc]))
@@ -283,7 +283,7 @@ def with_inner(s: Sequence, t: attention.Tables, doc: np.ndarray, first: np.ndar
     return before, blank, now, used, s.inner[place]
 
 
-def first_network(table: DataFrame, shared: Broadcast, ranks_file: str, pattern: str, settings: Settings) -> dict[str, np.ndarray]:
+def first_network(table: DataFrame, shared: Broadcast, vocabulary: Vocabulary, settings: Settings) -> dict[str, np.ndarray]:
     """A network trained in one task on windows of a few shards, from which all tasks go on."""
     chosen = [r.shard for r in table.select("shard").orderBy(F.xxhash64("shard"), "shard").limit(settings.sample_shards).collect()]
 
@@ -293,7 +293,7 @@ def first_network(table: DataFrame, shared: Broadcast, ranks_file: str, pattern:
         parts = []
         for batch in batches:
             for r in batch.itertuples(index=False):
-                s, doc, first = training_windows(r, shared.value, ranks_file, pattern, random)
+                s, doc, first = training_windows(r, shared.value, vocabulary, random)
                 parts.append(with_inner(s, shared.value, doc[:wanted], first[:wanted]))
         net = attention.fit(shared.value, tuple(np.concatenate(x) for x in zip(*parts))) if parts else attention.start_network()
         yield pd.DataFrame({"name": list(net), "value": [x.tobytes() for x in net.values()]})
@@ -304,14 +304,14 @@ def first_network(table: DataFrame, shared: Broadcast, ranks_file: str, pattern:
     return {x: values[x].reshape(y.shape) if x in values else y for x, y in like.items()}
 
 
-def copies(table: DataFrame, shared: Broadcast, start: Broadcast, ranks_file: str, pattern: str, settings: Settings) -> DataFrame:
+def copies(table: DataFrame, shared: Broadcast, start: Broadcast, vocabulary: Vocabulary, settings: Settings) -> DataFrame:
     """(place, value, seen): each task's copy of the first network, trained on all training windows of its shards."""
 
     def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trainer, seen = attention.Trainer(start.value), 0
         for batch in batches:
             for r in batch.itertuples(index=False):
-                s, doc, first = training_windows(r, shared.value, ranks_file, pattern, np.random.default_rng(abs(r.shard)))
+                s, doc, first = training_windows(r, shared.value, vocabulary, np.random.default_rng(abs(r.shard)))
                 for at in range(0, len(doc), settings.batch):
                     trainer.step(shared.value, with_inner(s, shared.value, doc[at : at + settings.batch], first[at : at + settings.batch]), settings.rate)
                 seen += len(doc)
@@ -322,15 +322,15 @@ def copies(table: DataFrame, shared: Broadcast, start: Broadcast, ranks_file: st
     return table.select("shard", "doc_id", "n_words", "words", "number").mapInPandas(go_on, "place int, value double, seen long")
 
 
-def network(table: DataFrame, t: attention.Tables, ranks_file: str, pattern: str, settings: Settings) -> dict[str, np.ndarray]:
+def network(table: DataFrame, t: attention.Tables, vocabulary: Vocabulary, settings: Settings) -> dict[str, np.ndarray]:
     """Train on all training windows: each task a copy of the first network, then their mean.
 
     Copies are added up by parameter, so the driver gets one row a parameter.
     """
     context = table.sparkSession.sparkContext
     shared = context.broadcast(t)
-    net = first_network(table, shared, ranks_file, pattern, settings)
-    trained = copies(table, shared, context.broadcast(net), ranks_file, pattern, settings)
+    net = first_network(table, shared, vocabulary, settings)
+    trained = copies(table, shared, context.broadcast(net), vocabulary, settings)
     means = trained.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas().sort_values("place")
     if not len(means):
         return net
@@ -367,7 +367,7 @@ def log_probabilities(net: dict[str, np.ndarray], t: attention.Tables, s: Sequen
     return np.add.reduceat(mixed, s.text_at[:-1])
 
 
-def scored(documents: DataFrame, ranks_file: str, pattern: str, settings: Settings = Settings()) -> DataFrame:
+def scored(documents: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings()) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -375,10 +375,10 @@ def scored(documents: DataFrame, ranks_file: str, pattern: str, settings: Settin
     size = table.agg(F.sum("entries").alias("entries"), F.sum("train_tokens").alias("tokens"), F.sum("train_texts").alias("texts")).first()
     n_tokens, n_texts = size.tokens or 0, size.texts or 0
     n_buckets = max(12, math.ceil((size.entries or 0) / settings.bucket_words))
-    sums = stored(summed(bucketed(table, n_buckets), ranks_file, pattern), "lm-sums")
+    sums = stored(summed(bucketed(table, n_buckets), vocabulary), "lm-sums")
     distinct = (sums.where("shard = -1").agg(F.sum("distinct")).first()[0] or 0) + (n_texts > 0)
-    t = count_tables(sums, n_texts, ranks_file, settings)
-    net = network(table, t, ranks_file, pattern, settings)
+    t = count_tables(sums, n_texts, vocabulary, settings)
+    net = network(table, t, vocabulary, settings)
     model = spark.sparkContext.broadcast((net, t))
     own = sums.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("entry", "count")).alias("sums"))
     both = table.select("shard", "doc_id", "n_words", "words", "number", "entries").join(own, "shard", "left")
@@ -400,7 +400,7 @@ def scored(documents: DataFrame, ranks_file: str, pattern: str, settings: Settin
                 at = np.concatenate([[0], np.cumsum(n_words + 1)])[:-1]
                 base = np.add.reduceat(np.log10((total + 0.5) / below)[every], at)
                 known = np.add.reduceat((total > 0)[every].astype(np.int64), at)
-                s = sequence(t, unsqueeze(row["words"].as_py()), number, n_words, ranks_file, pattern)
+                s = sequence(t, unsqueeze(row["words"].as_py()), number, n_words, vocabulary)
                 whole = np.where(total > 0, (total + 0.5) / below, 0.0)[every]
                 held = pa.array([held_out(x) for x in ids.to_pylist()])
                 yield pa.record_batch(

@@ -11,7 +11,9 @@ their class has come for, run on end to end through closing bins.
 
 State is bounded: under ``capacity`` ids a class. Null texts count as empty, and a
 document has at least its end id. Rows are packed one by one, so repeated rows and
-ids are packed again, and a retried task gives the same bins in the same order.
+ids are packed again, and a retried task gives the same bins in the same order. A
+text of any length is cut like any other; its ids alone are held at once. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -100,27 +103,67 @@ class Packer:
             yield bin_
 
 
-@lru_cache(4)
-def encoder(ranks_file: str, pattern: str):
-    """An encoder over a rank file; texts that spell special tokens are ordinary text."""
-    import tiktoken
+class Vocabulary(NamedTuple):
+    """Local paths, that every worker has, of one public vocabulary: as ranks, with the pattern that splits text, and as a tokenizer."""
+
+    ranks: str
+    pattern: str
+    tokenizer: str
+
+
+class Encoder:
+    """Ids of texts by the ranks, equal to those of the tokenizer.
+
+    The ranks' encoder is the faster one, but gives up on very long runs of white
+    space; the tokenizer itself takes such texts.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        import tiktoken
+        from tokenizers import Tokenizer
 
-    with open(ranks_file, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        with open(vocabulary.ranks, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.vocabulary = vocabulary
+        self.slow = Tokenizer.from_file(vocabulary.tokenizer)
+        added = {token.content: number for number, token in self.slow.get_added_tokens_decoder().items()}
+        self.fast = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=added)
+
+    def ids(self, text: str) -> list[int]:
+        """Texts that spell an added token get its id there."""
+        try:
+            return self.fast.encode(text, allowed_special="all", disallowed_special=())
+        except ValueError:
+            return self.slow.encode(text, add_special_tokens=False).ids
+
+    def ordinary(self, text: str) -> list[int]:
+        """Added tokens are ordinary text."""
+        try:
+            return self.fast.encode_ordinary(text)
+        except ValueError:
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(self.vocabulary.tokenizer)
+            own.encode_special_tokens = True
+            return own.encode(text, add_special_tokens=False).ids
+
+
+@lru_cache(4)
+def encoder(vocabulary: Vocabulary) -> Encoder:
+    return Encoder(vocabulary)
 
 
-def packed(documents: DataFrame, ranks_file: str, pattern: str, settings: Settings = Settings()) -> DataFrame:
+def packed(documents: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings()) -> DataFrame:
     """Pack all texts; a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    ``ranks_file`` is a local path of a public vocabulary that every worker has.
-    Sequence ids are the worker's number times 2**40 and a counter.
+    Sequence ids are the worker's number times 2**40 and a counter. Only doc_id and
+    text are read, so other columns may have any name.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_file, pattern).encode_ordinary
+        encode = encoder(vocabulary).ids
         packer = Packer(settings)
         sequence = TaskContext.get().partitionId() << 40
         names: dict[int, object] = {}  # ids of the rows that open bins may still name

@@ -15,7 +15,7 @@ import public_tokenizers
 from tagweft.llm import attention, chat, language_model, packing, pii, quality, words
 from tagweft.llm.shared import ship
 
-RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+VOCABULARY = packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -83,17 +83,21 @@ def test_packer(lengths):
 def test_ids_are_the_tokenizers(text):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    assert packing.encoder(RANKS, PATTERN).encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+    t = Tokenizer.from_file(VOCABULARY.tokenizer)
+    for own in (text, f"{text}<|endoftext|>", f"a <|endoftext|>{text}<|endoftext|> \n{text}"):
+        assert packing.encoder(VOCABULARY).ids(own) == t.encode(own, add_special_tokens=False).ids
 
 
 def test_packed(spark):
-    texts = ["one two " * n for n in (1, 900, 3000, 0, 7)] + [None, "", "same", "same"]
-    frame = docs(spark, texts, [5, 5, 3, 2, None, 8, 9, 10, 10]).repartition(3)
-    rows = packing.packed(frame, RANKS, PATTERN).collect()
-    encode = packing.encoder(RANKS, PATTERN).encode_ordinary
-    assert sum(r.length for r in rows) == sum(len(encode(t or "")) + 1 for t in texts)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(VOCABULARY.tokenizer)
+    encode = lambda text: t.encode(text, add_special_tokens=False).ids
+    texts = ["one two " * n for n in (1, 900, 3000, 0, 7)] + [None, "", "same", "same", "<|endoftext|> hi", " " * 1_500_000]
+    frame = docs(spark, texts, [5, 5, 3, 2, None, 8, 9, 10, 10, 11, 12]).repartition(3).withColumn("ids", F.lit("x"))
+    rows = packing.packed(frame, VOCABULARY).collect()
+    assert b"".join(bytes(r.ids) for r in sorted(rows, key=lambda r: r.start) if r.doc_id == 11) == np.array([50256, 23105, 1], "<u4").tobytes()
+    assert sum(r.length for r in rows) == sum(len(encode(x or "")) + 1 for x in texts)
     for r in rows:
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
     by = {}
@@ -102,7 +106,7 @@ def test_packed(spark):
         by[r.sequence_id] = r.offset + r.length
     ids = b"".join(bytes(r.ids) for r in sorted((r for r in rows if r.doc_id == 3), key=lambda r: r.start))
     assert np.frombuffer(ids, "<u4").tolist() == encode(texts[2]) + [1]
-    assert packing.packed(frame.limit(0), RANKS, PATTERN).count() == 0
+    assert packing.packed(frame.limit(0), VOCABULARY).count() == 0
 
 
 # --- chat
@@ -282,7 +286,7 @@ def test_language_model(spark):
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 120))) for _ in range(200)]
     texts += [None, "", "The\tTHE  the\x0b", "word " * 30_000, "\u00a0x \u00a0", texts[0], "unseen$$$"]
     frame = docs(spark, texts, [*range(205), 0, None]).repartition(3)
-    rows = language_model.scored(frame, RANKS, PATTERN, language_model.Settings(shard_bytes=6000, bucket_words=300)).collect()
+    rows = language_model.scored(frame, VOCABULARY, language_model.Settings(shard_bytes=6000, bucket_words=300)).collect()
     low = [re.sub(r"[A-Z]+", lambda m: m[0].lower(), t or "").encode().split() for t in texts]
     ids = [*range(205), 0, None]
     train = [w + [None] for i, w in zip(ids, low) if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
@@ -295,20 +299,20 @@ def test_language_model(spark):
     assert {r.train_tokens for r in rows} == {n} and all(r.score < 0 for r in rows)
     one = {r.score for r in rows if r.doc_id == 0}
     assert max(one) - min(one) < 1e-3  # a text's score does not depend on its shard
-    assert language_model.scored(frame.limit(0), RANKS, PATTERN).count() == 0
+    assert language_model.scored(frame.limit(0), VOCABULARY).count() == 0
 
 
 def test_all_training_windows(spark):
     texts = [f"text {i} " + "some words here " * (i % 50) for i in range(200)]
     settings = language_model.Settings(shard_bytes=3000)
     table = language_model.shards(docs(spark, texts).repartition(3), settings).cache()
-    v = len(language_model.id_bytes(RANKS)[0])
-    t = attention.tables(language_model.id_bytes(RANKS)[1], v - 1, np.ones(v), np.ones(v), np.zeros(0, np.int64), np.zeros(0))
+    v = len(language_model.id_bytes(VOCABULARY)[0])
+    t = attention.tables(language_model.id_bytes(VOCABULARY)[1], v - 1, np.ones(v), np.ones(v), np.zeros(0, np.int64), np.zeros(0))
     share = spark.sparkContext.broadcast
-    rows = language_model.copies(table, share(t), share(attention.start_network()), RANKS, PATTERN, settings).where("place = 0").collect()
+    rows = language_model.copies(table, share(t), share(attention.start_network()), VOCABULARY, settings).where("place = 0").collect()
     want = 0
     for r in table.collect():
-        s = language_model.sequence(t, language_model.unsqueeze(r.words), language_model.unsqueeze(r.number, "<i4"), np.array(r.n_words), RANKS, PATTERN)
+        s = language_model.sequence(t, language_model.unsqueeze(r.words), language_model.unsqueeze(r.number, "<i4"), np.array(r.n_words), VOCABULARY)
         doc = language_model.windows(s, t)[0]
         want += sum(not language_model.held_out(r.doc_id[d]) for d in doc.tolist())
     assert sum(r.seen for r in rows) == want > 200
