@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tagweft.llm import decontaminate, exact_dedup, near_copies, packing, quality
-from tagweft.llm.catalogue import PATTERN, RANKS, table
+from tagweft.llm.catalogue import VOCABULARY, table
 from tagweft.llm.shared import stored
 
 
@@ -37,7 +37,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def harmonic_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows, packed into sequences."""
-    return packing.packed(docs, RANKS, PATTERN).drop("ids")
+    return packing.packed(docs, VOCABULARY).drop("ids")
 
 
 STAGES = [
