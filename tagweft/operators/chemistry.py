@@ -24,6 +24,8 @@ COMPOUND = {
     "SC3Pv4": ["SC3Pv4:Poly-A", "SC3Pv4:CS1"],
 }
 V2 = frozenset({"10x_v2", "SC3Pv2", "SC5Pv2"})
+FEATURE_TYPES = ("hashing", "citeseq", "adt", "cmo", "crispr")
+ANTIBODY = frozenset({"hashing", "citeseq", "adt"})
 
 
 @dataclass(frozen=True)
@@ -71,8 +73,8 @@ def decide(counts: dict[str, int], sample: int = SAMPLE) -> str:
     if not order:
         raise ValueError("no chemistry matches the reads")
     if len(order) > 1:
-        most, second = counts[order[0]] / sample, counts[order[1]] / sample
-        if most < 0.05 or most - second < 0.1:
+        most, second = counts[order[0]], counts[order[1]]
+        if most / sample < 0.05 or (most - second) / sample < 0.1:
             raise ValueError(f"cannot tell the chemistry from {counts}")
     return order[0]
 
@@ -87,6 +89,11 @@ def position_votes(sample: DataFrame, features: DataFrame, length: int, max_mism
     return hit.agg(*[F.coalesce(F.sum(F.when(F.col("at") == p, F.col("n"))), F.lit(0)).cast("bigint").alias(f"n_pos{p}") for p in positions])
 
 
+def needs_position_vote(name: str, feature_type: str, given: int) -> bool:
+    """DEC8: whether reads must tell the type of antibody tags; a given position leaves it open."""
+    return feature_type in ANTIBODY and ":" not in name and name != "SC5Pv3" and given < 0
+
+
 def totalseq(name: str, n_pos0: int = 0, n_pos10: int = 0) -> str:
     """DEC8: A, B or C."""
     if ":" in name:
@@ -105,10 +112,24 @@ def settled(name: str, kind: str) -> str:
 
 def feature_position(feature_type: str, kind: str = "", given: int = -1, scaffold: str = "") -> int:
     """DEC9, DEC10. An antibody's type decides even where a position was given."""
-    if feature_type == "antibody":
+    if feature_type in ANTIBODY:
         return 0 if kind == "A" else 10
     if feature_type == "cmo":
         return 0
     if feature_type == "crispr":
         return given if given >= 0 else (0 if not scaffold else -1)
     raise ValueError(f"unknown feature type {feature_type}")
+
+
+def resolved(name: str, feature_type: str, given: int = -1, scaffold: str = "", n_pos0: int = 0, n_pos10: int = 0) -> Chemistry:
+    """DEC6-10 for a chemistry that is named, or that :func:`decide` has found.
+
+    The two counts are those of :func:`position_votes`, and count only where
+    :func:`needs_position_vote` asks for them.
+    """
+    umi_length, cell_mismatch = lengths(name)
+    kind = ""
+    if needs_position_vote(name, feature_type, given) or (feature_type in ANTIBODY and (":" in name or name == "SC5Pv3")):
+        kind = totalseq(name, n_pos0, n_pos10)
+    at = feature_position(feature_type, kind, given, scaffold)
+    return Chemistry(settled(name, kind) if kind else name, umi_length, cell_mismatch, kind, at)

@@ -12,6 +12,10 @@ from ..storage import stored
 from . import nearest
 
 
+#: Rows of (barcode, id, category), under 100 bytes each, that are broadcast at most; parts of a barcode's reads beyond.
+BROADCAST, SALT = 1_000_000, 64
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where barcodes lie in reads."""
@@ -35,15 +39,29 @@ def assigned(parts: DataFrame, cells: DataFrame, features: DataFrame, layout: La
 
     ``cells`` has id and barcode, ``features`` also category. Alike reads are
     combined on the map side and stored once, so the source is read and parsed once;
-    matching works on distinct barcodes, and one join each brings the ids back.
+    matching works on distinct barcodes, and one join each brings the ids back. Features
+    have few distinct barcodes, each with very many reads: they are broadcast if a count
+    finds few enough, and joined on salted keys beyond; reads without a feature barcode
+    skip that join.
     """
     parts = stored(parts.groupBy("cell_barcode", "feature_barcode", "read1").agg(F.count("*").alias("n")), "reads")
     c = nearest.match(parts.select(F.col("cell_barcode").alias("barcode")), cells, layout.cell_length, 0 if exact else layout.cell_mismatch)
     f = nearest.match(parts.where("feature_barcode IS NOT NULL").select(F.col("feature_barcode").alias("barcode")), features, layout.feature_length, 0 if exact else layout.feature_mismatch)
     f = f.join(features.select("id", "category"), "id")
-    c = c.select(F.col("barcode").alias("cell_barcode"), F.col("id").alias("cell_id"))
+    c = stored(c.select(F.col("barcode").alias("cell_barcode"), F.col("id").alias("cell_id")), "cell-ids")
     f = f.select(F.col("barcode").alias("feature_barcode"), F.col("id").alias("feature_id"), "category")
-    return parts.join(c, "cell_barcode", "left").join(f, "feature_barcode", "left")
+    named = parts.where("feature_barcode IS NOT NULL").join(c, "cell_barcode", "left")
+    none = [F.lit(None).cast(f.schema[name].dataType).alias(name) for name in ("feature_id", "category")]
+    lost = parts.where("feature_barcode IS NULL").join(c, "cell_barcode", "left").select("*", *none)
+    return _spread_join(named, stored(f, "feature-ids")).unionByName(lost)
+
+
+def _spread_join(reads: DataFrame, known: DataFrame) -> DataFrame:
+    """Left join on feature_barcode; no task gets all reads of a barcode."""
+    if known.count() <= BROADCAST:
+        return reads.join(F.broadcast(known), "feature_barcode", "left")
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return reads.withColumn("salt", F.pmod(F.xxhash64("read1"), F.lit(SALT)).cast("int")).join(salted, ["feature_barcode", "salt"], "left").drop("salt")
 
 
 def umi_of(read1: Column, layout: Layout, umi_length: int | None = None) -> Column:

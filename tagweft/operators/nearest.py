@@ -57,6 +57,13 @@ def ambiguity(listed: DataFrame, length: int, max_mismatch: int) -> DataFrame:
     return nearest_of(ball(listed, length, radius)).agg(F.count("*").alias("n_keys"), F.count_if(F.col("ids") > 1).alias("n_ambiguous"))
 
 
+def list_facts(listed: DataFrame, length: int, max_mismatch: int) -> DataFrame:
+    """RPT7: one row: barcodes, length, keys of the index, and how many of them are ambiguous, with their share."""
+    share = F.round(100.0 * F.col("n_ambiguous") / F.nullif("n_keys", F.lit(0)), 2)
+    facts = ambiguity(listed, length, max_mismatch)
+    return facts.select(F.lit(listed.count()).cast("bigint").alias("barcodes"), F.lit(length).alias("length"), "n_keys", "n_ambiguous", share.alias("ambiguous_share"))
+
+
 def match(keys: DataFrame, listed: DataFrame, length: int, max_mismatch: int, radius: int | None = None) -> DataFrame:
     """(barcode, id, dist) of the distinct ``keys.barcode`` that match ``listed`` (id, barcode).
 

@@ -2,8 +2,10 @@
 
 UMIs are ordered by reads, most first, then by the reversed string; ``rank`` is a
 struct in that order, so that no window has to number a group. Neighbours differ in
-one place. Graph labels spread in rounds of joins whose results go to the shared
-folder. UMIs without neighbours never enter a round.
+one place. Undirected components are contracted as stars; the directed graph's labels
+spread in rounds of joins, and a path halves its counts or is one of single reads.
+Both keep only the last round's table in the shared folder. UMIs without neighbours
+never enter a round.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import wildcard
-from ..storage import stored
+from ..storage import release, stored
+from .components import components
 
 GROUP = ["category", "cell_id", "feature_id"]
 
@@ -45,12 +48,24 @@ def spread(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
         given = edges.join(moving, [*GROUP, "umi_a"]).groupBy(*GROUP, F.col("umi_b").alias("umi")).agg(F.min("label").alias("given"))
         after = labels.drop("fresh").join(given, [*GROUP, "umi"], "left")
         better = F.coalesce(F.col("given") < F.col("label"), F.lit(False))
-        labels = stored(after.select(*GROUP, "umi", F.when(better, F.col("given")).otherwise(F.col("label")).alias("label"), better.alias("fresh")), "umi-labels")
+        after = stored(after.select(*GROUP, "umi", F.when(better, F.col("given")).otherwise(F.col("label")).alias("label"), better.alias("fresh")), "umi-labels")
+        release(labels)
+        labels = after
         if labels.where("fresh").isEmpty():
             return labels.drop("fresh")
     raise RuntimeError("labels did not settle")
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """AGG13: (group, umi, label): for each end of the ``edges``, both ways, the least rank of its component."""
+
+    def node(end: str) -> Column:
+        return F.struct(*GROUP, rank(f"reads_{end}", f"umi_{end}").alias("rank"))
+
+    found = components(edges.select(node("a").alias("a"), node("b").alias("b")))
+    return found.select(*[F.col(f"node.{c}").alias(c) for c in GROUP], F.reverse("node.rank.mirror").alias("umi"), F.col("root.rank").alias("label"))
+
+
 def _collapsed(molecules: DataFrame, targets: DataFrame) -> DataFrame:
     """AGG12: reads summed under ``targets.target`` (group, umi, target), or the UMI itself."""
     moved = molecules.join(targets, [*GROUP, "umi"], "left").withColumn("umi", F.coalesce("target", "umi"))
@@ -60,7 +75,7 @@ def _collapsed(molecules: DataFrame, targets: DataFrame) -> DataFrame:
 def cluster(molecules: DataFrame) -> DataFrame:
     """AGG9: connected components, under their first UMI."""
     edges = stored(neighbours(molecules), "umi-edges")
-    return _collapsed(molecules, spread(edges).select(*GROUP, "umi", F.reverse("label.mirror").alias("target")))
+    return _collapsed(molecules, connected(edges).select(*GROUP, "umi", F.reverse("label.mirror").alias("target")))
 
 
 def directional(molecules: DataFrame) -> DataFrame:
@@ -73,7 +88,7 @@ def directional(molecules: DataFrame) -> DataFrame:
 def adjacency(molecules: DataFrame) -> DataFrame:
     """AGG10: in each component the UMIs up to the last one needed as a best neighbour stay, the others join theirs."""
     edges = stored(neighbours(molecules), "umi-edges")
-    parts = spread(edges)
+    parts = connected(edges)
     ends = edges.select(*GROUP, F.col("umi_b").alias("umi"), rank("reads_b", "umi_b").alias("own"), rank("reads_a", "umi_a").alias("near"))
     best = ends.groupBy(*GROUP, "umi").agg(F.first("own").alias("own"), F.min("near").alias("near"))
     best = best.withColumn("edge", F.least("own", "near")).join(parts, [*GROUP, "umi"])

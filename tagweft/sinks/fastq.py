@@ -7,8 +7,10 @@ import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.dna import fastq_text
+from ..storage import release, remove, ship, stored
 
 BLOCK = 0xFF00
 #: Fixed value: the empty block that ends a BGZF file.
@@ -38,12 +40,34 @@ def bgzf(chunks: Iterator[bytes], level: int = 6) -> Iterator[bytes]:
 
 def write_gzip(reads: DataFrame, path: str, column: str = "read") -> None:
     """A column of read structs as gzip FASTQ, a file per task."""
-    text = reads.select(fastq_text(reads[column]).alias("value"))
-    text.write.mode("overwrite").option("compression", "gzip").option("lineSep", "").text(path)
+    text = reads.select(F.rtrim(fastq_text(reads[column]), F.lit("\n")).alias("value"))  # the writer ends each row
+    text.write.mode("overwrite").option("compression", "gzip").option("lineSep", "\n").text(path)
+
+
+def write_pairs(reads: DataFrame, folder: str, sample: str = "reads") -> None:
+    """Mates (structs ``read1`` and ``read2``) as pairs of gzip files that :mod:`tagweft.sources.fastq` finds, one pair a task.
+
+    The rows are stored first, so that both mates' files are written from the same
+    parts in the same order; files get their names through Hadoop's file system.
+    """
+    spark = reads.sparkSession
+    rows = stored(reads.select("read1", "read2"), "fastq-pairs")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = place(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for mate in "12":
+        half = f"{folder}/_mate{mate}"
+        write_gzip(rows, half, f"read{mate}")
+        for file in system.listStatus(place(half)):
+            name = file.getPath().getName()
+            if name.startswith("part-"):
+                system.rename(file.getPath(), place(f"{folder}/{sample}_{name[5:10]}_R{mate}_001.fastq.gz"))
+        remove(spark, half)
+    release(rows)
 
 
 def bgzf_parts(reads: DataFrame, column: str = "read") -> DataFrame:
     """(part, block, data): BGZF blocks made task by task; end to end, in order, and with ``LAST_BLOCK``, they are one file."""
+    ship(reads.sparkSession)
     text = reads.select(fastq_text(reads[column]).alias("value"))
 
     def pack(batches):
@@ -57,3 +81,21 @@ def bgzf_parts(reads: DataFrame, column: str = "read") -> DataFrame:
                 n += 1
 
     return text.mapInArrow(pack, "part long, block long, data binary")
+
+
+def write_bgzf(reads: DataFrame, path: str, column: str = "read") -> None:
+    """All reads as one BGZF file, in the order of the rows' parts.
+
+    Tasks compress; the driver only copies their blocks, one at a time, to the file,
+    through Hadoop's file system.
+    """
+    spark = reads.sparkSession
+    blocks = stored(bgzf_parts(reads, column), "bgzf")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        for row in blocks.orderBy("part", "block").select("data").toLocalIterator(prefetchPartitions=True):
+            out.write(bytes(row.data))
+        out.write(LAST_BLOCK)
+    finally:
+        out.close()

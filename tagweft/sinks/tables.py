@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import gzip
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dna import type_label
 from ..operators.matrix import counts, dense
+from ..storage import stored
 
 
 def write_molecules(molecules: DataFrame, path: str) -> None:
@@ -19,46 +19,72 @@ def write_molecules(molecules: DataFrame, path: str) -> None:
 
 def write_matrix(molecules: DataFrame, cells: DataFrame, features: DataFrame, path: str, genome: str = "") -> None:
     """SNK1 in long form: entries, barcodes in row order, and features with their labels; an empty genome is allowed."""
-    matrix = dense(counts(molecules))
+    matrix = stored(dense(counts(molecules)), "matrix")
     matrix.select("category", "cell_idx", "feature_id", "n").write.mode("overwrite").partitionBy("category").option("compression", "zstd").parquet(f"{path}/entries")
     matrix.select("category", "cell_idx", "cell_id").distinct().join(cells.select(F.col("id").alias("cell_id"), "name"), "cell_id").select("category", "cell_idx", "name").write.mode("overwrite").partitionBy("category").parquet(f"{path}/barcodes")
     features.select("id", "barcode", "name", "category", type_label(F.col("category")).alias("feature_type"), F.lit(genome).alias("genome")).coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
 
 
 def write_market(molecules: DataFrame, cells: DataFrame, features: DataFrame, folder: str) -> list[str]:
-    """MatrixMarket files of each category on the driver's disk, streamed entry by entry in row order."""
+    """MatrixMarket folders of each category (SRT5: entries in row order): barcodes, features and, in parts, the matrix.
+
+    The matrix is stored once. Sorted parts are written by tasks, as ``matrix.mtx/part-*.gz``,
+    and a header before them, as a gzip file whose name sorts first: put end to end in
+    the order of their names they are one MatrixMarket file.
+    """
+    spark = molecules.sparkSession
     out = []
-    names = features.orderBy("id").collect()  # a feature list is a small table
-    for category in sorted({f.category for f in names}):
-        own = [f for f in names if f.category == category]
-        place = {f.id: i + 1 for i, f in enumerate(own)}
-        matrix = dense(counts(molecules.where(F.col("category") == category)))
-        rows = matrix.select("cell_idx", "cell_id").distinct().join(cells.select(F.col("id").alias("cell_id"), "name"), "cell_id").orderBy("cell_idx")
-        at = Path(folder) / category
-        at.mkdir(parents=True, exist_ok=True)
-        n_cells = 0
-        with gzip.open(at / "barcodes.tsv.gz", "wt") as file:
-            for r in rows.select("name").toLocalIterator():
-                file.write(f"{r.name}\n")
-                n_cells += 1
-        with gzip.open(at / "features.tsv.gz", "wt") as file:
-            file.writelines(f"{f.barcode}\t{f.name}\t{category}\n" for f in own)
-        with gzip.open(at / "matrix.mtx.gz", "wt") as file:
-            file.write(f"%%MatrixMarket matrix coordinate integer general\n{len(own)} {n_cells} {matrix.count()}\n")
-            for r in matrix.orderBy("cell_idx", "feature_id").select("feature_id", "cell_idx", "n").toLocalIterator():
-                file.write(f"{place[r.feature_id]} {r.cell_idx + 1} {r.n}\n")
-        out.append(str(at))
+    place = features.groupBy("category").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # a feature list is a small table
+    place = place.select("category", F.posexplode("ids").alias("at", "feature_id"))
+    matrix = stored(dense(counts(molecules)).join(F.broadcast(place), ["category", "feature_id"]), "market")
+    sizes = {r.category: r for r in matrix.groupBy("category").agg(F.count("*").alias("entries"), F.count_distinct("cell_idx").alias("cells")).collect()}
+    for category, own in sorted(features.groupBy("category").count().collect()):
+        at = f"{folder}/{category}"
+        here = matrix.where(F.col("category") == category)
+        size = sizes.get(category)
+        rows = here.select("cell_idx", "cell_id").distinct().join(cells.select(F.col("id").alias("cell_id"), "name"), "cell_id")
+        _lines(rows.orderBy("cell_idx").select("name"), f"{at}/barcodes.tsv")
+        listed = features.where(F.col("category") == category).orderBy("id")
+        _lines(listed.select(F.concat_ws("\t", "barcode", "name", "category")), f"{at}/features.tsv")
+        head = f"%%MatrixMarket matrix coordinate integer general\n{own} {size.cells if size else 0} {size.entries if size else 0}\n"
+        entry = F.concat_ws(" ", F.col("at") + 1, F.col("cell_idx") + 1, "n")
+        _lines(here.orderBy("cell_idx", "feature_id").select(entry), f"{at}/matrix.mtx")
+        put_bytes(spark, f"{at}/matrix.mtx/header.txt.gz", gzip.compress(head.encode(), mtime=0))
+        out.append(at)
     return out
 
 
-def report_text(header: dict[str, float], sections: list[dict]) -> str:
-    """RPT1-6: counters, then a section per step, in text."""
+def _lines(text: DataFrame, path: str) -> None:
+    """One column as gzip text, in parts that are in order."""
+    text.toDF("value").write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, through Hadoop's file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(data)
+    out.close()
+
+
+def list_text(name: str, facts: dict) -> list[str]:
+    """RPT7: a barcode list in one line."""
+    share = "" if facts["ambiguous_share"] is None else f" ({facts['ambiguous_share']:.2f}%)"
+    return [f"{name}: {facts['barcodes']} barcodes of {facts['length']} bases; {facts['n_ambiguous']} of {facts['n_keys']} index keys are ambiguous{share}"]
+
+
+def report_text(header: dict[str, float], sections: list[dict], kept: list[dict] = (), lists: list[str] = (), seconds: dict[str, float] | None = None) -> str:
+    """RPT1-7: lists, counters, and then a section per category and step with what the step keeps, in text."""
     total = header["n_reads"]
-    lines = [f"Number of reads: {total}"]
+    lines = [*lists, f"Number of reads: {total}"]
     for name, label in (("n_valid_cell", "valid cell barcodes"), ("n_valid_feature", "valid feature barcodes"), ("n_valid", "valid cell and feature barcodes"), ("n_valid_umi", "valid barcodes and UMI")):
         share = f" ({100 * header[name] / total:.2f}%)" if total else ""
         lines.append(f"Reads with {label}: {header[name]}{share}")
+    shares = {(k["category"], k["step"]): k for k in kept}
     for s in sections:
         lines += ["", f"[{s['category']}] {s['step']}"]
+        s = s | {k: v for k, v in shares.get((s["category"], s["step"]), {}).items()}
         lines += [f"{k}: {v:.2f}" if isinstance(v, float) else f"{k}: {v}" for k, v in s.items() if k not in ("category", "step") and v is not None]
+    if seconds:
+        lines += ["", *(f"seconds of {name}: {spent:.2f}" for name, spent in seconds.items())]
     return "\n".join(lines) + "\n"

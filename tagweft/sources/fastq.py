@@ -3,76 +3,116 @@
     register(spark)
     reads = spark.read.format("fastq_pairs").load("dir1,dir2")
 
-A task reads one pair of files record by record, so mates pair by position and never
-through a shuffle; gzip cannot be split, so repartition before joins. Only the wanted
-columns are built. ``mode`` is FAILFAST (default: broken files raise) or PERMISSIVE
-(the ``error`` column says why a pair of files ends early).
+A task reads one pair of files, so mates pair by position and never through a
+shuffle; gzip cannot be split, so repartition before joins. Records of four lines are
+taken apart a batch at a time, and only the wanted columns are built. Options:
+
+* ``mode``: FAILFAST (default: broken files raise) or PERMISSIVE (the ``error``
+  column says why a pair of files ends early);
+* ``maxrecords``: one task reads the files in order and stops after so many records.
+
+Folders that Python cannot open (``hdfs://`` and the like) are read by
+:func:`pairs_of_lines`, through Hadoop's file systems; :func:`read_pairs` picks.
 """
 
 from __future__ import annotations
 
 import gzip
-import io
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..storage import ship
+
 SUFFIXES = ("R1_001.fastq.gz", "R2_001.fastq.gz")
 SCHEMA = "file_id INT, ordinal BIGINT, read1 STRING, read2 STRING, name1 STRING, comment1 STRING, qual1 STRING, name2 STRING, comment2 STRING, qual2 STRING, error STRING"
+TYPES = {c: pa.int32() if c == "file_id" else pa.int64() if c == "ordinal" else pa.string() for c in re.findall(r"(\w+) (?:INT|BIGINT|STRING)", SCHEMA)}
+BATCH = 8192
+
+
+def paired(directory: str, names: list[str]) -> list[tuple[str, str]]:
+    """The files with the two suffixes, each sorted, paired by position."""
+    one, two = ([f"{directory.rstrip('/')}/{n}" for n in sorted(names) if n.endswith(s)] for s in SUFFIXES)
+    if len(one) != len(two):
+        raise ValueError(f"{directory} has {len(one)} first and {len(two)} second read files")
+    return list(zip(one, two))
 
 
 def file_pairs(directories: str) -> list[tuple[str, str]]:
-    """Regular files (no links) of each directory with the two suffixes, each sorted, paired by position."""
+    """Pairs of regular files (no links) of all directories."""
     pairs: list[tuple[str, str]] = []
     for directory in (d for d in directories.split(",") if d):
         with os.scandir(directory) as found:
-            names = sorted(e.name for e in found if e.is_file(follow_symlinks=False))
-        one, two = ([os.path.join(directory, n) for n in names if n.endswith(s)] for s in SUFFIXES)
-        if len(one) != len(two):
-            raise ValueError(f"{directory} has {len(one)} first and {len(two)} second read files")
-        pairs += zip(one, two)
+            pairs += paired(directory, [e.name for e in found if e.is_file(follow_symlinks=False)])
     if not pairs:
         raise ValueError(f"no reads in {directories}")
     return pairs
 
 
-def records(lines: io.TextIOBase) -> Iterator[tuple[str, str, str, str]]:
+def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str]]:
     """(name, comment, sequence, quality) of FASTQ or FASTA text; sequences may run over lines."""
-    line = lines.readline()
+    line = next(lines, "")
     while line:
         line = line.rstrip("\r\n")
         if not line:
-            line = lines.readline()
+            line = next(lines, "")
             continue
         if line[0] not in ">@":
             raise ValueError(f"not a record: {line[:40]}")
         name, _, comment = line[1:].replace("\t", " ").partition(" ")
         seq: list[str] = []
-        line = lines.readline()
+        line = next(lines, "")
         while line and line[0] not in ">@+":
             seq.append(line.strip())
-            line = lines.readline()
+            line = next(lines, "")
         sequence, quality = "".join(seq), ""
         if not sequence:
             raise ValueError(f"empty sequence: {name}")
         if line.startswith("+"):
             while len(quality) < len(sequence):
-                line = lines.readline()
+                line = next(lines, "")
                 if not line:
                     raise ValueError(f"truncated quality: {name}")
                 quality += line.strip()
             if len(quality) != len(sequence):
                 raise ValueError(f"quality and sequence differ in length: {name}")
-            line = lines.readline()
+            line = next(lines, "")
         yield name, comment, sequence, quality
 
 
+#: Name, comment, sequence and quality of some records, as four lists.
+Columns = tuple[list[str], list[str], list[str], list[str]]
+
+
+def batches(lines: Iterator[str], size: int = BATCH) -> Iterator[Columns]:
+    """The records of ``lines``, ``size`` at a time.
+
+    Lines in fours are sliced; from the first batch on that has any other form, records are read one by one.
+    """
+    while block := list(islice(lines, 4 * size)):
+        heads, seqs, quals = block[0::4], [x.strip() for x in block[1::4]], [x.strip() for x in block[3::4]]
+        plain = len(block) % 4 == 0 and all(x[0] == "@" for x in heads) and all(x[0] == "+" for x in block[2::4])
+        if not (plain and all(seqs) and list(map(len, seqs)) == list(map(len, quals)) and all(x[0] not in ">@+" for x in seqs)):
+            rest = records(chain(block, lines))
+            while some := list(islice(rest, size)):
+                yield tuple(map(list, zip(*some)))
+            return
+        parts = [x.rstrip("\r\n")[1:].replace("\t", " ").partition(" ") for x in heads]
+        yield [p[0] for p in parts], [p[2] for p in parts], seqs, quals
+
+
 class FilePair(InputPartition):
-    def __init__(self, file_id: int, one: str, two: str):
-        super().__init__((file_id, one, two))
+    """Pairs of files (number, first, second) that one task reads, and how many records at most."""
+
+    def __init__(self, pairs: list[tuple[int, str, str]], most: int | None = None):
+        super().__init__((pairs, most))
 
 
 class PairReader(DataSourceReader):
@@ -80,29 +120,46 @@ class PairReader(DataSourceReader):
         self.columns = schema.names
         self.pairs = file_pairs(options["path"])
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.most = int(options["maxrecords"]) if "maxrecords" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePair(i, a, b) for i, (a, b) in enumerate(self.pairs)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        file_id, one, two = partition.value
-        ordinal = 0
-        try:
-            with gzip.open(one, "rt") as a, gzip.open(two, "rt") as b:
-                left, right = records(a), records(b)
-                while True:
-                    x, y = next(left, None), next(right, None)
-                    if x is None and y is None:
-                        return
-                    if x is None or y is None:
-                        raise ValueError(f"{one} and {two} differ in their number of records")
-                    row = {"file_id": file_id, "ordinal": ordinal, "read1": x[2], "read2": y[2], "name1": x[0], "comment1": x[1], "qual1": x[3], "name2": y[0], "comment2": y[1], "qual2": y[3]}
-                    yield tuple(row.get(c) for c in self.columns)
-                    ordinal += 1
-        except (ValueError, OSError, EOFError) as problem:
-            if not self.permissive:
-                raise ValueError(f"{one}, {two}: {problem}") from problem
-            yield tuple({"file_id": file_id, "ordinal": ordinal, "error": str(problem)}.get(c) for c in self.columns)
+        numbered = [(i, a, b) for i, (a, b) in enumerate(self.pairs)]
+        return [FilePair([p]) for p in numbered] if self.most is None else [FilePair(numbered, self.most)]
+
+    def _batch(self, n: int, values: dict) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(values[c], TYPES[c]) if c in values else pa.nulls(n, TYPES[c]) for c in self.columns], names=self.columns)
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        pairs, most = partition.value
+        for file_id, one, two in pairs:
+            if most == 0:
+                return
+            ordinal = 0
+            try:
+                with gzip.open(one, "rt") as a, gzip.open(two, "rt") as b:
+                    size = BATCH if most is None else min(BATCH, most)
+                    left, right = batches(a, size), batches(b, size)
+                    while True:
+                        x, y = next(left, None), next(right, None)
+                        n = min(len(x[0]) if x else 0, len(y[0]) if y else 0)
+                        take = n if most is None else min(n, most)
+                        if take:
+                            values = {"file_id": [file_id] * take, "ordinal": range(ordinal, ordinal + take)}
+                            for mate, got in (("1", x), ("2", y)):
+                                values |= {f"{name}{mate}": got[i][:take] for i, name in enumerate(("name", "comment", "read", "qual"))}
+                            yield self._batch(take, values)
+                            ordinal += take
+                            most = None if most is None else most - take
+                            if most == 0:
+                                break
+                        if (len(x[0]) if x else 0) != (len(y[0]) if y else 0):
+                            raise ValueError(f"{one} and {two} differ in their number of records")
+                        if x is None:
+                            break
+            except (ValueError, OSError, EOFError) as problem:
+                if not self.permissive:
+                    raise ValueError(f"{one}, {two}: {problem}") from problem
+                yield self._batch(1, {"file_id": [file_id], "ordinal": [ordinal], "error": [str(problem)]})
 
 
 class FastqPairs(DataSource):
@@ -118,4 +175,91 @@ class FastqPairs(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(FastqPairs)
+
+
+def remote_pairs(spark: SparkSession, directories: str) -> list[list[tuple[str, str]]]:
+    """As :func:`file_pairs`, folder by folder, through Hadoop's file systems."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pairs: list[list[tuple[str, str]]] = []
+    for directory in (d for d in directories.split(",") if d):
+        where = hadoop.Path(directory)
+        found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+        own = paired(directory, [f.getPath().getName() for f in found if f.isFile()])
+        pairs += [own] if own else []
+    if not pairs:
+        raise ValueError(f"no reads in {directories}")
+    return pairs
+
+
+def _mates(spark: SparkSession, files: list[str], mate: str) -> DataFrame:
+    """(file_id, ordinal, read, name, comment, qual) of each record of one folder's files; Spark gives a gzip file to one task, in order."""
+    numbers = {name.rsplit("/", 1)[-1]: i for i, name in enumerate(files)}
+
+    def cut(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one_file(lines: Iterator[str], name: str) -> Iterator[pa.RecordBatch]:
+            at = 0
+            for names, comments, seqs, quals in batches(lines):
+                yield pa.record_batch([pa.array([numbers[name]] * len(seqs), pa.int32()), pa.array(range(at, at + len(seqs)), pa.int64()), *map(pa.array, (seqs, names, comments, quals))], names=columns)
+                at += len(seqs)
+
+        rows = ((name, line) for batch in arrived for name, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        held = next(rows, None)
+        while held is not None:
+            name, after = held[0], [None]
+
+            def lines(first=held, name=name, after=after) -> Iterator[str]:
+                yield first[1] + "\n"
+                for other, line in rows:
+                    if other != name:
+                        after[0] = (other, line)
+                        return
+                    yield line + "\n"
+
+            yield from one_file(lines(), name)
+            held = after[0]
+
+    columns = ["file_id", "ordinal", f"read{mate}", f"name{mate}", f"comment{mate}", f"qual{mate}"]
+    text = spark.read.text(files).select(F.col("_metadata.file_name").alias("file"), "value")
+    return text.mapInArrow(cut, f"file_id int, ordinal long, read{mate} string, name{mate} string, comment{mate} string, qual{mate} string")
+
+
+def pairs_of_lines(spark: SparkSession, directories: str) -> DataFrame:
+    """The columns of ``fastq_pairs`` but ``error``, from any file system that Spark reads.
+
+    Each mate's files are read by Spark's text reader; mates meet by file and place
+    in a shuffle, which no key can skew. A pair of files of unlike length raises.
+    """
+    ship(spark)
+    lacking = F.raise_error(F.concat(F.lit("files differ in their number of records: "), F.col("file_id").cast("string"))).cast("string")
+    every, first = None, 0
+    for pairs in remote_pairs(spark, directories):
+        one, two = (_mates(spark, list(files), mate) for files, mate in zip(zip(*pairs), "12"))
+        both = one.join(two, ["file_id", "ordinal"], "full").withColumn("file_id", F.col("file_id") + first)
+        both = both.withColumns({c: F.when(F.col("read1").isNull() | F.col("read2").isNull(), lacking).otherwise(F.col(c)) for c in ("read1", "read2")})
+        every, first = both if every is None else every.union(both), first + len(pairs)
+    return every
+
+
+def local(directories: str) -> bool:
+    return not any(re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", d) for d in directories.split(","))
+
+
+def read_pairs(spark: SparkSession, directories: str, most: int | None = None) -> DataFrame:
+    """The pairs of all directories, by path or by address; with ``most``, the first so many in file order."""
+    if local(directories):
+        register(spark)
+        reader = spark.read.format("fastq_pairs")
+        return (reader if most is None else reader.option("maxrecords", most)).load(directories)
+    if most is None:
+        return pairs_of_lines(spark, directories)
+    # one pair of files at a time, until there are enough
+    got, left = None, most
+    for one, two in chain.from_iterable(remote_pairs(spark, directories)):
+        sides = [_mates(spark, [f], mate).limit(left) for f, mate in ((one, "1"), (two, "2"))]
+        own = sides[0].join(sides[1], ["file_id", "ordinal"])
+        got, left = own if got is None else got.union(own), left - own.count()
+        if left <= 0:
+            break
+    return got

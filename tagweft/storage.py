@@ -11,11 +11,14 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,4 +58,27 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     spark = frame.sparkSession
     path = new_path(spark, label)
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    table = spark.read.schema(frame.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete the files of a table that :func:`stored` gave, once no plan reads it any more."""
+    path = table.stored_at
+    remove(table.sparkSession, path)
+    _written.remove((table.sparkSession, path))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="tagweft-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    context.addPyFile(str(path))

@@ -2,7 +2,8 @@ import gzip
 
 import pytest
 
-from tagweft.operators import molecules
+from tagweft.operators import chemistry, molecules, nearest
+from tagweft.plans import cli
 from tagweft.plans import run as plan
 from tagweft.sinks import fastq as out
 from tagweft.sinks import tables
@@ -85,10 +86,13 @@ def test_run_and_sinks(spark, tmp_path):
     tables.write_matrix(raw, cells, features, str(tmp_path / "x"))
     assert spark.read.parquet(str(tmp_path / "x/entries")).count() == 3
     tables.write_market(raw, cells, features, str(tmp_path / "mtx"))
-    with gzip.open(tmp_path / "mtx/hash/matrix.mtx.gz", "rt") as f:
-        assert f.read().split("\n")[1:] == ["1 2 2", "1 1 1", "1 2 1", ""]
-    text = tables.report_text(result.counters.first().asDict(), [r.asDict() for r in result.summaries.collect()])
-    assert "Number of reads: 7" in text and "(85.71%)" in text and "[hash] raw" in text
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "mtx/hash/matrix.mtx").glob("*.gz")))
+    assert gzip.decompress(whole).decode().split("\n") == ["%%MatrixMarket matrix coordinate integer general", "1 2 2", "1 1 1", "1 2 1", ""]
+    facts = nearest.list_facts(features, 4, 1).first().asDict()
+    assert facts == {"barcodes": 2, "length": 4, "n_keys": 34, "n_ambiguous": 0, "ambiguous_share": 0.0}
+    text = tables.report_text(result.counters.first().asDict(), [r.asDict() for r in result.summaries.collect()], [r.asDict() for r in result.kept.collect()], tables.list_text("Features", facts), result.seconds)
+    assert "Number of reads: 7" in text and "(85.71%)" in text and "[hash] raw" in text and "umis_kept: 50.00" in text and "cells_kept: 100.00" in text
+    assert text.startswith("Features: 2 barcodes of 4 bases; 0 of 34 index keys are ambiguous (0.00%)") and "seconds of UMI correction" in text
 
 
 def test_bgzf(spark):
@@ -103,6 +107,41 @@ def test_bgzf(spark):
     assert gzip.decompress(blocks) == b"@r\nACGT\n+\nIIII\n" * 5
 
 
+def test_one_bgzf_file(spark, tmp_path):
+    rows = [((f"r{i}", "", "ACGT" * 30, "I" * 120),) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "read struct<name: string, comment: string, seq: string, qual: string>").coalesce(3)
+    out.write_bgzf(frame, str(tmp_path / "one.fastq.gz"))
+    with gzip.open(tmp_path / "one.fastq.gz", "rt") as f:
+        assert [r[0] for r in fastq.records(f)] == [f"r{i}" for i in range(2000)]
+
+
+def test_written_pairs(spark, tmp_path):
+    kind = "struct<name: string, comment: string, seq: string, qual: string>"
+    rows = [((f"r{i}", "1", "ACGT", "IIII"), (f"r{i}", "2", "T" * (i % 5 + 1), "")) for i in range(500)]
+    out.write_pairs(spark.createDataFrame(rows, f"read1 {kind}, read2 {kind}").repartition(3), str(tmp_path / "x"))
+    want = sorted((f"r{i}", "ACGT", "T" * (i % 5 + 1), "1", "2", "IIII", "") for i in range(500))
+    names = ["name1", "read1", "read2", "comment1", "comment2", "qual1", "qual2"]
+    for where in (f"{tmp_path}/x", f"file://{tmp_path}/x"):
+        assert sorted(tuple(r) for r in fastq.read_pairs(spark, where).select(names).collect()) == want
+        few = fastq.read_pairs(spark, where, 300)
+        assert few.count() == 300 and few.select("name1").distinct().count() == 300
+    assert fastq.read_pairs(spark, f"{tmp_path}/x,{tmp_path}/x").count() == fastq.read_pairs(spark, f"file://{tmp_path}/x,file://{tmp_path}/x").count() == 1000
+    assert fastq.read_pairs(spark, f"file://{tmp_path}/x,file://{tmp_path}/x").select("file_id", "ordinal").distinct().count() == 1000
+    write(tmp_path / "x/z_R1_001.fastq.gz", record("a", "ACGT") * 2)
+    write(tmp_path / "x/z_R2_001.fastq.gz", record("a", "ACGT"))
+    for where in (f"{tmp_path}/x", f"file://{tmp_path}/x"):
+        with pytest.raises(Exception, match="number of records"):
+            fastq.read_pairs(spark, where).collect()
+
+
+def test_batches_and_records_agree():
+    texts = [record("a", "ACGT") * 5, record("a b", "ACGT") + ">c\nAC\nGG\n" + record("d", "A"), "\n" + record("a", "AC"), record("a", "AC") + "\n" + record("b", "AC"), "@a\nAC\nGT\n+\nII\nII\n", "", record("a", "ACGT", "@III") * 3]
+    for text in texts:
+        for size in (1, 2, 100):
+            got = [r for b in fastq.batches(iter(text.splitlines(True)), size) for r in zip(*b)]
+            assert got == list(fastq.records(iter(text.splitlines(True))))
+
+
 def test_stream(spark, tmp_path):
     layout = molecules.Layout(4, 4, 4)
     cells = spark.createDataFrame([(0, "AAAA", "one")], "id int, barcode string, name string")
@@ -116,3 +155,55 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == {"ACGT": 2}
+
+
+TAGS, CELLS = ["ACGTACGTAC", "TTGGCCAATT"], ["ACGTACGT", "GGCCTTAA", "CATGCATG"]
+SCAFFOLD = "GTTTAAGAGCTAAGCTGGAA"
+RUNS = [
+    # type, options, list that holds the cells, start of the tag in read2, scaffold
+    ("hashing", [], "SC3Pv3:Poly-A", 0, ""),
+    ("citeseq", ["--chemistry", "threeprime"], "SC3Pv3:CS1", 10, ""),
+    ("adt", [], "10x_v2", 0, ""),
+    ("adt", ["--chemistry", "multiome", "--barcode-pos", "3"], "multiome", 10, ""),
+    ("hashing", ["--chemistry", "SC5Pv3", "-p", "3", "--no-such-flag", "7"], "SC5Pv3", 10, ""),
+    ("cmo", ["--barcode-pos", "4"], "SC5Pv3", 0, ""),
+    ("crispr", ["--barcode-pos", "4"], "multiome", 4, ""),
+    ("crispr", ["--chemistry", "SC3Pv2"], "SC3Pv2", 0, ""),
+    ("crispr", ["--scaffold-sequence", SCAFFOLD], "SC3Pv4:Poly-A", 7, SCAFFOLD),
+]
+
+
+@pytest.mark.parametrize("kind, options, chem, start, scaffold", RUNS)
+def test_command_line(spark, tmp_path, kind, options, chem, start, scaffold):
+    (tmp_path / "lists").mkdir()
+    for name, file in chemistry.LISTS.items():
+        own = CELLS if file == chemistry.LISTS[chem] else ["T" * 7 + "ACG"[len(name) % 3]]
+        write(tmp_path / "lists" / file, "".join(f"{c}\n" for c in own))
+    (tmp_path / "features.csv").write_text("".join(f"{t},tag{i}\n" for i, t in enumerate(TAGS)))
+    (tmp_path / "reads").mkdir()
+    umi = chemistry.lengths(chem)[0]
+    rows = [(CELLS[i % 3] + ("ACGT"[i % 4] * umi), "G" * start + TAGS[i % 2] + scaffold + "C" * 5) for i in range(60)]
+    for mate in (0, 1):
+        write(tmp_path / f"reads/a_R{mate + 1}_001.fastq.gz", "".join(record(f"r{i}", r[mate]) for i, r in enumerate(rows)))
+    cli.main([str(tmp_path / "lists"), kind, str(tmp_path / "features.csv"), str(tmp_path / "reads"), str(tmp_path / "out"), *options])
+    raw = spark.read.parquet(str(tmp_path / "out/molecules")).where("step = 'raw'")
+    want = {(i % 3, i % 2, "ACGT"[i % 4] * umi) for i in range(60)}
+    assert {(r.cell_id, r.feature_id, r.umi) for r in raw.collect()} == want and {r.category for r in raw.collect()} == {kind}
+    report = "\n".join(p.read_text() for p in (tmp_path / "out/report").glob("part-*"))
+    assert "Features: 2 barcodes of 10 bases" in report and "Cells: 3 barcodes of 8 bases" in report
+    assert "Reads with valid barcodes and UMI: 60 (100.00%)" in report and f"[{kind}] raw" in report and "umis_kept" in report and "seconds of reads to molecules" in report
+    assert ("chimeric_filtered" in report) == (kind == "crispr")
+
+
+def test_command_line_refuses(spark, tmp_path):
+    (tmp_path / "features.csv").write_text("ACGT,a\n")
+    for kind, options in (("antibody", []), ("hashing", ["--chemistry", "10x_v2"]), ("cmo", ["--chemistry", "other"])):
+        with pytest.raises(ValueError):
+            cli.main([str(tmp_path), kind, str(tmp_path / "features.csv"), str(tmp_path), str(tmp_path / "out"), *options])
+    with pytest.raises(SystemExit):
+        cli.main(["a", "cmo", "c", "d", "e", "--read-ratio-cutoff", "1"])
+    with pytest.raises(Exception, match="(?i)path"):  # a list that is not there
+        (tmp_path / "reads").mkdir()
+        write(tmp_path / "reads/a_R1_001.fastq.gz", record("a", "ACGT"))
+        write(tmp_path / "reads/a_R2_001.fastq.gz", record("a", "ACGT"))
+        cli.main([str(tmp_path), "cmo", str(tmp_path / "features.csv"), str(tmp_path / "reads"), str(tmp_path / "out")])

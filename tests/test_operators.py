@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tagweft.operators import chemistry, chimera, matrix, molecules, nearest, scaffold, umi
+from tagweft.operators import chemistry, chimera, components, matrix, molecules, nearest, scaffold, umi
 
 KEYS = "category string, cell_id int, feature_id int, umi string, reads long"
 
@@ -189,7 +189,15 @@ def test_decisions():
     assert len(chemistry.candidates("auto")) == 7
     assert chemistry.totalseq("SC3Pv3:Poly-A") == "A" and chemistry.totalseq("SC3Pv4:CS1") == "B" and chemistry.totalseq("SC5Pv3") == "C"
     assert chemistry.totalseq("multiome", 20, 5) == "A" and chemistry.totalseq("multiome", 20, 20) == "C"
-    assert chemistry.feature_position("antibody", "A", 5) == 0 and chemistry.feature_position("antibody", "", 5) == 10
+    for kind in ("hashing", "citeseq", "adt"):
+        assert chemistry.feature_position(kind, "A", 5) == 0 and chemistry.feature_position(kind, "", 5) == 10
+        assert chemistry.needs_position_vote("multiome", kind, -1) and not chemistry.needs_position_vote("multiome", kind, 0)
+    for bad in ("antibody", "Hashing", ""):
+        with pytest.raises(ValueError):
+            chemistry.feature_position(bad)
+    assert chemistry.resolved("10x_v2", "adt", n_pos0=20, n_pos10=3) == chemistry.Chemistry("SC3Pv2", 10, 1, "A", 0)
+    assert chemistry.resolved("10x_v2", "adt", given=4) == chemistry.Chemistry("10x_v2", 10, 1, "", 10)
+    assert chemistry.resolved("SC3Pv3:CS1", "crispr", scaffold="ACG") == chemistry.Chemistry("SC3Pv3:CS1", 12, 0, "", -1)
     assert chemistry.feature_position("crispr", scaffold="ACG") == -1 and chemistry.feature_position("cmo") == 0
     assert chemistry.settled("10x_v2", "A") == "SC3Pv2"
     with pytest.raises(ValueError):
@@ -201,3 +209,30 @@ def test_votes(spark):
     lists = spark.createDataFrame([("one", "AA"), ("two", "CC"), ("two", "AA"), ("none", "TT")], "chem string, barcode string")
     got = [tuple(r) for r in chemistry.votes(chemistry.first_reads(reads, 3), lists, 2).orderBy("rank").collect()]
     assert got == [("two", 3, 1), ("one", 2, 2), ("none", 0, 3)]
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5, 5)]
+    root = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(len(root)):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r.node: r.root for r in got.collect()} == root and got.count() == len(root)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components.components(spark.createDataFrame([(("x", 2), ("x", 1))], "a struct<k:string,n:int>, b struct<k:string,n:int>")).count() == 2
+
+
+def test_spread_join(spark, monkeypatch):
+    layout = molecules.Layout(4, 4, 4, cell_mismatch=0, feature_mismatch=0)
+    cells = spark.createDataFrame([(0, "AAAA", "one")], "id int, barcode string, name string")
+    features = spark.createDataFrame([(0, "GGGG", "g", "x"), (1, "TTTT", "t", "y")], "id int, barcode string, name string, category string")
+    reads = spark.createDataFrame([("AAAAACGT", "GGGG")] * 3 + [("AAAAACGA", "TTTT"), ("AAAAACGC", None), ("CCCCACGC", "CCCC")], "read1 string, feature string")
+    parts = reads.select(F.substring("read1", 1, 4).alias("cell_barcode"), F.col("feature").alias("feature_barcode"), "read1")
+    want = {("AAAAACGT", 0, 0, "x", 3), ("AAAAACGA", 0, 1, "y", 1), ("AAAAACGC", 0, None, None, 1), ("CCCCACGC", None, None, None, 1)}
+    for most in (10, 0):
+        monkeypatch.setattr(molecules, "BROADCAST", most)
+        got = molecules.assigned(parts, cells, features, layout)
+        assert {(r.read1, r.cell_id, r.feature_id, r.category, r.n) for r in got.collect()} == want and got.count() == 4
