@@ -1,29 +1,49 @@
-"""Shared tables (see :mod:`tagweft.storage`) and sending this package to executors."""
+"""Shared tables (see :mod:`tagweft.storage`), private column names, and rows that stay of groups."""
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import SparkSession
+from ..storage import new_path, release, remove, shared_folder, ship, stored
 
-from ..storage import new_path, remove, shared_folder, stored
+__all__ = ["bounded", "first_of_groups", "new_path", "private", "release", "remove", "shared_folder", "ship", "stored"]
 
-__all__ = ["new_path", "remove", "shared_folder", "ship", "stored"]
+#: Rows of a few numbers each that are broadcast at most.
+BROADCAST = 1_000_000
 
-_shipped: set[str] = set()
 
+def private(frame: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``frame`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in frame.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once a session."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    _shipped.add(context.applicationId)
-    top = Path(__file__).resolve().parents[1]
-    path = Path(tempfile.mkdtemp(prefix="tagweft-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(path, "w") as out:
-        for file in sorted(top.rglob("*.py")):
-            out.write(file, file.relative_to(top.parent))
-    context.addPyFile(str(path))
+
+def bounded(small: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table that is broadcast, or shuffled if it has more than ``most`` rows (``BROADCAST``)."""
+    return F.broadcast(small) if small.count() <= (BROADCAST if most is None else most) else small
+
+
+def first_of_groups(documents: DataFrame, named: DataFrame, key: Column) -> DataFrame:
+    """``documents`` with one row of each group: that with the smallest id, null last, and of several that with the smallest key.
+
+    ``named`` has (root, doc_id, key) of every row; ``key`` is a number made from the
+    text, by which rows are found again. Of rows with the same id and text one stays.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    rows = named.select("root", own.alias("own"))
+    first = rows.groupBy("root").agg(F.min("own").alias("first"))
+    lost = rows.join(first, "root").where("own <> first").select(F.col("own.doc_id").alias("id"), F.col("own.key").alias("key")).distinct()
+    own_key, lost_id, lost_key = private(documents, "text_key", "lost_id", "lost_key")
+    lost = stored(lost.select(F.col("id").alias(lost_id), F.col("key").alias(lost_key)), "groups-lost")
+    left = documents.withColumn(own_key, key)
+    left = left.join(bounded(lost), F.col("doc_id").eqNullSafe(F.col(lost_id)) & (F.col(own_key) == F.col(lost_key)), "left_anti")
+    if not named.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", own_key])
+    return left.select(documents.columns)

@@ -5,17 +5,23 @@ included; the whole sequence if it has fewer words) are hashed with XXH64, seed
 42. A fingerprint bit is set if it is set in over half the hashes; a text without
 words, null included, has fingerprint zero and links like any other.
 
-Only distinct fingerprints are searched. A router tree, built on the driver from a
-bounded sample (``Search.sample``), cuts them into shards by distance to vantage
-points. Each fingerprint lives in one shard and visits those shards beyond its own
-whose region it may touch: the triangle inequality shows which. Each shard searches
-with a tree of its own and returns a spanning forest of the links found, so a dense
-group of any size gives as many rows as it has members. Components are contracted
-as DataFrames.
+Only distinct fingerprints are searched. A router tree cuts them into shards by
+distance to vantage points: its top is built on the driver from a bounded sample
+(``Search.sample``), and what lies below each of its at most ``Search.top`` leaves by
+tasks, from samples that grow with the table, so shards do not. Each fingerprint lives
+in one shard and visits those shards beyond its own whose region it may touch: the
+triangle inequality shows which. Each shard searches with a tree of its own and returns
+a spanning forest of the links found, so a dense group of any size gives as many rows
+as it has members. Components are contracted as DataFrames.
+
+Rows with a null id, or with an id in common, are rows like any other; an empty table
+gives an empty one, and only doc_id and text are read, so other columns may have any
+name. A text of any length is hashed as a whole.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,19 +32,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from . import words
-from .components import components
-from .shared import stored
+from .shared import first_of_groups, stored
 
 
 @dataclass(frozen=True)
 class Search:
-    """``sample`` bounds the fingerprints that shape the router; all are indexed."""
+    """``sample`` fingerprints shape the ``top`` leaves of the router, and ``each`` for every shard what lies below; all are indexed."""
 
     radius: int = 3
     shard: int = 6000
     leaf: int = 192
     sample: int = 32_768
+    top: int = 2048
+    each: int = 16
 
 
 def fingerprints_of(block: words.Block, width: int = 3, seed: int = 42) -> np.ndarray:
@@ -61,17 +69,20 @@ def fingerprints_of(block: words.Block, width: int = 3, seed: int = 42) -> np.nd
     return out
 
 
+TEXT_KEY = F.xxhash64
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp long) for every row, in one pass."""
+    """(doc_id, key, fp long) for every row, in one pass; ``key`` is a hash of the text as it is."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [fingerprints_of(b) for b in words.blocks(batch.column("text"), lower=True)]
             fp = np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(fp)], names=["doc_id", "key", "fp"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, fp long")
+    return documents.select("doc_id", TEXT_KEY("text").alias("key"), "text").mapInArrow(make, f"doc_id {kind}, key long, fp long")
 
 
 def distance(points: np.ndarray, to: np.ndarray | np.uint64) -> np.ndarray:
@@ -210,14 +221,54 @@ def search(points: np.ndarray, visitors: np.ndarray, radius: int, leaf: int, see
     return forest
 
 
-def links(distinct: DataFrame, settings: Search = Search()) -> DataFrame:
-    """(a, b): links that connect what is within the radius, among distinct fingerprints ``fp``."""
+def grafted(top: list[tuple], below: dict[int, list[tuple]]) -> list[tuple]:
+    """A router with its leaves numbered anew, after some have been replaced by routers of their own."""
+    nodes, leaves = list(top), 0
+    for place, node in enumerate(top):
+        if node[0] is not None:
+            continue
+        own = below.get(node[1], [(None, 0)])
+        moved = {0: place} | {i: len(nodes) + i - 1 for i in range(1, len(own))}
+        nodes += [()] * (len(own) - 1)
+        for i, x in enumerate(own):
+            if x[0] is None:
+                nodes[moved[i]] = (None, leaves)
+                leaves += 1
+            else:
+                nodes[moved[i]] = (x[0], x[1], moved[x[2]], moved[x[3]])
+    return nodes
+
+
+def whole_router(distinct: DataFrame, settings: Search) -> list[tuple]:
+    """The router over all fingerprints; a node takes some 40 bytes, and there are two for each shard."""
     s = settings
     n = distinct.count()
+    want = -(-n // s.shard)
     sampled = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(s.sample)
-    sample = np.array([r.fp for r in sampled.collect()], np.int64).view(np.uint64)
-    nodes = router(sample, -(-n // s.shard))
-    shared = distinct.sparkSession.sparkContext.broadcast(nodes)
+    top = router(np.array([r.fp for r in sampled.collect()], np.int64).view(np.uint64), min(want, s.top))
+    if want <= s.top:
+        return top
+    shared = distinct.sparkSession.sparkContext.broadcast(top)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column("fp").to_numpy().view(np.uint64)
+            who, leaf, own = route(shared.value, points, 0)
+            yield pa.record_batch([pa.array(points[who[own]].view(np.int64)), pa.array(leaf[own])], names=["fp", "leaf"])
+
+    def build(frame: pd.DataFrame) -> pd.DataFrame:
+        nodes = router(np.sort(frame.fp.to_numpy().view(np.uint64)), -(-len(frame) // s.each))
+        return pd.DataFrame({"leaf": frame.leaf.iloc[:1], "nodes": [pickle.dumps(nodes)]})
+
+    some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, s.shard // s.each))) == 0).select("fp")
+    rows = some.mapInArrow(home, "fp long, leaf long").groupBy("leaf").applyInPandas(build, "leaf long, nodes binary").collect()
+    return grafted(top, {r.leaf: pickle.loads(r.nodes) for r in rows})
+
+
+def links(distinct: DataFrame, settings: Search = Search()) -> DataFrame:
+    """(a, b): links that connect what is within the radius, among distinct fingerprints ``fp``."""
+    s = settings
+    shared = distinct.sparkSession.sparkContext.broadcast(whole_router(distinct, s))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,18 +288,22 @@ def links(distinct: DataFrame, settings: Search = Search()) -> DataFrame:
     return sent.groupBy("shard").applyInPandas(join, "a long, b long")
 
 
-def groups(documents: DataFrame, settings: Search = Search()) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (smallest id that links reach; null if all are null)."""
-    marks = stored(fingerprints(documents), "simhash")
+def named(marks: DataFrame, settings: Search = Search()) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of ``marks`` (doc_id, fp): the id is the smallest that links reach, null if all are null."""
     distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     parts = stored(components(links(distinct, settings)), "simhash-parts")
-    named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = stored(named.join(least, "root").select("fp", "component_id"), "simhash-known")
-    return marks.join(known, "fp").select("doc_id", "fp", "component_id")
+    own = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = own.groupBy("root").agg(F.min("first").alias("component_id"))
+    return stored(own.join(least, "root").select("fp", "root", "component_id"), "simhash-known")
+
+
+def groups(documents: DataFrame, settings: Search = Search()) -> DataFrame:
+    """One row per document: doc_id, fp, component_id."""
+    marks = stored(fingerprints(documents), "simhash")
+    return marks.join(named(marks, settings), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(documents: DataFrame, settings: Search = Search()) -> DataFrame:
-    """``documents`` with, of each component, the rows whose id is its smallest (none of them is lost if all ids are null)."""
-    marks = groups(documents, settings).where("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("_lost")).distinct()
-    return documents.join(marks, F.col("doc_id") == F.col("_lost"), "left_anti").select(documents.columns)
+    """``documents`` with one row of each component, see :func:`tagweft.llm.shared.first_of_groups`."""
+    marks = stored(fingerprints(documents), "simhash")
+    return first_of_groups(documents, marks.join(named(marks, settings), "fp").select("root", "doc_id", "key"), TEXT_KEY("text"))

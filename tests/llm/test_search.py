@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagweft.llm import components, decontaminate, exact_dedup, near_copies, simhash, site_tree, substrings, words
+from tagweft.llm import decontaminate, exact_dedup, near_copies, simhash, site_tree, substrings, words
 from tagweft.llm.shared import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -64,28 +64,6 @@ def test_exact_splits_buckets(spark):
     assert exact_dedup.groups(frame.limit(0)).count() == 0
 
 
-# --- components
-
-
-def test_components(spark):
-    rng = random.Random(5)
-    edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randint(0, 80), 100 + rng.randint(0, 80)) for _ in range(50)] + [(500, 500 + i) for i in range(40)] + [(7, 7)]
-    root = {x: x for e in edges for x in e}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    frame = spark.createDataFrame(edges, "a long, b long")
-    got = {r.node: r.root for r in components.components(frame).collect()}
-    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
-    assert components.components(frame.limit(0)).count() == 0
-
-
 # --- SimHash
 
 
@@ -126,10 +104,15 @@ def plain_roots(points, radius=3):
         root = new
 
 
-@pytest.mark.parametrize("shards", [1, 9])
+@pytest.mark.parametrize("shards", [1, 9, 14])
 def test_routing_and_search(shards):
     points = near_points(1200, shards)
-    nodes = simhash.router(points[::3], shards)
+    nodes = simhash.router(points[::3], min(shards, 9))
+    if shards > 9:  # some leaves get routers of their own
+        _, leaf, own = simhash.route(nodes, points, 0)
+        nodes = simhash.grafted(nodes, {i: simhash.router(points[leaf == i], 3 if i < 2 else 2) for i in range(4)})
+        shards = sum(x[0] is None for x in nodes)
+        assert shards == 15 and sorted(x[1] for x in nodes if x[0] is None) == list(range(15))
     who, shard, own = simhash.route(nodes, points, 3)
     assert sorted(who[own].tolist()) == list(range(len(points)))
     forest = simhash.Forest(len(points))
@@ -160,6 +143,8 @@ def test_near_groups(spark):
     assert len(rows) == len(texts)
     for r in rows:
         assert r.fp & ((1 << 64) - 1) == by[r.doc_id] and r.component_id == least[group[by[r.doc_id]]]
+    deep = simhash.groups(docs(spark, texts, ids), simhash.Search(shard=5, leaf=4, top=2, each=5))
+    assert sorted(map(repr, deep.collect())) == sorted(map(repr, rows))
     left = simhash.deduplicated(docs(spark, texts, ids), simhash.Search(shard=10, leaf=4))
     assert {r.doc_id for r in left.collect()} - {None} == set(least.values())
     assert simhash.groups(docs(spark, texts).limit(0)).count() == 0
@@ -203,6 +188,7 @@ def test_near_copies(spark, monkeypatch):
     for sample in (near_copies.SAMPLE, 40):
         monkeypatch.setattr(near_copies, "SAMPLE", sample)
         monkeypatch.setattr(near_copies, "BROADCAST", sample)
+        monkeypatch.setattr(near_copies, "PIVOT", 12 if sample == 40 else 2)
         left = corpus_pipeline.near_duplicates(spark, frame, "")
         assert left.columns == frame.columns
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == want
