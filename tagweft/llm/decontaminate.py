@@ -1,18 +1,27 @@
 """Benchmark decontamination: a BM25 inverted index of test items, searched with block-max WAND.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. A
+Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased by
+Arrow, for items and texts alike. A
 text is cut into passages of twice the longest item's words that overlap by half,
 so every item that a text holds lies whole in some passage. Each passage is a query
 against the index, whose scores are scaled so that an item scores 1 against itself;
 all items at ``Settings.threshold`` or above are retrieved, by skipping what block
-maxima rule out, never by a top-k. A retrieved item counts as leaked if its
+maxima rule out, never by a top-k.
+
+Each item leaves out its most frequent terms, up to ``Settings.common`` of the threshold,
+from the lists that open blocks: an item can reach the threshold only if a passage has
+some of its other, essential terms. So a passage meets the blocks of its own rare terms
+alone, and its work does not grow with the items it has nothing to do with. A block is
+searched if the block maxima of the passage's essential terms, with the most that
+common terms can add there, reach the threshold. A retrieved item counts as leaked if its
 question (all but its last third of words) and its answer (the rest) each have at
 least ``overlap`` of their five-word shingles in that passage (parts of fewer words:
 the whole part).
 
-Null or empty texts and items without words match nothing. Repeated items or rows
-give repeated findings, ties all count, and other columns are never read. The index
-is broadcast in parts of at most ``part_items`` items, whose words are bounded by
+Null or empty texts and items without words match nothing; an empty table gives an
+empty one, and texts of any length are cut like others. Repeated items or rows give
+repeated findings, ties all count, and other columns are never read. The index is made
+and broadcast in parts of at most ``part_items`` items, whose words are bounded by
 ``part_words``; more items mean more parts, each a pass of its own over the texts.
 """
 
@@ -23,20 +32,21 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import words
+from .shared import stored
 
 
 @dataclass(frozen=True)
 class Settings:
     threshold: float = 0.7
+    common: float = 0.5
     overlap: float = 0.8
     shingle: int = 5
     k1: float = 1.2
@@ -51,8 +61,9 @@ _IN_WORD = np.zeros(256, bool)
 _IN_WORD[48:58] = _IN_WORD[97:123] = _IN_WORD[128:] = True
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return WORD.findall((text or "").lower().encode())
+def tokens(texts: list[str | None]) -> list[list[bytes]]:
+    """The words of each text."""
+    return [WORD.findall((x.as_py() or "").encode()) for x in pc.utf8_lower(pa.array(texts, pa.string()))]
 
 
 def parts_of(item: list[bytes]) -> tuple[list[bytes], list[bytes]]:
@@ -69,9 +80,9 @@ def shingles(part: list[bytes], size: int) -> set[tuple[bytes, ...]]:
 class Index:
     """Postings by term, ordered by item, and for each term its blocks of items with their largest weight.
 
-    A block is ``settings.block`` consecutive items. Terms that stand in over half
-    of many blocks are ``common``: their part of a bound is taken from the items,
-    whose common weights sum up to ``common_most`` in each block at most.
+    A block is ``settings.block`` consecutive items. ``at`` to ``block_most`` are those
+    of the essential postings alone; the others' weights sum up to ``common_most`` in
+    each block at most.
     """
 
     settings: Settings
@@ -84,7 +95,7 @@ class Index:
     longest: int = 0
     hashes: np.ndarray | None = None  # of terms, sorted
     order: np.ndarray | None = None  # term number of each
-    at: np.ndarray | None = None  # where the blocks of each rare term begin in the next two
+    at: np.ndarray | None = None  # where the essential blocks of each term begin in the next two
     block_no: np.ndarray | None = None
     block_most: np.ndarray | None = None
     common_most: np.ndarray | None = None
@@ -93,15 +104,15 @@ class Index:
 def build(rows: list[tuple], settings: Settings, n_items: int | None = None, df: Counter | None = None, mean: float | None = None) -> Index:
     """Index (item_id, text) rows; the counts of the whole benchmark go with a part of it."""
     index = Index(settings)
-    for item_id, text in rows:
-        got = tokens(text)
+    for (item_id, _), got in zip(rows, tokens([t for _, t in rows])):
         if got:
             index.ids.append(item_id)
             index.items.append(got)
     df = df or Counter(t for item in index.items for t in set(item))
     n_items = n_items or len(index.items)
     mean = mean or (sum(map(len, index.items)) / max(1, len(index.items)))
-    lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+    lists: dict[bytes, list[tuple[int, float, bool]]] = defaultdict(list)
+    common_sum = np.zeros(len(index.items))
     for i, item in enumerate(index.items):
         index.longest = max(index.longest, len(item))
         weight = {}
@@ -109,24 +120,26 @@ def build(rows: list[tuple], settings: Settings, n_items: int | None = None, df:
             idf = math.log(1 + (n_items - df[term] + 0.5) / (df[term] + 0.5))
             weight[term] = idf * n * (settings.k1 + 1) / (n + settings.k1 * (1 - settings.b + settings.b * len(item) / mean))
         whole = sum(weight.values())
-        for term, w in weight.items():
-            lists[term].append((i, w / whole))
+        for term in sorted(weight, key=lambda t: (-df[t], t)):
+            w = weight[term] / whole
+            essential = common_sum[i] + w > settings.common * settings.threshold
+            if not essential:
+                common_sum[i] += w
+            lists[term].append((i, w, essential))
     index.n_blocks = -(-len(index.items) // settings.block)
-    common_sum = np.zeros(len(index.items))
     at, block_no, block_most = [0], [], []
     for term, found in lists.items():
         index.terms[term] = len(index.postings)
-        who, w = np.array([i for i, _ in found]), np.array([x for _, x in found])
+        who, w, essential = (np.array(x) for x in zip(*found))
         index.postings.append((who, w))
         no, first = np.unique(who // settings.block, return_index=True)
         most, end = np.maximum.reduceat(w, first), [*first[1:], len(who)]
         index.blocks.append({int(b): (int(f), int(e), float(m)) for b, f, e, m in zip(no, first, end, most)})
-        if len(no) > 4 and 2 * len(no) > index.n_blocks:
-            common_sum[who] += w
-        else:
+        if essential.any():
+            no, first = np.unique(who[essential] // settings.block, return_index=True)
             block_no.append(no)
-            block_most.append(most)
-        at.append(at[-1] + (len(no) if not (len(no) > 4 and 2 * len(no) > index.n_blocks) else 0))
+            block_most.append(np.maximum.reduceat(w[essential], first))
+        at.append(at[-1] + (len(no) if essential.any() else 0))
     if index.terms:
         data = np.frombuffer(b" ".join(index.terms), np.uint8)
         hashed = words.word_hashes(words.split(data, np.array([0, len(data)])))
@@ -179,35 +192,39 @@ def wand(index: Index, query: list[int], block: int) -> list[tuple[int, float]]:
 def passages(block: words.Block, index: Index) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(text, first word, end, item blocks) of the passages whose bound reaches the threshold in some block.
 
-    The bounds of all passages and item blocks are added up at once: a passage is
-    two neighbouring segments of the longest item's words.
+    A passage is two neighbouring segments of the longest item's words. Only pairs of a
+    passage and a block that share an essential term are made.
     """
     hashed = words.word_hashes(block)
     place = np.minimum(np.searchsorted(index.hashes, hashed), len(index.hashes) - 1)
     hit = np.flatnonzero(index.hashes[place] == hashed)
+    term = index.order[place[hit]]
+    opens = index.at[term + 1] > index.at[term]
+    hit, term = hit[opens], term[opens]
     if not len(hit):
         return
-    term = index.order[place[hit]]
-    counts, step = block.counts(), index.longest
+    counts, step, n_terms = block.counts(), index.longest, len(index.terms)
     n = -(-counts // step)  # segments of each text
     at = np.cumsum(n) - n
-    doc = np.repeat(np.arange(len(counts)), counts)[hit]
-    segment = at[doc] + (hit - block.bounds[:-1][doc]) // step
-    size = index.at[term + 1] - index.at[term]
-    from_ = np.repeat(index.at[term], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    key = np.repeat(segment, size) * index.n_blocks + index.block_no[from_]
-    total = np.bincount(key, index.block_most[from_], int(n.sum()) * index.n_blocks).astype(np.float64).reshape(-1, index.n_blocks)
     owner = np.repeat(np.arange(len(counts)), n)
-    bound = total.copy()
-    if len(total) > 1:
-        bound[:-1] += total[1:] * (owner[1:] == owner[:-1])[:, None]
-    bound += index.common_most
     within = np.arange(len(owner)) - at[owner]
-    reached = (bound >= index.settings.threshold - 1e-6) & ((within == 0) | (within < n[owner] - 1))[:, None]
-    for k in np.flatnonzero(reached.any(axis=1)):
+    doc = block.doc_of_word()[hit]
+    key = np.unique((at[doc] + (hit - block.bounds[:-1][doc]) // step) * n_terms + term)
+    later = key[within[key // n_terms] > 0] - n_terms  # the passage of the segment before has them too
+    key = np.unique(np.concatenate([key, later]))
+    passage, term = key // n_terms, key % n_terms
+    whole = (within[passage] == 0) | (within[passage] < n[owner[passage]] - 1)  # a last segment is in the passage before
+    passage, term = passage[whole], term[whole]
+    size = index.at[term + 1] - index.at[term]
+    from_ = np.repeat(index.at[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    pair, place = np.unique(np.repeat(passage, size) * index.n_blocks + index.block_no[from_], return_inverse=True)
+    bound = np.bincount(place, index.block_most[from_], len(pair)) + index.common_most[pair % index.n_blocks]
+    pair = pair[bound >= index.settings.threshold - 1e-6]
+    found, first_pair = np.unique(pair // index.n_blocks, return_index=True)
+    for k, item_blocks in zip(found.tolist(), np.split(pair % index.n_blocks, first_pair[1:])):
         d = owner[k]
         first = block.bounds[d] + within[k] * step
-        yield int(d), int(first), int(min(first + 2 * step, block.bounds[d + 1])), np.flatnonzero(reached[k])
+        yield int(d), int(first), int(min(first + 2 * step, block.bounds[d + 1])), item_blocks
 
 
 def leaks(index: Index, passage: list[bytes], item_blocks: np.ndarray) -> Iterator[tuple[int, float, float, float]]:
@@ -232,7 +249,7 @@ def _found(column: pa.Array, index: Index) -> Iterator[tuple[int, int, float, fl
     data, at = words.text_buffers(column)
     table = np.where(_IN_WORD, np.arange(256), 32).astype(np.uint8)
     row, rows = 0, len(at) - 1
-    size = max(1 << 16, min(words.BLOCK_BYTES, (4 << 20) // index.n_blocks * index.longest * 6))  # bounds the passages' table
+    size = 1 << 20
     while row < rows:
         end = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
         block = words.split(table[data[at[row] : at[end]]], at[row : end + 1] - at[row])
@@ -248,25 +265,29 @@ def _found(column: pa.Array, index: Index) -> Iterator[tuple[int, int, float, fl
         row = end
 
 
-def indexes(benchmark: DataFrame, settings: Settings) -> list[Index]:
-    """The benchmark in parts of bounded size; statistics are those of all items.
+def indexes(benchmark: DataFrame, settings: Settings) -> Iterator[Index]:
+    """The benchmark in parts of bounded size, one after the other; statistics are those of all items.
 
-    The items come to the driver: a benchmark is a test set, and ``part_items`` and
-    ``part_words`` bound what is then broadcast at once.
+    Items are read twice, a few at a time: the driver holds their words' counts and one part.
     """
-    rows = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    every = [tokens(t) for _, t in rows]
-    df = Counter(t for item in every for t in set(item))
-    n = sum(1 for item in every if item)
-    mean = sum(map(len, every)) / max(1, n)
-    groups, size = [[]], 0
-    for row, item in zip(rows, every):
-        if groups[-1] and (len(groups[-1]) >= settings.part_items or size + len(item) > settings.part_words):
-            groups.append([])
-            size = 0
-        groups[-1].append(row)
-        size += len(item)
-    return [build(g, settings, n, df, mean) for g in groups]
+
+    def rows() -> Iterator[tuple]:
+        return ((r.item_id, r.text) for r in benchmark.select("item_id", "text").toLocalIterator())
+
+    df, n, total = Counter(), 0, 0
+    for _, text in rows():
+        item = tokens([text])[0]
+        df.update(set(item))
+        n, total = n + bool(item), total + len(item)
+    group, size = [], 0
+    for row in rows():
+        length = len(tokens([row[1]])[0])
+        if group and (len(group) >= settings.part_items or size + length > settings.part_words):
+            yield build(group, settings, n, df, total / max(1, n))
+            group, size = [], 0
+        group.append(row)
+        size += length
+    yield build(group, settings, n, df, total / max(1, n))
 
 
 def findings(documents: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -275,9 +296,7 @@ def findings(documents: DataFrame, benchmark: DataFrame, settings: Settings = Se
     kinds = documents.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
     schema = f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, score double, question_overlap double, answer_overlap double, first_word long"
 
-    def one(index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
-
+    def one(shared: Broadcast) -> DataFrame:
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = shared.value.ids
             for batch in batches:
@@ -288,7 +307,14 @@ def findings(documents: DataFrame, benchmark: DataFrame, settings: Settings = Se
 
         return documents.select("doc_id", "text").mapInArrow(find, schema)
 
-    return reduce(DataFrame.union, [one(i) for i in indexes(benchmark, settings)])
+    every, held = None, None
+    for index in indexes(benchmark, settings):
+        if held is not None:  # more than one part: each is done before the next is made
+            found = stored(one(held), "leaks")
+            held.destroy()
+            every = found if every is None else every.union(found)
+        held = spark.sparkContext.broadcast(index)
+    return one(held) if every is None else every.union(one(held))
 
 
 def _arrow(kind) -> pa.DataType:
