@@ -61,7 +61,7 @@ def op9_benchmark_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_extendible_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.groups(table(spark, sf_dir, "documents")).drop("row_no")
+    return exact_dedup.groups(table(spark, sf_dir, "documents")).drop("row_no", "text_key")
 
 
 QUERIES = {f.__name__: f for f in (op1_feistel_pii, op2_harmonic_packing, op3_prefix_targets, op4_quality_classifier, op5_attention_scores, op6_window_doubling, op7_site_style_tree, op8_simhash_vp, op9_benchmark_wand, op10_extendible_dedup)}
@@ -91,13 +91,20 @@ FROM n WINDOW w AS (PARTITION BY body)
 """
 
 OP6_SQL = r"""
-WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT r, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
 first AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
 lost AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS p FROM win JOIN first USING (k) WHERE m < doc_id),
+sequences AS (SELECT sha256(array_to_string(ws, ' ')) AS s, min(coalesce(doc_id, 9223372036854775807)) AS keeper, any_value(ws) AS ws FROM w GROUP BY 1),
+starts AS (SELECT 50 AS level, s, keeper, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT s, keeper, ws, unnest(range(1, len(ws) - 48)) AS i FROM sequences)),
+grown(level, s, keeper, i, k) AS (
+  SELECT * FROM starts QUALIFY min(keeper) OVER (PARTITION BY k) < max(keeper) OVER (PARTITION BY k) UNION ALL
+  SELECT * FROM (SELECT 2 * a.level, a.s, a.keeper, a.i, md5(a.k || b.k) AS k2 FROM grown a JOIN grown b ON a.s = b.s AND b.i = a.i + a.level) QUALIFY min(keeper) OVER (PARTITION BY k2) < max(keeper) OVER (PARTITION BY k2)),
+reached AS (SELECT s, max(level) AS level FROM grown GROUP BY s),
 words AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
 kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN lost USING (r, p) GROUP BY r)
-SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(level, 0)::BIGINT AS longest_repeat
+FROM w LEFT JOIN kept USING (r) LEFT JOIN reached ON s = sha256(array_to_string(ws, ' '))
 """
 
 ORACLE_SQL = {"op6_window_doubling": OP6_SQL, "op3_prefix_targets": OP3_SQL, "op10_extendible_dedup": OP10_SQL}

@@ -1,19 +1,25 @@
 """Exact dedup by an extendible-hash index on shared files, in DataFrame operations only.
 
 Two texts are equal if their bytes are, once each run of the six ASCII white-space
-bytes is one space; null counts as empty. The index is built in four steps:
+bytes is one space; null counts as empty. The index is built in four steps, the same
+at every size:
 
 1. every row becomes an entry (its id, 64-bit key, SHA-256) in a shared table;
-2. texts whose key occurs more than once are compared byte by byte: rows with
-   equal bytes meet in one slot, combined on the map side first, so a group of
-   copies of any size moves one row a task;
+2. texts whose key occurs more than once are compared byte by byte: a bitmap filter of
+   those keys, of bounded size, passes their texts and few others, and rows with equal
+   bytes meet in one slot, combined on the map side first, so a group of copies of any
+   size moves one row a task. Each slot has its bytes' digest, its number of rows and
+   its smallest id; a text whose key occurs once is a slot of one row;
 3. the directory doubles until no bucket holds more than ``capacity`` slots, or
-   its depth is ``max_depth``; tasks own ranges of buckets, and number the slots
-   that collide on a key into a chain;
-4. entries look up their slot by key and digest.
+   its depth is ``max_depth``: counts of all prefixes of the keys, made from one count
+   of the longest ones, give each bucket's depth at once. Tasks own ranges of buckets,
+   and number the slots that collide on a key into a chain;
+4. entries look up their slot in the index by key and digest; it says which id stays.
 
 Of equal rows the one with the smallest id stays; a null id counts as largest, and
-of rows with the same id and text just one stays. Other columns are not touched.
+of rows with the same id and text just one stays. An empty table gives an empty one.
+Texts of any length are compared as a whole. Other columns are not touched and may
+have any name.
 """
 
 from __future__ import annotations
@@ -21,9 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import one_of_each, possibly, stored, without
 
 SPACES = r"[\x20\x09-\x0D]+"
+#: Doublings of the directory at most: its cells are counted and broadcast.
+DEEPEST = 20
 
 
 def normalised(text: Column) -> Column:
@@ -31,97 +39,98 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def entries(documents: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """Step 1: a row per document with a number of its own (``row_no``); written, as that number is not stable."""
-    text = normalised(F.col("text"))
-    table = documents.select(
-        F.monotonically_increasing_id().alias("row_no"),
-        "doc_id",
-        key_of(text, hash_bits).alias("key"),
-        F.sha2(text, 256).alias("sha"),
-    )
-    return stored(table, "exact-entries")
-
-
 def key_of(text: Column, hash_bits: int) -> Column:
     key = F.xxhash64(text)
     return key if hash_bits == 64 else F.shiftleft(F.shiftrightunsigned(key, 64 - hash_bits), 64 - hash_bits)
 
 
-def slots(documents: DataFrame, table: DataFrame, hash_bits: int = 64, broadcast_keys: int = 200_000) -> DataFrame:
-    """Step 2: (key, sha, rows) for each distinct text among the keys that repeat.
+def _id() -> Column:
+    """An id in its order, null last."""
+    return F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"))
 
-    The repeated keys are broadcast only if a count finds ``broadcast_keys`` of them
-    or fewer; with more, all texts are compared, and unique keys just add slots.
-    """
-    repeated = table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("seen"))
-    texts = documents.select(normalised(F.col("text")).alias("body"))
-    texts = texts.select(key_of(F.col("body"), hash_bits).alias("key"), "body")
-    repeated = stored(repeated, "exact-repeated")
-    if repeated.count() <= broadcast_keys:
-        texts = texts.join(F.broadcast(repeated), F.col("key") == F.col("seen"), "left_semi")
-    same = texts.groupBy("key", "body").agg(F.count("*").alias("rows"))
-    return same.select("key", F.sha2("body", 256).alias("sha"), "rows")
+
+def entries(documents: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """Step 1: a row per document with a number of its own (``row_no``); written, as that number is not stable."""
+    own = documents.select("doc_id", F.xxhash64("text").alias("text_key"), normalised(F.col("text")).alias("body"))
+    table = own.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text_key", key_of(F.col("body"), hash_bits).alias("key"), F.sha2("body", 256).alias("sha"))
+    return stored(table, "exact-entries")
+
+
+def slots(documents: DataFrame, table: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """Step 2: (key, sha, rows, first) of each distinct text; ``first`` is its smallest id."""
+    count = table.groupBy("key").agg(F.count("*").alias("n"), F.min("sha").alias("sha"), F.min(_id()).alias("first"))
+    count = stored(count, "exact-keys")
+    repeated = stored(count.where("n > 1").select("key"), "exact-repeated")
+    texts = documents.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("key", key_of(F.col("body"), hash_bits))
+    texts = possibly(texts, F.col("key"), repeated)
+    same = texts.groupBy("key", "body").agg(F.count("*").alias("rows"), F.min(_id()).alias("first"))
+    same = same.select("key", F.sha2("body", 256).alias("sha"), "rows", "first").join(repeated, "key", "left_semi")
+    return count.where("n = 1").select("key", "sha", F.lit(1).cast("long").alias("rows"), "first").union(same)
 
 
-def prefix(key: Column, depth: int) -> Column:
-    return F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned(key, 64 - depth)
+def prefix(key: Column, depth: Column | int) -> Column:
+    """The first ``depth`` bits of a key."""
+    depth = F.lit(depth) if isinstance(depth, int) else depth
+    return F.when(depth == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", key, 64 - depth))
 
 
-def index(table: DataFrame, capacity: int = 50_000, max_depth: int = 40) -> DataFrame:
-    """Step 3: each slot with its bucket (first key and depth) and its place in the key's chain.
+def directory(table: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame, int]:
+    """(cell, depth) for each of the 2**deepest prefixes that occur: the depth of the bucket that it points to; and deepest.
 
-    Only whether some bucket is still too full comes to the driver.
+    A bucket of one key alone does not split.
     """
-    table = stored(table.withColumns({"depth": F.lit(0), "bucket": F.lit(0).cast("long")}), "exact-slots")
-    for depth in range(max_depth):
-        full = table.where(F.col("depth") == depth).groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
-        full = stored(full.where((F.col("n") > capacity) & (F.col("keys") > 1)).select("bucket", F.lit(True).alias("split")), "exact-full")
-        if full.isEmpty():
-            break
-        halves = table.join(full.withColumn("depth", F.lit(depth)), ["depth", "bucket"], "left")
-        moved = F.col("split").isNotNull()
-        halves = halves.select("key", "sha", "rows", F.when(moved, depth + 1).otherwise(F.col("depth")).alias("depth"), F.when(moved, prefix(F.col("key"), depth + 1)).otherwise(F.col("bucket")).alias("bucket"))
-        table = stored(halves, f"exact-depth{depth + 1}")
-    lowest = F.expr("CASE WHEN depth = 0 THEN 0L ELSE shiftleft(bucket, 64 - depth) END")
-    owned = table.withColumn("lowest", lowest).repartitionByRange("lowest", "depth", "key").sortWithinPartitions("lowest", "depth", "key", "sha")
+    slots_, deepest = table.count(), 0
+    while deepest < min(max_depth, DEEPEST) and slots_ > capacity << max(0, deepest - 3):
+        deepest += 1
+    cells = table.groupBy(prefix(F.col("key"), deepest).alias("cell")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    cells = stored(cells, "exact-cells")
+    every = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(deepest))).alias("depth"))
+    every = every.withColumn("bucket", F.call_function("shiftright", F.col("cell"), F.lit(deepest) - F.col("depth")))
+    fits = every.groupBy("depth", "bucket").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    fits = fits.where((F.col("n") <= capacity) | (F.col("low") == F.col("high")) | (F.col("depth") == deepest)).select("depth", "bucket")
+    return every.join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("depth")), deepest
+
+
+def index(table: DataFrame, capacity: int = 4096, max_depth: int = DEEPEST) -> DataFrame:
+    """Step 3: each slot with its bucket (first key and depth) and its place in the key's chain."""
+    table = stored(table, "exact-slots")
+    found, deepest = directory(table, capacity, max_depth)
+    placed = table.withColumn("cell", prefix(F.col("key"), deepest)).join(F.broadcast(stored(found, "exact-directory")), "cell")
+    lowest = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", prefix(F.col("key"), F.col("depth")), 64 - F.col("depth")))
+    owned = placed.withColumn("lowest", lowest).repartitionByRange("lowest", "depth", "key").sortWithinPartitions("lowest", "depth", "key", "sha")
     chain = Window.partitionBy("lowest", "depth", "key").orderBy("sha")
-    owned = owned.select("key", "sha", "rows", "lowest", "depth", F.row_number().over(chain).alias("place"))
-    return stored(owned, "exact-index")
+    twice = F.raise_error(F.lit("different texts share a SHA-256")).cast("int")
+    place = F.when(F.lag("sha").over(chain) == F.col("sha"), twice).otherwise(F.row_number().over(chain))
+    return stored(owned.select("key", "sha", "rows", "first", "lowest", "depth", place.alias("place")), "exact-index")
 
 
-def groups(documents: DataFrame, hash_bits: int = 64, capacity: int = 50_000, broadcast_keys: int = 200_000) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row_no."""
+def groups(documents: DataFrame, hash_bits: int = 64, capacity: int = 4096) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row_no, text_key (a hash of the text as it is)."""
     table = entries(documents, hash_bits)
-    found = index(slots(documents, table, hash_bits, broadcast_keys), capacity)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row_no").alias("no"))
-    first = table.groupBy("key", "sha").agg(F.min(order).alias("first"))
-    # The slots say how many rows had equal bytes; two slots under one digest would be two texts with one SHA-256.
-    sizes = found.groupBy("key", "sha").agg(F.count("*").alias("texts"), F.sum("rows").alias("rows"))
-    sizes = sizes.select("key", "sha", F.when(F.col("texts") == 1, F.col("rows")).otherwise(F.raise_error(F.lit("different texts share a SHA-256")).cast("long")).alias("rows"))
-    known = stored(first.join(sizes, ["key", "sha"], "left").select("key", "sha", "first", F.coalesce("rows", F.lit(1)).cast("long").alias("group_size")), "exact-groups")
-    return table.join(known, ["key", "sha"]).select(
+    known = index(slots(documents, table, hash_bits), capacity)
+    found = table.join(known.select("key", "sha", "rows", F.col("first.id").alias("keep_id")), ["key", "sha"])
+    found = stored(found, "exact-found")
+    # of rows with the same id and text one stays: the first
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    first = found.where(own & (F.col("rows") > 1)).groupBy("key", "sha").agg(F.min("row_no").alias("first_row"))
+    return found.join(first, ["key", "sha"], "left").select(
         "doc_id",
-        F.col("first.id").alias("keep_id"),
-        "group_size",
-        (F.col("row_no") == F.col("first.no")).alias("kept"),
+        "keep_id",
+        F.col("rows").alias("group_size"),
+        ((F.col("rows") == 1) | (F.col("row_no") == F.col("first_row"))).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "row_no",
+        "text_key",
     )
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns.
 
-    They are found again by id and digest. Rows that share both are repeats of one
-    row, so the first row of such a group, in any order, is the one that stays.
+    Rows are found again by id and a hash of the text as it is; only those that may go
+    are shuffled.
     """
-    kept = groups(documents).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    own = documents.withColumns({"_sha": F.sha2(normalised(F.col("text")), 256)})
-    there = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
-    names = documents.columns
-    repeated = own.groupBy("doc_id", "_sha").agg(F.count("*").alias("_n")).where("_n > 1")
-    if repeated.isEmpty():
-        return there.select(names)
-    one = there.groupBy("doc_id", "_sha").agg(*[F.first(F.col(c)).alias(c) for c in names if c != "doc_id"])
-    return one.select(names)
+    found = stored(groups(documents), "exact-groups")
+    lost = found.groupBy("doc_id", F.col("text_key").alias("key")).agg(F.bool_or("kept").alias("stays")).where(~F.col("stays"))
+    left = without(documents, lost.select("doc_id", "key"), F.xxhash64("text"))
+    return one_of_each(left, found.select("doc_id", F.col("text_key").alias("key")), F.xxhash64("text"))

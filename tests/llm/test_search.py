@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tagweft.llm import decontaminate, exact_dedup, near_copies, simhash, site_tree, substrings, words
+from tagweft.llm import decontaminate, exact_dedup, near_copies, shared, simhash, site_tree, substrings, words
 from tagweft.llm.shared import ship
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,13 +32,13 @@ def docs(spark, texts, ids=None):
 # --- exact dedup
 
 
-@pytest.mark.parametrize("bits, capacity, keys", [(64, 50_000, 200_000), (5, 3, 200_000), (5, 3, 0), (2, 4, 0)])
-def test_exact(spark, bits, capacity, keys):
+@pytest.mark.parametrize("bits, capacity", [(64, 50_000), (64, 3), (5, 3), (2, 4)])
+def test_exact(spark, bits, capacity):
     rng = random.Random(bits)
     texts = [rng.choice(["a  b", "a b", "a\tb", "c", None, "", " ", f"t{rng.randint(0, 40)}", "é" * 5000]) for _ in range(150)]
     ids = [rng.choice([None, *range(60)]) for _ in texts]
     frame = docs(spark, texts, ids).withColumn("key", F.lit("clash")).repartition(5)
-    rows = exact_dedup.groups(frame, hash_bits=bits, capacity=capacity, broadcast_keys=keys).collect()
+    rows = exact_dedup.groups(frame, hash_bits=bits, capacity=capacity).collect()
     plain = {}
     for i, t in zip(ids, texts):
         plain.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", t or ""), []).append(i)
@@ -53,7 +55,7 @@ def test_exact(spark, bits, capacity, keys):
 def test_exact_splits_buckets(spark):
     frame = docs(spark, [f"text {i}" for i in range(200)])
     table = exact_dedup.entries(frame)
-    every = table.select("key", "sha", F.lit(1).alias("rows"))
+    every = table.select("key", "sha", F.lit(1).cast("long").alias("rows"), F.struct(F.lit(False).alias("last"), F.col("doc_id").alias("id")).alias("first"))
     found = exact_dedup.index(every, capacity=20).collect()
     assert len(found) == 200 and min(r.depth for r in found) >= 3
     sizes = {}
@@ -64,6 +66,20 @@ def test_exact_splits_buckets(spark):
     assert exact_dedup.groups(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [18, 3])
+def test_filter(spark, monkeypatch, bits):
+    monkeypatch.setattr(shared, "MOST_BITS", bits)
+    keys = shared.stored(spark.range(0, 3000, 3).select(F.col("id").alias("key")), "keys")
+    rows = spark.range(3000).select("id", F.lit("x").alias("filter_at"), F.lit("y").alias("May_be"))
+    got = shared.possibly(rows, F.col("id"), keys)
+    some = {r.id for r in got.collect()}
+    assert got.columns == rows.columns and some >= set(range(0, 3000, 3)) and (len(some) < 1100 if bits == 18 else len(some) <= 3000)
+    assert shared.possibly(rows, F.col("id"), shared.stored(keys.limit(0), "keys")).count() == 0
+    lost = spark.createDataFrame([(5, 50), (None, 60), (7, 71)], "doc_id long, key long")
+    frame = spark.createDataFrame([(5, "a", 50), (5, "b", 51), (None, "c", 60), (None, "d", 61), (7, "e", 70)], "doc_id long, text string, may_be long")
+    assert sorted(r.text for r in shared.without(frame, lost, F.col("may_be")).collect()) == ["b", "d", "e"]
+
+
 # --- SimHash
 
 
@@ -228,25 +244,17 @@ def test_substrings(spark, seed, length):
         rows.append((rng.choice([i, i, None, 3]), " ".join(w).replace(" ", "\n", 1)))
     rows += [(70, None), (71, ""), (72, "same " * 500), (73, "same " * 500), (73, "same " * 500), (74, "same " * 40)]
     frame = docs(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("sha", F.lit("clash")).repartition(3)
-    for ids in (200_000, 0):
-        substrings_search = substrings.search
-        got = substrings.removed(frame, length) if ids else None
-        if ids == 0:
-            table, keepers, candidates, found = substrings_search(frame, length, broadcast_ids=0)
-            assert found.where("lost").count() >= 0
-            break
-        assert sorted((r.doc_id if r.doc_id is not None else 2**63 - 1, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == plain_removed(rows, length)
+    got = substrings.removed(frame, length)
+    assert sorted((r.doc_id if r.doc_id is not None else 2**63 - 1, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == plain_removed(rows, length)
     assert substrings.removed(frame.limit(0), length).count() == 0
 
 
 def test_grown(spark):
     rng = random.Random(2)
     shared = [f"s{rng.randint(0, 10**6)}" for _ in range(45)]
-    frame = docs(spark, [" ".join(["a", *shared, "b"]), " ".join(["c", "d", *shared])])
-    _, _, candidates, found = substrings.search(frame, 10)
-    best = substrings.grown(candidates, found, 10)
-    longest = {(r["rank"], r.start): r.words for r in best.collect()}
-    assert longest[0, 1] == 40 and longest[1, 2] == 40 and longest[0, 6] == 40 and longest[0, 7] == 20 and longest[0, 36] == 10
+    texts = [" ".join(["a", *shared, "b"]), " ".join(["c", "d", *shared]), " ".join(shared[:12]), "x " * 9, None, " ".join(["a", *shared, "b"])]
+    rows = substrings.removed(docs(spark, texts), 10).collect()
+    assert {r.doc_id: r.longest_repeat for r in rows} == {0: 40, 1: 40, 2: 10, 3: 0, 4: 0, 5: 40}
 
 
 # --- decontamination
@@ -269,11 +277,11 @@ def plain_scores(index, passage):
 def test_wand(threshold):
     rng = random.Random(6)
     vocabulary = ["the", "of", "a"] * 8 + [f"w{i}" for i in range(120)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 25)))) for i in range(60)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(5, 25)))) for i in range(60)] + [(60, "the of a the"), (61, "the"), (62, None), (63, "")]
     index = decontaminate.build(items, decontaminate.Settings(threshold=threshold, block=4))
     hits = 0
     for _ in range(60):
-        passage = (" ".join(rng.choices(vocabulary, k=15)) + " " + rng.choice(items)[1]).encode().split()
+        passage = (" ".join(rng.choices(vocabulary, k=15)) + " " + (rng.choice(items)[1] or "")).encode().split()
         known = sorted({index.terms[t] for t in passage if t in index.terms})
         got = {i: s for b in range(index.n_blocks) for i, s in decontaminate.wand(index, known, b)}
         want = {i: s for i, s in plain_scores(index, passage).items() if s >= threshold - 1e-9}
@@ -291,7 +299,8 @@ def test_wand(threshold):
 def test_leaks(spark):
     rng = random.Random(7)
     make = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
-    items = [make(rng.randint(15, 40)).capitalize() + "." for _ in range(30)] + ["", None, "two words"]
+    items = [make(rng.randint(15, 40)).capitalize() + "." for _ in range(28)]
+    items += ["ΤΟΥΣ ΛΟΓΟΥΣ " + make(12) + " ΟΔΟΣ", "İstanbul ŞIŞLI " + make(12) + " DİYE", "", None, "two words"]
     filler = [make(rng.randint(0, 300)) for _ in range(30)]
     half = " ".join(items[3].split()[: len(items[3].split()) // 2])
     texts = [f + " " + items[i].upper().replace(" ", "\n  ") + " " + f for i, f in enumerate(filler)] + filler + [half, None, "", items[5] + " " + make(400) + " " + items[6]]
@@ -311,7 +320,7 @@ def test_leaks(spark):
 
 
 def extract(html):
-    return "\n".join(site_tree.blocks(site_tree.parse(html), frozenset(), 12))
+    return "\n".join(site_tree.blocks(site_tree.parse(html), frozenset()))
 
 
 @pytest.mark.parametrize(
@@ -352,3 +361,89 @@ def test_site_tree(spark):
         assert all(by[200 + i] == body[0] for i in range(20))
         assert by[300] == "" and len(by[None]) == 499_999
     assert site_tree.extracted(frame.limit(0)).count() == 0
+
+
+def plain_importance(htmls, settings=site_tree.Settings()):
+    """Composite importance of each path of one host, by recursion over whole pages."""
+    pages = [site_tree.style_rows(site_tree.parse(h), settings.levels) for h in dict.fromkeys(htmls)]
+    paths = {}
+    for page in pages:
+        for path, (above, *_) in page.items():
+            paths[path] = above
+    shared = {p for p in paths if sum(p in page for page in pages) >= settings.pages}
+
+    def entropy(counts, m):
+        total = sum(counts)
+        return -sum(c / total * math.log(c / total) for c in counts) / math.log(m) if m > 1 else 0
+
+    def value(path):
+        own = [page[path] for page in pages if path in page]
+        m, looks = len(own), Counter(x[1] for x in own)
+        terms = {t for x in own for t in x[3]}
+        spread = [entropy([x[3][t] for x in own if t in x[3]], m) for t in terms]
+        content = 1 - sum(spread) / len(spread) if spread else 0
+        texts, kinds = sum(bool(x[3]) for x in own), sum(x[2] for x in own)
+        children = [c for c in shared if paths[c] and paths[c][-1] == path]
+        n = {c: sum(c in page for page in pages) for c in children}
+        parts = texts * content + (kinds - sum(n.values())) + sum(n[c] * value(c) for c in children)
+        left = settings.decay ** len(looks)
+        return (1 - left) * entropy(looks.values(), m) + (left * parts / (kinds + texts) if kinds + texts else 0)
+
+    return {p: value(p) for p in shared}
+
+
+def varied_site(rng, n=24):
+    """Pages whose furniture declares nothing and differs from page to page, beside articles that no tag marks."""
+    pool = ["Home", "News", "About us", "Prices", "Contact", "Jobs", "Archive"]
+    say = lambda k: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k))
+    rows, bodies = [], []
+    for _ in range(n):
+        links = "".join(f"<div><a href='#'>{x}</a></div>" for x in rng.sample(pool, 5))
+        bodies.append([say(30) for _ in range(rng.randint(1, 4))])
+        text = "".join(f"<p>{b}</p>" for b in bodies[-1])
+        rows.append(f"<body><div class='x{rng.randint(1, 9)}'>{links}</div><div class='y'>{text}</div><div class='z'>Made by {rng.choice(['us', 'them'])} in {rng.choice(['May', 'June'])}</div></body>")
+    return rows, ["\n".join(b) for b in bodies]
+
+
+def test_tree_finds_furniture_that_varies_and_declares_nothing(spark):
+    htmls, bodies = varied_site(random.Random(3))
+    rows = [(i, "https://a.example/x", h) for i, h in enumerate([*htmls, htmls[0], htmls[0]])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"paths": F.lit(1), "Host": F.lit("x")}).repartition(3)
+    got = {r.path: r for r in site_tree.importance(frame).collect()}
+    want = plain_importance(htmls)
+    assert got.keys() == want.keys() and all(abs(got[p].importance - want[p]) < 1e-9 for p in want)
+    text = {r.page_id: r.text for r in site_tree.extracted(frame).collect()}
+    assert [text[i] for i in range(len(htmls))] == bodies and text[len(htmls)] == bodies[0]
+    alone = {r.page_id: r.text for r in site_tree.extracted(frame, site_tree.Settings(declarations=False)).collect()}
+    assert alone == text
+    without = {r.page_id: r.text for r in site_tree.extracted(frame, site_tree.Settings(tree=False)).collect()}
+    assert all("Made by" in x for x in without.values())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_importance_against_recursion(spark, seed):
+    rng = random.Random(seed)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return " ".join(rng.choices("abcdefg", k=rng.randint(0, 4)))
+        tag = rng.choice(["div", "section", "ul", "p", "article", "nav", "b"])
+        return "".join(f"<{tag}>{some(depth - 1)}</{tag}>" for _ in range(rng.randint(1, 3)))
+
+    htmls = [some(4) for _ in range(40)]
+    s = site_tree.Settings(pages=4)
+    frame = spark.createDataFrame([(i, "//h/", h) for i, h in enumerate([*htmls, htmls[3]])], "page_id long, url string, html string")
+    got = {r.path: r.importance for r in site_tree.importance(frame, s).collect()}
+    want = plain_importance(htmls, s)
+    assert len(want) > 2 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+@pytest.mark.parametrize("tags", ["<div>", "<b>", "<p><b>", "<article>", "<main><header>", "<article><header>", "<li><td>", "<nav>", "<i>"])
+def test_deep_and_long_pages(tags):
+    n = 100_000
+    inner = {"<i>": "deep text" + "<div>" * 1000, "<main><header>": "deep text", "<nav>": "deep text"}.get(tags, "<h1>deep text</h1>")
+    html = f"{tags * n}{inner}{'</u></p></q>' * n}<p>after</p>"
+    root = site_tree.parse(html)
+    text = " ".join(site_tree.blocks(root, frozenset([1])))
+    assert ("deep text" in text) == (tags not in ("<nav>", "<main><header>"))
+    assert sum(len(x[3]) for x in site_tree.style_rows(root, 64).values()) <= 3
