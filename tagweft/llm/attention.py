@@ -1,16 +1,13 @@
-"""A small causal self-attention model over subword ids, in numpy.
+"""A small causal self-attention model over words' first subword ids, in numpy.
 
 One head attends over windows of ``WINDOW`` ids, of which the last ``FRESH`` are
 scored and the others are context, so each id is scored once. The position before
-an id gives a hidden state; from it come gates over experts:
-
-* for an id that begins a word: a softmax over classes of such ids, a pointer (the
-  attention itself, on equal ids in the window), and the ids' plain frequencies;
-* for an id inside a word: a table of pairs with frequencies to fall back on, and
-  the pointer.
-
-Whether a word goes on is a count per id. So all ids' probabilities sum to one at
-most.
+an id gives a hidden state; from it come gates over three experts: a softmax in two
+steps, over ``CLASSES`` classes of ids and over the ``SLOTS`` of a class, a pointer (the
+attention itself, on equal ids in the window), and the ids' plain frequencies. Every
+step reaches every id that a training word begins with: ids are dealt to classes and
+slots by frequency, and only those beyond ``CLASSES * SLOTS`` share last slots, by their
+frequencies. So all ids' probabilities sum to one.
 """
 
 from __future__ import annotations
@@ -19,174 +16,181 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CONTEXT, FRESH = 16, 48
+CONTEXT, FRESH = 8, 24
 WINDOW = CONTEXT + FRESH
+CLASSES, SLOTS, WIDTH = 32, 64, 16
+#: Embedding rows: the most frequent ids have one each, all others the last.
+ROWS = 2048
 LAG = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :]  # query minus key
 CAUSAL = LAG >= 0
+SEEN = np.arange(WINDOW)[None, :] >= np.arange(CONTEXT + 1)[:, None]  # keys by how many places are blank
 
 
 @dataclass
 class Tables:
-    """Counts over the training words: what surrounds the network."""
+    """What surrounds the network, by id: counts over the training words, and places in it."""
 
-    vocabulary: int
     end_id: int
-    starts: np.ndarray  # whether an id begins a word
     first_count: np.ndarray  # training words that begin with an id, or texts for the end
-    first: np.ndarray  # probability of an id among those that begin a word, or the end
-    inner: np.ndarray  # probability of an id among all others
-    stop: np.ndarray  # probability that a word ends after an id
-    left: np.ndarray  # mass of ids that the pairs of an id leave to ``inner``
-    pair_key: np.ndarray  # sorted, previous id * vocabulary + id
-    pair_value: np.ndarray
-    row: np.ndarray  # embedding row of an id
-    group: np.ndarray  # class of an id that begins a word
-    in_group: np.ndarray  # its probability within the class
-
-    def pairs(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """Probability of ids inside words after others."""
-        key = before.astype(np.int64) * self.vocabulary + now
-        at = np.minimum(np.searchsorted(self.pair_key, key), max(len(self.pair_key) - 1, 0))
-        found = self.pair_key[at] == key if len(self.pair_key) else np.zeros(len(key), bool)
-        kept = np.where(found, self.pair_value[at], 0) if len(self.pair_key) else 0
-        return kept + self.left[before] * self.inner[now]
-
-
-def tables(starts: np.ndarray, end_id: int, first_count: np.ndarray, stop_count: np.ndarray, pair_key: np.ndarray, pair_count: np.ndarray, rows: int = 2048, groups: int = 64, discount: float = 0.75) -> Tables:
-    """Smoothed probabilities from counts; ``pair_key`` is sorted."""
-    v = len(starts)
-    begins = starts.copy()
-    begins[end_id] = True
-    first = np.where(begins, first_count + 0.5, 0.0)
-    first /= first.sum()
-    before, now = pair_key // v, pair_key % v
-    inner = np.where(begins, 0.0, np.bincount(now, pair_count, v) + 0.5)
-    inner /= inner.sum()
-    going = np.bincount(before, pair_count, v)
-    value = np.maximum(pair_count - discount, 0) / np.maximum(going[before], 1)
-    left = np.clip(1 - np.bincount(before, value, v), 1e-6, 1)
-    stop = (stop_count + 0.5) / (stop_count + going + 1)
-    stop[end_id] = 1.0
-    common = np.argsort(-(first_count + np.bincount(now, pair_count, v)), kind="stable")
-    row = np.full(v, rows, np.int32)
-    row[common[:rows]] = np.arange(rows)
-    row[end_id] = rows - 1
-    group = np.full(v, groups - 1, np.int32)
-    group[np.argsort(-first, kind="stable")[: groups - 1]] = np.arange(groups - 1)
-    mass = np.bincount(group, first, groups)
-    return Tables(v, end_id, starts, first_count.astype(np.float64), first.astype(np.float32), inner.astype(np.float32), np.clip(stop, 1e-7, 1).astype(np.float32), left.astype(np.float32), pair_key, value.astype(np.float32), row, group, (first / np.maximum(mass[group], 1e-12)).astype(np.float32))
-
-
-def start_network(rows: int = 2049, width: int = 16, groups: int = 64, seed: int = 3) -> dict[str, np.ndarray]:
+    first: np.ndarray  # the share of those
+    row: np.ndarray
+    group: np.ndarray
+    slot: np.ndarray
+    in_slot: np.ndarray  # an id's probability within its slot
+
+
+def tables(first_count: np.ndarray, end_id: int) -> Tables:
+    v = len(first_count)
+    order = np.argsort(-first_count, kind="stable")
+    rank = np.empty(v, np.int64)
+    rank[order] = np.arange(v)
+    group = rank % CLASSES
+    slot = np.minimum(rank // CLASSES, SLOTS - 1)
+    mass = np.bincount(group * SLOTS + slot, first_count, CLASSES * SLOTS)
+    in_slot = first_count / np.maximum(mass[group * SLOTS + slot], 1e-12)
+    first = first_count / max(first_count.sum(), 1)
+    return Tables(end_id, first_count.astype(np.float64), first.astype(np.float32), np.minimum(rank, ROWS).astype(np.int32), group.astype(np.int32), slot.astype(np.int32), in_slot.astype(np.float32))
+
+
+def start_network(seed: int = 3) -> dict[str, np.ndarray]:
     random = np.random.default_rng(seed)
 
     def matrix(*shape: int, scale: float = 0.2) -> np.ndarray:
         return (random.standard_normal(shape) * scale).astype(np.float32)
 
     return {
-        "embed": matrix(rows, width), "lag": np.zeros(WINDOW, np.float32), "q": matrix(width, width), "k": matrix(width, width), "v": matrix(width, width),
-        "gate": matrix(width, 3), "gate0": np.array([1, -1, 1], np.float32), "inner": matrix(width, 2), "inner0": np.array([2, -2], np.float32),
-        "group": matrix(width, groups), "group0": np.zeros(groups, np.float32),
+        "embed": matrix(ROWS + 1, WIDTH), "lag": np.zeros(WINDOW, np.float32), "q": matrix(WIDTH, WIDTH, scale=0.1), "k": matrix(WIDTH, WIDTH), "v": matrix(WIDTH, WIDTH),
+        "gate": matrix(WIDTH, 3), "gate0": np.array([1, -1, 1], np.float32),
+        "group": matrix(WIDTH, CLASSES), "group0": np.zeros(CLASSES, np.float32), "slot": matrix(CLASSES, WIDTH, SLOTS), "slot0": np.zeros((CLASSES, SLOTS), np.float32),
     }
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a product: much faster than a reduction for few columns."""
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=-1, keepdims=True))
-    return x / x.sum(axis=-1, keepdims=True)
+    np.clip(x, -40, 40, out=x)
+    np.exp(x, out=x)
+    x /= _sums(x)[:, None]
+    return x
 
 
 def attend(net: dict[str, np.ndarray], rows: np.ndarray, blank: np.ndarray) -> tuple:
     """Attention of the fresh positions of windows over embedding rows; ``blank`` is how many places of each window have no id."""
-    width = net["q"].shape[0]
-    e = net["embed"][rows]  # windows, WINDOW, width
-    q, k, v = e[:, CONTEXT:] @ net["q"], e @ net["k"], e @ net["v"]
-    bias = np.where(CAUSAL, net["lag"][np.maximum(LAG, 0)], np.float32(-60))
+    e = net["embed"][rows]  # windows, WINDOW, WIDTH
+    flat = e.reshape(-1, WIDTH)
+    q = (e[:, CONTEXT:].reshape(-1, WIDTH) @ net["q"]).reshape(-1, FRESH, WIDTH)
+    k, v = ((flat @ net[x]).reshape(-1, WINDOW, WIDTH) for x in "kv")
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(width**-0.5)
-    np.clip(a, -30, 30, out=a)
-    a += bias
+    a += np.where(CAUSAL, net["lag"][np.maximum(LAG, 0)], np.float32(-60))
+    np.minimum(a, 30, out=a)
     np.exp(a, out=a)
-    for w in np.flatnonzero(blank):
-        a[w, :, : blank[w]] = 0
-    a /= a.sum(axis=2, keepdims=True)
-    h = e[:, CONTEXT:] + a @ v
+    some = np.flatnonzero(blank)
+    a[some] *= SEEN[blank[some]][:, None, :]
+    a /= _sums(a)[:, :, None]
+    h = a @ v
+    h += e[:, CONTEXT:]
     return e, q, k, v, a, h
 
 
-def probabilities(net: dict[str, np.ndarray], t: Tables, before: np.ndarray, blank: np.ndarray, now: np.ndarray, used: np.ndarray, stop: np.ndarray, inner: np.ndarray) -> np.ndarray:
+def _by_class(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in order of their class, and where each class begins."""
+    order = np.argsort(group, kind="stable")
+    return order, np.searchsorted(group[order], np.arange(CLASSES + 1))
+
+
+def probabilities(net: dict[str, np.ndarray], t: Tables, before: np.ndarray, blank: np.ndarray, now: np.ndarray, used: np.ndarray) -> np.ndarray:
     """The probability of each used fresh id, in order.
 
-    ``before`` are windows of previous ids; ``now`` the fresh ids; ``stop`` the
-    probability that a word ends before each; ``inner`` its pair probability.
+    ``before`` are windows of previous ids, ``now`` the fresh ids.
     """
     _, _, _, _, a, h = attend(net, t.row[before], blank)
-    pointer = np.einsum("wij,wij->wi", a, before[:, None, :] == now[:, :, None])[used]
+    a *= before[:, None, :] == now[:, :, None]
+    pointer = _sums(a)[used]
     h, now = h[used], now[used]
-    begins = t.starts[now] | (now == t.end_id)
-    out = np.empty(len(now), np.float32)
-    hs = h[begins]
-    gates = _softmax(hs @ net["gate"] + net["gate0"])
-    logits = hs @ net["group"]
+    gates = _softmax(h @ net["gate"] + net["gate0"])
+    group, slot = t.group[now], t.slot[now]
+    logits = h @ net["group"]
     logits += net["group0"]
-    np.clip(logits, -40, 40, out=logits)
-    np.exp(logits, out=logits)
-    ids = now[begins]
-    chosen = logits[np.arange(len(ids)), t.group[ids]] / logits.sum(axis=1) * t.in_group[ids]
-    out[begins] = stop[begins] * (gates[:, 0] * chosen + gates[:, 1] * pointer[begins] + gates[:, 2] * t.first[ids])
-    rest = ~begins
-    gates = _softmax(h[rest] @ net["inner"] + net["inner0"])
-    out[rest] = (1 - stop[rest]) * (gates[:, 0] * inner[rest] + gates[:, 1] * pointer[rest])
-    return out
-
-
-def gradients(net: dict[str, np.ndarray], t: Tables, before: np.ndarray, blank: np.ndarray, now: np.ndarray, used: np.ndarray, inner: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss a used id (without the stop counts, which have no parameters) and its gradient."""
+    chosen = _softmax(logits)[np.arange(len(now)), group] * t.in_slot[now]
+    order, at = _by_class(group)
+    for c in range(CLASSES):
+        own = order[at[c] : at[c + 1]]
+        logits = h[own] @ net["slot"][c]
+        logits += net["slot0"][c]
+        chosen[own] *= _softmax(logits)[np.arange(len(own)), slot[own]]
+    return gates[:, 0] * chosen + gates[:, 1] * pointer + gates[:, 2] * t.first[now]
+
+
+def gradients(net: dict[str, np.ndarray], t: Tables, before: np.ndarray, blank: np.ndarray, now: np.ndarray, used: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss a used id and its gradient."""
     rows = t.row[before]
     e, q, k, v, a, h = attend(net, rows, blank)
-    same = (before[:, None, :] == now[:, :, None]).astype(np.float32)
-    pointer = (a * same).sum(axis=2)
+    same = before[:, None, :] == now[:, :, None]
+    pointer = _sums(a * same)[used]
     n = max(1, int(used.sum()))
-    g = {x: np.zeros_like(y) for x, y in net.items()}
-    dh, dp = np.zeros_like(h), np.zeros_like(pointer)
-    begins = (t.starts[now] | (now == t.end_id)) & used
-    hs, ids = h[begins], now[begins]
+    g = {}
+    hs, ids = h[used], now[used]
+    every = np.arange(len(ids))
+    group, slot = t.group[ids], t.slot[ids]
     gates = _softmax(hs @ net["gate"] + net["gate0"])
     groups = _softmax(hs @ net["group"] + net["group0"])
-    parts = np.stack([groups[np.arange(len(ids)), t.group[ids]] * t.in_group[ids], pointer[begins], t.first[ids]], axis=1)
-    mixed = (gates * parts).sum(axis=1) + 1e-12
+    chosen = groups[every, group] * t.in_slot[ids]
+    order, at = _by_class(group)
+    slots = []
+    for c in range(CLASSES):
+        own = order[at[c] : at[c + 1]]
+        p = _softmax(hs[own] @ net["slot"][c] + net["slot0"][c])
+        chosen[own] *= p[np.arange(len(own)), slot[own]]
+        slots.append(p)
+    parts = np.stack([chosen, pointer, t.first[ids]], axis=1)
+    parts *= gates
+    mixed = _sums(parts) + np.float32(1e-12)
     loss = -np.log(mixed).sum()
-    share = gates * parts / mixed[:, None]
-    dg = (gates - share) / n
-    dc = groups * share[:, :1]
-    dc[np.arange(len(ids)), t.group[ids]] -= share[:, 0]
-    dc /= n
+    share = parts / mixed[:, None]
+    dg = (gates - share) / np.float32(n)
+    taken = share[:, 0] / np.float32(n)
+    groups *= taken[:, None]
+    groups[every, group] -= taken
     g["gate"], g["gate0"] = hs.T @ dg, dg.sum(axis=0)
-    g["group"], g["group0"] = hs.T @ dc, dc.sum(axis=0)
-    dh[begins] = dg @ net["gate"].T + dc @ net["group"].T
-    dp[begins] = -gates[:, 1] / mixed / n
-    rest = used & ~begins
-    hr = h[rest]
-    gates = _softmax(hr @ net["inner"] + net["inner0"])
-    parts = np.stack([inner[rest], pointer[rest]], axis=1)
-    mixed = (gates * parts).sum(axis=1) + 1e-12
-    loss -= np.log(mixed).sum()
-    dg = (gates - gates * parts / mixed[:, None]) / n
-    g["inner"], g["inner0"] = hr.T @ dg, dg.sum(axis=0)
-    dh[rest] = dg @ net["inner"].T
-    dp[rest] = -gates[:, 1] / mixed / n
-    da = dh @ v.transpose(0, 2, 1) + dp[:, :, None] * same
+    g["group"], g["group0"] = hs.T @ groups, groups.sum(axis=0)
+    dhs = dg @ net["gate"].T
+    dhs += groups @ net["group"].T
+    g["slot"], g["slot0"] = np.empty_like(net["slot"]), np.empty_like(net["slot0"])
+    for c, p in enumerate(slots):
+        own = order[at[c] : at[c + 1]]
+        p *= taken[own, None]
+        p[np.arange(len(own)), slot[own]] -= taken[own]
+        g["slot"][c], g["slot0"][c] = hs[own].T @ p, p.sum(axis=0)
+        dhs[own] += p @ net["slot"][c].T
+    dh = np.zeros_like(h)
+    dh[used] = dhs
+    dp = np.zeros(used.shape, np.float32)
+    dp[used] = -gates[:, 1] / mixed / np.float32(n)
+    da = dh @ v.transpose(0, 2, 1)
+    da += dp[:, :, None] * same
     dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    np.add.at(g["lag"], np.maximum(LAG, 0)[CAUSAL], ds.sum(axis=0)[CAUSAL])
-    ds *= np.float32(q.shape[2] ** -0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    de = dk @ net["k"].T + dv @ net["v"].T
-    de[:, CONTEXT:] += dq @ net["q"].T + dh
-    flat = e.reshape(-1, e.shape[2])
-    g["q"] = e[:, CONTEXT:].reshape(-1, e.shape[2]).T @ dq.reshape(-1, e.shape[2])
-    g["k"] = flat.T @ dk.reshape(-1, e.shape[2])
-    g["v"] = flat.T @ dv.reshape(-1, e.shape[2])
-    np.add.at(g["embed"], rows.reshape(-1), de.reshape(-1, e.shape[2]))
+    da *= a
+    da -= a * _sums(da)[:, :, None]
+    lag = np.zeros(WINDOW, np.float32)
+    np.add.at(lag, LAG[CAUSAL], da.sum(axis=0)[CAUSAL])
+    g["lag"] = lag
+    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    flat, fresh = e.reshape(-1, WIDTH), e[:, CONTEXT:].reshape(-1, WIDTH)
+    dk, dv, dq = dk.reshape(-1, WIDTH), dv.reshape(-1, WIDTH), dq.reshape(-1, WIDTH)
+    g["q"], g["k"], g["v"] = fresh.T @ dq, flat.T @ dk, flat.T @ dv
+    de = dk @ net["k"].T
+    de += dv @ net["v"].T
+    de = de.reshape(e.shape)
+    de[:, CONTEXT:] += dh
+    de[:, CONTEXT:] += (dq @ net["q"].T).reshape(h.shape)
+    place = rows.reshape(-1)
+    order = np.argsort(place, kind="stable")
+    own, first = np.unique(place[order], return_index=True)
+    g["embed"] = np.zeros_like(net["embed"])
+    g["embed"][own] = np.add.reduceat(de.reshape(-1, WIDTH)[order], first)
     return float(loss / n), g
 
 
@@ -199,22 +203,24 @@ class Trainer:
         self.square = {x: np.zeros_like(y) for x, y in net.items()}
         self.turn = 0
 
-    def step(self, t: Tables, windows: tuple[np.ndarray, ...], rate: float) -> None:
-        """One step on windows (before, blank, now, used, inner)."""
-        _, g = gradients(self.net, t, *windows)
+    def step(self, t: Tables, windows: tuple[np.ndarray, ...], rate: float) -> float:
+        """One step on windows (before, blank, now, used); returns the loss."""
+        loss, g = gradients(self.net, t, *windows)
         self.turn += 1
-        step = rate * np.sqrt(1 - 0.98**self.turn) / (1 - 0.9**self.turn)
-        for x in self.net:
-            self.mean[x] = 0.9 * self.mean[x] + 0.1 * g[x]
-            self.square[x] = 0.98 * self.square[x] + 0.02 * g[x] ** 2
-            self.net[x] = (self.net[x] - step * self.mean[x] / (np.sqrt(self.square[x]) + 1e-8)).astype(np.float32)
+        step = np.float32(rate * np.sqrt(1 - 0.98**self.turn) / (1 - 0.9**self.turn))
+        for x, own in g.items():
+            self.mean[x] *= np.float32(0.9)
+            self.mean[x] += np.float32(0.1) * own
+            self.square[x] *= np.float32(0.98)
+            own *= own
+            self.square[x] += np.float32(0.02) * own
+            self.net[x] -= step * self.mean[x] / (np.sqrt(self.square[x]) + np.float32(1e-8))
+        return loss
 
 
 def fit(t: Tables, windows: tuple[np.ndarray, ...], epochs: int = 4, batch: int = 32, rate: float = 0.01, seed: int = 3) -> dict[str, np.ndarray]:
-    """Train a new network on windows (before, blank, now, used, inner)."""
-    net = start_network(int(t.row.max(initial=2048)) + 1 if len(t.row) else 2049, groups=64, seed=seed)
-    net["embed"] = net["embed"] if len(net["embed"]) >= 2049 else start_network(seed=seed)["embed"]
-    trainer = Trainer(net)
+    """Train a new network on windows (before, blank, now, used)."""
+    trainer = Trainer(start_network(seed=seed))
     random = np.random.default_rng(seed)
     n = len(windows[0])
     total = max(1, epochs * -(-n // batch))

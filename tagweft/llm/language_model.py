@@ -1,25 +1,31 @@
-"""LM scoring: a causal self-attention model over subword ids beside a word unigram.
+"""LM scoring: a causal self-attention model over subword ids, beside a word unigram.
 
 A text is lower-cased (A-Z) and cut into words (runs of bytes other than the six
 ASCII white-space bytes) and an end token. Texts whose crc32(doc_id) mod 5 is not 1
-train: counts of all their words, in the unigram and in the subword tables, and the
-network of :mod:`attention`. It starts on ``Settings.sample_windows`` windows of
-``sample_shards`` shards; every task then trains its own copy on all training
-windows of all its shards, ``batch`` a step, in one pass, and the copies' mean,
-weighted by windows, is the model.
+train: counts of all their words, and the network of :mod:`attention`, which reads each
+word as its first subword id.
+
+The model's outcomes are those of the unigram: the words that training texts have, the
+end, and any other word as one outcome. That one has the share of training tokens that
+occur once (a Good-Turing estimate). Of the rest, a word's probability mixes (``MIX``)
+that of its first subword in context, times the word's share of the training words that
+begin so, and the word's own share. So the probabilities of all outcomes sum to one.
 
 1. Each task cuts its texts into shards of about ``shard_bytes`` (or one longer
    text) and writes, for each, the words as numbers into the shard's own dictionary.
 2. Dictionaries meet by ranges of word hashes ("buckets"); each bucket adds up its
-   words over all shards, returns the sums to the shards, and counts subwords.
-3. Shards and sums meet, and each text is scored alone: no window crosses texts. A
-   word's probability mixes that of its subwords up to its end, that of the word
-   after its first subword's probability in context, and that of the word alone
-   (``MIX``), so those of all words, and the end, sum to one at most.
+   words over all shards, returns the sums to the shards, and counts first subwords.
+3. The network starts on ``Settings.sample_windows`` windows of ``sample_shards``
+   shards. Every task then trains its own copy on all training windows of all its
+   shards, ``batch`` a step, in one pass; the copies' mean, weighted by windows, is the
+   model. So scores depend a little on how the table is split into tasks.
+4. Shards and sums meet, and each text is scored alone: no window crosses texts.
 
 Only per-shard dictionaries are shuffled, so a word as common as can be counts once
 a shard. Null text is just an end token; rows with a null id train, as no remainder
-is 1. Repeated rows and ids are scored, and counted, one by one.
+is 1. Repeated rows and ids are scored, and counted, one by one; an empty table gives an
+empty one. A text of any length is one shard at least, and scored window by window. Only
+doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -44,18 +50,17 @@ from .packing import Vocabulary, encoder
 from .shared import stored
 
 
-#: Weights of a word's subwords, of its first subword in context and the word after it, and of the word alone.
-MIX = (0.3, 0.65, 0.05)
+#: Weight of a word's first subword in context and the word after it; the rest is the word's own share. Picked on training texts alone, of which a fifth was held back.
+MIX = 0.98
 
 
 @dataclass(frozen=True)
 class Settings:
     shard_bytes: int = 4 << 20
     bucket_words: int = 1_500_000
-    pairs: int = 1 << 20
     sample_shards: int = 12
     sample_windows: int = 6000
-    batch: int = 128
+    batch: int = 512
     rate: float = 0.003
 
 
@@ -138,35 +143,34 @@ def bucketed(table: DataFrame, n_buckets: int) -> DataFrame:
 
 
 @lru_cache(4)
-def id_bytes(vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Length of each id's bytes, and whether they begin with a space."""
+def id_bytes(vocabulary: Vocabulary) -> np.ndarray:
+    """Length of each id's bytes; the last is for the end token, which has an id of its own."""
     with open(vocabulary.ranks, "rb") as lines:
         ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, lines)}
     size = np.zeros(max(ranks) + 2, np.int64)
-    starts = np.zeros(max(ranks) + 2, bool)
     for i, raw in ranks.items():
-        size[i], starts[i] = len(raw), raw[:1] == b" "
-    return size, starts
+        size[i] = len(raw)
+    return size
 
 
-def subwords(text: bytes, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words of a dictionary, each with a space before it, and where each word's begin.
+def first_subwords(text: bytes, vocabulary: Vocabulary) -> np.ndarray:
+    """The first id of each word of a dictionary, each with a space before it.
 
-    An id counts to the word in which it begins.
+    An id counts to the word in which it begins; a word in which none begins (white space
+    beyond the six bytes can be part of one id with what is before it) has that id.
     """
     if not text:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return np.zeros(0, np.int64)
     ids = np.array(encoder(vocabulary).ordinary(" " + text.decode("utf-8", "replace")), np.int64)
-    begin = np.cumsum(id_bytes(vocabulary)[0][ids]) - id_bytes(vocabulary)[0][ids]
-    block = dictionary(text)
-    return ids, np.concatenate([np.searchsorted(begin, block.starts), [len(ids)]])
+    size = id_bytes(vocabulary)[ids]
+    return ids[np.minimum(np.searchsorted(np.cumsum(size) - size, dictionary(text).starts), len(ids) - 1)]
 
 
 def summed(parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Step 2: for each bucket and shard the sums (shard, entry, count); for each bucket a row of shard -1 with subword counts.
+    """Step 2: for each bucket and shard the sums (shard, entry, count); for each bucket a row of shard -1 with counts of first subwords.
 
-    That row's ``entry`` has (kind, id or pair) keys, its ``count`` their counts,
-    and ``distinct`` the number of words with a training count.
+    That row's ``entry`` has ids, its ``count`` their counts; ``distinct`` is the number
+    of words with a training count, ``once`` that of words with a count of one.
     """
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -176,31 +180,19 @@ def summed(parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         _, first, number = np.unique(np.concatenate(hashed), return_index=True, return_inverse=True)
         total = np.bincount(number, np.concatenate(counts), len(first)).astype(np.int64)
         edges = np.cumsum([0, *map(len, hashed)])
-        out = [(shard, entry, squeeze(total[number[a:b]]), 0) for shard, entry, a, b in zip(frame.shard, frame.entry, edges[:-1], edges[1:])]
+        out = [(shard, entry, squeeze(total[number[a:b]]), 0, 0) for shard, entry, a, b in zip(frame.shard, frame.entry, edges[:-1], edges[1:])]
         every = b" ".join(texts).split(b" ")
         seen = np.flatnonzero(total > 0)
-        ids, at = subwords(b" ".join([every[i] for i in first[seen].tolist()]), vocabulary)
-        size = np.diff(at)
-        weight = np.repeat(total[seen], size)
-        begin = np.zeros(len(ids), bool)
-        begin[at[:-1][size > 0]] = True
-        v = len(id_bytes(vocabulary)[0])
-        pair = ids[:-1] * v + ids[1:]
-        inside = ~begin[1:] if len(ids) else np.zeros(0, bool)
-        last = at[1:][size > 0] - 1
-        keys = np.concatenate([ids[begin], v + ids[last], 2 * v + pair[inside]])
-        n = np.concatenate([weight[begin], weight[last], weight[1:][inside]]) if len(ids) else np.zeros(0)
-        key, number = np.unique(keys, return_inverse=True)
-        out.append((-1, squeeze(key.astype(np.int64)), squeeze(np.bincount(number, n, len(key)).astype(np.int64)), len(seen)))
-        return pd.DataFrame(out, columns=["shard", "entry", "count", "distinct"])
-
-    return parts.groupBy("bucket").applyInPandas(merge, "shard long, entry binary, count binary, distinct long")
-
-
-def count_tables(sums: DataFrame, train_texts: int, vocabulary: Vocabulary, settings: Settings) -> attention.Tables:
-    """The subword tables from all buckets; of the pairs the ``settings.pairs`` most frequent stay, which bounds the model."""
-    size, starts = id_bytes(vocabulary)
-    v = len(size)
+        ids = first_subwords(b" ".join([every[i] for i in first[seen].tolist()]), vocabulary)
+        key, number = np.unique(ids, return_inverse=True)
+        out.append((-1, squeeze(key.astype(np.int64)), squeeze(np.bincount(number, total[seen], len(key)).astype(np.int64)), len(seen), int((total == 1).sum())))
+        return pd.DataFrame(out, columns=["shard", "entry", "count", "distinct", "once"])
+
+    return parts.groupBy("bucket").applyInPandas(merge, "shard long, entry binary, count binary, distinct long, once long")
+
+
+def count_tables(sums: DataFrame, train_texts: int, vocabulary: Vocabulary) -> attention.Tables:
+    """The tables of first subwords from all buckets; the driver gets a row an id of the vocabulary at most."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,51 +200,33 @@ def count_tables(sums: DataFrame, train_texts: int, vocabulary: Vocabulary, sett
                 yield pa.record_batch([pa.array(unsqueeze(key, "<i8")), pa.array(unsqueeze(n, "<i8"))], names=["key", "n"])
 
     rows = sums.where("shard = -1").select("entry", "count").mapInArrow(spread, "key long, n long")
-    total = rows.groupBy("key").agg(F.sum("n").alias("n"))
-    single = total.where(F.col("key") < 2 * v).toPandas()
-    pairs = total.where(F.col("key") >= 2 * v).orderBy(F.desc("n"), "key").limit(settings.pairs).toPandas().sort_values("key")
-    key, n = single.key.to_numpy(np.int64), single.n.to_numpy(np.float64)
-    first = np.bincount(key[key < v], n[key < v], v)
+    total = rows.groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    v = len(id_bytes(vocabulary))
+    first = np.bincount(total.key.to_numpy(np.int64), total.n.to_numpy(np.float64), v)
     first[v - 1] = train_texts
-    stop = np.bincount(key[key >= v] - v, n[key >= v], v)
-    return attention.tables(starts, v - 1, first, stop, pairs.key.to_numpy(np.int64) - 2 * v, pairs.n.to_numpy(np.float64))
+    return attention.tables(first, v - 1)
 
 
 @dataclass
 class Sequence:
-    """All ids of a shard's texts, each text's end id included, text after text."""
+    """The tokens of a shard's texts, each text's end included, text after text."""
 
-    ids: np.ndarray
-    stop: np.ndarray  # probability that a word ends before each id
-    inner: np.ndarray  # pair probability of ids inside words
+    token: np.ndarray  # each token's entry in the dictionary, the end's after all others
+    ids: np.ndarray  # its first subword
     bounds: np.ndarray  # where each text begins, and the end
-    word_at: np.ndarray  # where each word begins
-    text_at: np.ndarray  # first word of each text, and the end
 
 
 def sequence(t: attention.Tables, text: bytes, number: np.ndarray, n_words: np.ndarray, vocabulary: Vocabulary) -> Sequence:
-    ids, at = subwords(text, vocabulary)
-    ids, at = np.append(ids, t.end_id), np.append(at, len(ids) + 1)
-    before = np.concatenate([[t.end_id], ids[:-1]]) if len(ids) else ids
-    inner = t.pairs(before, ids).astype(np.float32)
-    end_entry = len(at) - 2
-    all_ = np.insert(number.astype(np.int64), np.cumsum(n_words), end_entry)
-    size = at[all_ + 1] - at[all_]
-    total = int(size.sum())
-    where = np.repeat(at[all_] - (np.cumsum(size) - size), size) + np.arange(total)
-    flat = ids[where]
-    previous = np.concatenate([[t.end_id], flat[:-1]])
-    text_at = np.concatenate([[0], np.cumsum(n_words + 1)])
-    word_at = np.concatenate([[0], np.cumsum(size)])
-    return Sequence(flat.astype(np.int32), t.stop[previous], inner[where], word_at[text_at], word_at[:-1], text_at)
-
-
-def windows(s: Sequence, t: attention.Tables, pick: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    ids = np.append(first_subwords(text, vocabulary), t.end_id).astype(np.int32)
+    token = np.insert(number.astype(np.int64), np.cumsum(n_words), len(ids) - 1)
+    return Sequence(token, ids[token], np.concatenate([[0], np.cumsum(n_words + 1)]))
+
+
+def windows(s: Sequence) -> tuple[np.ndarray, np.ndarray]:
     """Places of the windows: index of each text, and of the first fresh id."""
     n = -(-np.diff(s.bounds) // attention.FRESH)
     doc = np.repeat(np.arange(len(n)), n)
-    first = s.bounds[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * attention.FRESH
-    return (doc, first) if pick is None else (doc[pick], first[pick])
+    return doc, s.bounds[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * attention.FRESH
 
 
 def gathered(s: Sequence, t: attention.Tables, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -272,17 +246,11 @@ def training_windows(r, t: attention.Tables, vocabulary: Vocabulary, random: np.
     """A shard's sequence, and (as :func:`windows`) all windows of its training texts in random order."""
     s = sequence(t, unsqueeze(r.words), unsqueeze(r.number, "<i4"), np.asarray(r.n_words, np.int64), vocabulary)
     training = np.array([not held_out(None if pd.isna(i) else i) for i in r.doc_id], bool)
-    doc, first = windows(s, t)
+    doc, first = windows(s)
     mine = random.permutation(np.flatnonzero(training[doc]))
     return s, doc[mine], first[mine]
 
 
-def with_inner(s: Sequence, t: attention.Tables, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows as (before, blank, now, used, inner)."""
-    before, blank, now, used, place = gathered(s, t, doc, first)
-    return before, blank, now, used, s.inner[place]
-
-
 def first_network(table: DataFrame, shared: Broadcast, vocabulary: Vocabulary, settings: Settings) -> dict[str, np.ndarray]:
     """A network trained in one task on windows of a few shards, from which all tasks go on."""
     chosen = [r.shard for r in table.select("shard").orderBy(F.xxhash64("shard"), "shard").limit(settings.sample_shards).collect()]
@@ -294,7 +262,7 @@ def first_network(table: DataFrame, shared: Broadcast, vocabulary: Vocabulary, s
         for batch in batches:
             for r in batch.itertuples(index=False):
                 s, doc, first = training_windows(r, shared.value, vocabulary, random)
-                parts.append(with_inner(s, shared.value, doc[:wanted], first[:wanted]))
+                parts.append(gathered(s, shared.value, doc[:wanted], first[:wanted])[:4])
         net = attention.fit(shared.value, tuple(np.concatenate(x) for x in zip(*parts))) if parts else attention.start_network()
         yield pd.DataFrame({"name": list(net), "value": [x.tobytes() for x in net.values()]})
 
@@ -313,7 +281,7 @@ def copies(table: DataFrame, shared: Broadcast, start: Broadcast, vocabulary: Vo
             for r in batch.itertuples(index=False):
                 s, doc, first = training_windows(r, shared.value, vocabulary, np.random.default_rng(abs(r.shard)))
                 for at in range(0, len(doc), settings.batch):
-                    trainer.step(shared.value, with_inner(s, shared.value, doc[at : at + settings.batch], first[at : at + settings.batch]), settings.rate)
+                    trainer.step(shared.value, gathered(s, shared.value, doc[at : at + settings.batch], first[at : at + settings.batch])[:4], settings.rate)
                 seen += len(doc)
         if seen:
             flat = np.concatenate([x.reshape(-1) for x in trainer.net.values()]).astype(np.float64)
@@ -338,33 +306,18 @@ def network(table: DataFrame, t: attention.Tables, vocabulary: Vocabulary, setti
     return {x: v.reshape(net[x].shape) for x, v in zip(net, np.split(means.value.to_numpy(np.float32), edges))}
 
 
-def log_probabilities(net: dict[str, np.ndarray], t: attention.Tables, s: Sequence, count: np.ndarray, whole: np.ndarray, batch: int = 128) -> np.ndarray:
-    """log10 probability of each text of a sequence.
-
-    ``count`` has each word's count in training texts, ``whole`` its unigram
-    probability, 0 where the count is. A word without an id of its own (white space
-    beyond the six bytes) shares those of the word before it.
-    """
-    if not len(s.word_at):
+def log_probabilities(net: dict[str, np.ndarray], t: attention.Tables, s: Sequence, count: np.ndarray, n_tokens: int, unknown: float, batch: int = 256) -> np.ndarray:
+    """log10 probability of each text of a sequence; ``count`` has each token's count in training texts."""
+    if not len(s.ids):
         return np.zeros(0)
-    size = np.diff(np.append(s.word_at, len(s.ids)))
-    first, last = s.word_at, s.word_at + size - 1
-    stop = s.stop.copy()
-    opens = first[(size > 0) & (t.starts[s.ids[first]] | (s.ids[first] == t.end_id))]
-    stop[opens] = 1  # a word's end counts to the word itself, below
     out = np.zeros(len(s.ids), np.float32)
-    doc, begin = windows(s, t)
+    doc, begin = windows(s)
     for at in range(0, len(doc), batch):
         before, blank, now, used, place = gathered(s, t, doc[at : at + batch], begin[at : at + batch])
-        flat = place[used]
-        out[flat] = attention.probabilities(net, t, before, blank, now, used, stop[flat], s.inner[flat])
-    logs = np.concatenate([[0], np.cumsum(np.log10(np.maximum(out, 1e-30), dtype=np.float64))])
-    word = np.diff(logs[np.append(first, len(out))]) + np.where(size > 0, np.log10(t.stop[s.ids[last]]), 0)
-    after_first = np.where(size > 0, out[first] * np.minimum(count / np.maximum(t.first_count[s.ids[first]], 1), 1), 0)
-    known = MIX[1] * after_first + MIX[2] * whole
-    spelled = word + np.log10(MIX[0])
-    mixed = np.where(known > 0, np.log10(10 ** np.maximum(spelled, -300) + known), spelled)
-    return np.add.reduceat(mixed, s.text_at[:-1])
+        out[place[used]] = attention.probabilities(net, t, before, blank, now, used)
+    in_context = out * np.minimum(count / np.maximum(t.first_count[s.ids], 1), 1)
+    known = (1 - unknown) * (MIX * in_context + (1 - MIX) * count / max(n_tokens, 1))
+    return np.add.reduceat(np.log10(np.maximum(np.where(count > 0, known, unknown), 1e-30)), s.bounds[:-1])
 
 
 def scored(documents: DataFrame, vocabulary: Vocabulary, settings: Settings = Settings()) -> DataFrame:
@@ -376,8 +329,10 @@ def scored(documents: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
     n_tokens, n_texts = size.tokens or 0, size.texts or 0
     n_buckets = max(12, math.ceil((size.entries or 0) / settings.bucket_words))
     sums = stored(summed(bucketed(table, n_buckets), vocabulary), "lm-sums")
-    distinct = (sums.where("shard = -1").agg(F.sum("distinct")).first()[0] or 0) + (n_texts > 0)
-    t = count_tables(sums, n_texts, vocabulary, settings)
+    facts = sums.where("shard = -1").agg(F.sum("distinct").alias("distinct"), F.sum("once").alias("once")).first()
+    distinct = (facts.distinct or 0) + (n_texts > 0)
+    unknown = max(facts.once or 0, 0.5) / max(n_tokens, 1) if n_tokens else 1.0
+    t = count_tables(sums, n_texts, vocabulary)
     net = network(table, t, vocabulary, settings)
     model = spark.sparkContext.broadcast((net, t))
     own = sums.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("entry", "count")).alias("sums"))
@@ -396,15 +351,14 @@ def scored(documents: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
                 for part in row["sums"].as_py() or ():
                     total[unsqueeze(part["entry"], "<i4")] = unsqueeze(part["count"], "<i8")
                 total[-1] = n_texts
-                every = np.insert(number, np.cumsum(n_words), len(total) - 1)
-                at = np.concatenate([[0], np.cumsum(n_words + 1)])[:-1]
-                base = np.add.reduceat(np.log10((total + 0.5) / below)[every], at)
-                known = np.add.reduceat((total > 0)[every].astype(np.int64), at)
                 s = sequence(t, unsqueeze(row["words"].as_py()), number, n_words, vocabulary)
-                whole = np.where(total > 0, (total + 0.5) / below, 0.0)[every]
+                count, at = total[s.token], s.bounds[:-1]
+                base = np.add.reduceat(np.log10((count + 0.5) / below), at)
+                known = np.add.reduceat((count > 0).astype(np.int64), at)
+                score = log_probabilities(net, t, s, count, n_tokens, unknown)
                 held = pa.array([held_out(x) for x in ids.to_pylist()])
                 yield pa.record_batch(
-                    [ids, held, pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(ids), n_tokens)), pa.array(base), pa.array(log_probabilities(net, t, s, total[every], whole))],
+                    [ids, held, pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(ids), n_tokens)), pa.array(base), pa.array(score)],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
