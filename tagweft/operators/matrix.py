@@ -11,22 +11,38 @@ def counts(molecules: DataFrame) -> DataFrame:
     return molecules.groupBy("category", "cell_id", "feature_id").agg(F.count("*").alias("n"))
 
 
+#: Cells in a row of list order that one task numbers: 2 to this power.
+SPAN = 12
+
+
+def _before(rows: DataFrame, value: str) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the smaller cell ids of the category.
+
+    Sums of spans of ids are added up first, so no task gets a whole category.
+    """
+    span = F.shiftright("cell_id", SPAN)
+    spans = rows.groupBy("category", span.alias("span")).agg(F.sum(value).alias("total"))
+    order = Window.partitionBy("category").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("category", "span", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("start"))
+    within = Window.partitionBy("category", "span").orderBy("cell_id").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.withColumn("span", span).withColumn("inner", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return parts.join(spans, ["category", "span"]).withColumn("before", (F.col("start") + F.col("inner")).cast("bigint")).drop("span", "start", "inner")
+
+
 def dense(matrix: DataFrame) -> DataFrame:
     """SRT4: adds ``cell_idx``, from 0 over the cells present, in list order, within each category.
 
     Numbers come from the distinct cells; the entries only join them.
     """
-    order = Window.partitionBy("category").orderBy("cell_id")
-    cells = matrix.select("category", "cell_id").distinct().withColumn("cell_idx", (F.row_number().over(order) - 1).cast("bigint"))
-    return matrix.join(cells, ["category", "cell_id"])
+    cells = matrix.select("category", "cell_id").distinct().withColumn("one", F.lit(1).cast("bigint"))
+    return matrix.join(_before(cells, "one").select("category", "cell_id", F.col("before").alias("cell_idx")), ["category", "cell_id"])
 
 
 def row_pointers(matrix: DataFrame) -> DataFrame:
     """CSR row ends: (category, cell_idx, indptr), indptr counting the entries of all rows up to this one."""
-    rows = matrix.groupBy("category", "cell_id").agg(F.count("*").alias("entries"))
-    order = Window.partitionBy("category").orderBy("cell_id")
-    ends = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("category", (F.row_number().over(order) - 1).cast("bigint").alias("cell_idx"), F.sum("entries").over(ends).cast("bigint").alias("indptr"))
+    rows = matrix.groupBy("category", "cell_id").agg(F.count("*").alias("entries"), F.lit(1).cast("bigint").alias("one"))
+    placed = _before(rows, "entries").withColumn("indptr", F.col("before") + F.col("entries")).drop("before")
+    return _before(placed, "one").select("category", F.col("before").alias("cell_idx"), "indptr")
 
 
 def summary(molecules: DataFrame, step: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,10 +29,10 @@ class Layout:
     feature_mismatch: int = 2
 
 
-def pieces(reads: DataFrame, layout: Layout, feature: Column | None = None) -> DataFrame:
-    """(cell_barcode, feature_barcode, read1) of each read; ``feature`` replaces the fixed position (null: not found)."""
+def pieces(reads: DataFrame, layout: Layout, feature: Column | None = None, more: Sequence[Column] = ()) -> DataFrame:
+    """(cell_barcode, feature_barcode, read1) of each read, and ``more``; ``feature`` replaces the fixed position (null: not found)."""
     fixed = strict_substr(F.col("read2"), layout.feature_start, layout.feature_length)
-    return reads.select(strict_substr(F.col("read1"), 0, layout.cell_length).alias("cell_barcode"), (fixed if feature is None else feature).alias("feature_barcode"), "read1")
+    return reads.select(strict_substr(F.col("read1"), 0, layout.cell_length).alias("cell_barcode"), (fixed if feature is None else feature).alias("feature_barcode"), "read1", *more)
 
 
 def assigned(parts: DataFrame, cells: DataFrame, features: DataFrame, layout: Layout, exact: bool = False) -> DataFrame:
@@ -76,11 +77,11 @@ def shortest_umi(reads: DataFrame, layout: Layout) -> int:
     return layout.umi_length if least is None else max(0, min(layout.umi_length, least - layout.cell_length))
 
 
-def molecules(reads: DataFrame, layout: Layout, umi_length: int | None = None) -> DataFrame:
-    """AGG1: (category, cell_id, feature_id, umi, reads); an upper-case N drops the read, before upper-casing."""
+def molecules(reads: DataFrame, layout: Layout, umi_length: int | None = None, by: Sequence[Column] = ()) -> DataFrame:
+    """AGG1: (category, cell_id, feature_id, umi, reads), and ``by``; an upper-case N drops the read, before upper-casing."""
     umi = umi_of(F.col("read1"), layout, umi_length)
     valid = reads.where(F.col("cell_id").isNotNull() & F.col("feature_id").isNotNull() & ~F.contains(umi, F.lit("N")))
-    return valid.groupBy("category", "cell_id", "feature_id", F.upper(umi).alias("umi")).agg(F.sum("n").alias("reads"))
+    return valid.groupBy(*by, "category", "cell_id", "feature_id", F.upper(umi).alias("umi")).agg(F.sum("n").alias("reads"))
 
 
 def counters(reads: DataFrame, layout: Layout, umi_length: int | None = None) -> DataFrame:

@@ -51,6 +51,12 @@ def radius_of(listed: DataFrame, length: int, max_mismatch: int) -> int:
     return max_mismatch if least is None else int(least)
 
 
+def index(listed: DataFrame, length: int, max_mismatch: int) -> DataFrame:
+    """(key, id): all strings that match one barcode alone, as :func:`match` would; for joins with a stream."""
+    radius = radius_of(listed, length, max_mismatch)
+    return nearest_of(ball(listed, length, radius)).where("ids = 1").select("key", "id")
+
+
 def ambiguity(listed: DataFrame, length: int, max_mismatch: int) -> DataFrame:
     """AGG15: (n_keys, n_ambiguous) over all strings within the radius."""
     radius = radius_of(listed, length, max_mismatch)

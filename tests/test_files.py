@@ -155,6 +155,26 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert seen == {"ACGT": 2}
+    near = spark.createDataFrame([("AANAACGT", "GGCC"), ("AAAAACGT", "GGGG"), ("ANNAACGT", "GGGG")], "read1 string, read2 string")
+    assert [tuple(r) for r in intake.molecule_stream(near, cells, features, layout).collect()] == [("x", 0, 0, "ACGT", 2)]
+
+
+def test_stream_in_windows(spark, tmp_path):
+    layout = molecules.Layout(4, 4, 4)
+    cells = spark.createDataFrame([(0, "AAAA", "one")], "id int, barcode string, name string")
+    features = spark.createDataFrame([(0, "GGGG", "g", "x")], "id int, barcode string, name string, category string")
+    source = tmp_path / "in"
+    source.mkdir()
+    stream = spark.readStream.schema("ts timestamp, read1 string, read2 string").parquet(str(source))
+    seen = {}
+    counts = intake.molecule_stream(stream, cells, features, layout, event_time="ts")
+    query = intake.start(counts, str(tmp_path / "check"), lambda df, _: seen.update({(r.window.start.hour, r.umi): r.reads for r in df.collect()}))
+    for stamps in (["2026-01-01 00:10:00", "2026-01-01 00:20:00"], ["2026-01-01 09:00:00"], ["2026-01-01 00:30:00", "2026-01-01 09:30:00"]):
+        rows = spark.createDataFrame([(t, "AAAAACGT", "GGGG") for t in stamps], "ts string, read1 string, read2 string")
+        rows.selectExpr("timestamp(ts) AS ts", "read1", "read2").coalesce(1).write.mode("append").parquet(str(source))
+        query.processAllAvailable()
+    query.stop()
+    assert seen == {(0, "ACGT"): 2, (9, "ACGT"): 2}  # the read of 00:30 came when its window was over
 
 
 TAGS, CELLS = ["ACGTACGTAC", "TTGGCCAATT"], ["ACGTACGT", "GGCCTTAA", "CATGCATG"]
