@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import one_of_each, possibly, stored, without
+from .shared import one_of_each, possibly, release, stored, without
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Doublings of the directory at most: its cells are counted and broadcast.
@@ -101,7 +101,9 @@ def index(table: DataFrame, capacity: int = 4096, max_depth: int = DEEPEST) -> D
     chain = Window.partitionBy("lowest", "depth", "key").orderBy("sha")
     twice = F.raise_error(F.lit("different texts share a SHA-256")).cast("int")
     place = F.when(F.lag("sha").over(chain) == F.col("sha"), twice).otherwise(F.row_number().over(chain))
-    return stored(owned.select("key", "sha", "rows", "first", "lowest", "depth", place.alias("place")), "exact-index")
+    owned = stored(owned.select("key", "sha", "rows", "first", "lowest", "depth", place.alias("place")), "exact-index")
+    release(table)
+    return owned
 
 
 def groups(documents: DataFrame, hash_bits: int = 64, capacity: int = 4096) -> DataFrame:
@@ -110,6 +112,8 @@ def groups(documents: DataFrame, hash_bits: int = 64, capacity: int = 4096) -> D
     known = index(slots(documents, table, hash_bits), capacity)
     found = table.join(known.select("key", "sha", "rows", F.col("first.id").alias("keep_id")), ["key", "sha"])
     found = stored(found, "exact-found")
+    release(known)
+    release(table)
     # of rows with the same id and text one stays: the first
     own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     first = found.where(own & (F.col("rows") > 1)).groupBy("key", "sha").agg(F.min("row_no").alias("first_row"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from . import simhash, words
-from .shared import bounded, first_of_groups, stored
+from .shared import bounded, first_of_groups, release, stored
 
 WIDTH = 5
 RADIUS = 3
@@ -311,7 +311,10 @@ def similar(documents: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFram
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts = packed(documents, ends, sets)
     left, right = texts.select(F.col("node").alias("a"), F.col("packed").alias("x")), texts.select(F.col("node").alias("b"), F.col("packed").alias("y"))
-    return stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "near-links")
+    found = stored(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "near-links")
+    release(texts)
+    release(pairs)
+    return found
 
 
 def closest(sets: DataFrame, settings: simhash.Search) -> DataFrame:
@@ -336,7 +339,11 @@ def links(documents: DataFrame, marked: DataFrame, settings: simhash.Search = si
     again = apart(tokens)
     more = similar(documents, sets, stored(candidates(again, sets, forest=True), "near-pairs"))
     roots = stored(components(near.union(more)), "near-roots")
-    last = similar(documents, sets, stored(candidates(apart(with_root(again, roots)), sets, forest=False), "near-pairs"))
+    left = apart(with_root(again, roots))
+    release(again)
+    last = similar(documents, sets, stored(candidates(left, sets, forest=False), "near-pairs"))
+    release(left)
+    release(sets)
     return near.union(more).union(last)
 
 

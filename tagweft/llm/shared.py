@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import new_path, release, remove, shared_folder, ship, stored
+from .. import storage
+from ..storage import new_path, release, remove, shared_folder, stored
 
 __all__ = ["bounded", "first_of_groups", "new_path", "private", "release", "remove", "shared_folder", "ship", "stored"]
 
 #: Rows of a few numbers each that are broadcast at most.
 BROADCAST = 1_000_000
+#: Rows of an Arrow batch, where the session has Spark's own number: texts are long, and a worker holds a few batches.
+BATCH_ROWS = 2000
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, and keep their batches small."""
+    storage.ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def private(frame: DataFrame, *names: str) -> list[str]:
