@@ -89,8 +89,8 @@ def cut(block: words.Block, training: np.ndarray) -> tuple[bytes, np.ndarray, np
     return data.tobytes()[:-1], number.astype(np.int32), count.astype(np.int64)
 
 
-def shards(documents: DataFrame, settings: Settings) -> DataFrame:
-    """Step 1: shard, doc_id and n_words (lists), words, number and count (compressed), and the shard's training tokens and texts."""
+def shards(documents: DataFrame, vocabulary: Vocabulary, settings: Settings) -> DataFrame:
+    """Step 1: shard, doc_id and n_words (lists), words, first subwords, number and count (compressed), and the shard's training tokens and texts."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +104,12 @@ def shards(documents: DataFrame, settings: Settings) -> DataFrame:
                 own = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
                 sizes = pa.array([block.counts().astype(np.int32)])
                 yield pa.record_batch(
-                    [pa.array([shard]), own, sizes, pa.array([squeeze(text)]), pa.array([squeeze(number)]), pa.array([squeeze(count)]), pa.array([len(count)]), pa.array([int(block.counts()[training].sum() + training.sum())]), pa.array([int(training.sum())])],
-                    names=["shard", "doc_id", "n_words", "words", "number", "count", "entries", "train_tokens", "train_texts"],
+                    [pa.array([shard]), own, sizes, pa.array([squeeze(text)]), pa.array([squeeze(first_subwords(text, vocabulary).astype(np.int32))]), pa.array([squeeze(number)]), pa.array([squeeze(count)]), pa.array([len(count)]), pa.array([int(block.counts()[training].sum() + training.sum())]), pa.array([int(training.sum())])],
+                    names=["shard", "doc_id", "n_words", "words", "first", "number", "count", "entries", "train_tokens", "train_texts"],
                 )
                 shard += 1
 
-    schema = f"shard long, doc_id array<{kind}>, n_words array<int>, words binary, number binary, count binary, entries long, train_tokens long, train_texts long"
+    schema = f"shard long, doc_id array<{kind}>, n_words array<int>, words binary, first binary, number binary, count binary, entries long, train_tokens long, train_texts long"
     return documents.select("doc_id", "text").mapInArrow(make, schema)
 
 
@@ -216,9 +216,10 @@ class Sequence:
     bounds: np.ndarray  # where each text begins, and the end
 
 
-def sequence(t: attention.Tables, text: bytes, number: np.ndarray, n_words: np.ndarray, vocabulary: Vocabulary) -> Sequence:
-    ids = np.append(first_subwords(text, vocabulary), t.end_id).astype(np.int32)
-    token = np.insert(number.astype(np.int64), np.cumsum(n_words), len(ids) - 1)
+def sequence(t: attention.Tables, first: bytes, number: bytes, n_words: np.ndarray) -> Sequence:
+    """From a shard's first subwords and numbers, as compressed."""
+    ids = np.append(unsqueeze(first, "<i4"), np.int32(t.end_id))
+    token = np.insert(unsqueeze(number, "<i4").astype(np.int64), np.cumsum(n_words), len(ids) - 1)
     return Sequence(token, ids[token], np.concatenate([[0], np.cumsum(n_words + 1)]))
 
 
@@ -242,16 +243,16 @@ def gathered(s: Sequence, t: attention.Tables, doc: np.ndarray, first: np.ndarra
     return before, blank, s.ids[place], used, place
 
 
-def training_windows(r, t: attention.Tables, vocabulary: Vocabulary, random: np.random.Generator) -> tuple[Sequence, np.ndarray, np.ndarray]:
+def training_windows(r, t: attention.Tables, random: np.random.Generator) -> tuple[Sequence, np.ndarray, np.ndarray]:
     """A shard's sequence, and (as :func:`windows`) all windows of its training texts in random order."""
-    s = sequence(t, unsqueeze(r.words), unsqueeze(r.number, "<i4"), np.asarray(r.n_words, np.int64), vocabulary)
+    s = sequence(t, r.first, r.number, np.asarray(r.n_words, np.int64))
     training = np.array([not held_out(None if pd.isna(i) else i) for i in r.doc_id], bool)
     doc, first = windows(s)
     mine = random.permutation(np.flatnonzero(training[doc]))
     return s, doc[mine], first[mine]
 
 
-def first_network(table: DataFrame, shared: Broadcast, vocabulary: Vocabulary, settings: Settings) -> dict[str, np.ndarray]:
+def first_network(table: DataFrame, shared: Broadcast, settings: Settings) -> dict[str, np.ndarray]:
     """A network trained in one task on windows of a few shards, from which all tasks go on."""
     chosen = [r.shard for r in table.select("shard").orderBy(F.xxhash64("shard"), "shard").limit(settings.sample_shards).collect()]
 
@@ -261,25 +262,25 @@ def first_network(table: DataFrame, shared: Broadcast, vocabulary: Vocabulary, s
         parts = []
         for batch in batches:
             for r in batch.itertuples(index=False):
-                s, doc, first = training_windows(r, shared.value, vocabulary, random)
+                s, doc, first = training_windows(r, shared.value, random)
                 parts.append(gathered(s, shared.value, doc[:wanted], first[:wanted])[:4])
         net = attention.fit(shared.value, tuple(np.concatenate(x) for x in zip(*parts))) if parts else attention.start_network()
         yield pd.DataFrame({"name": list(net), "value": [x.tobytes() for x in net.values()]})
 
-    got = table.where(F.col("shard").isin(chosen)).select("shard", "doc_id", "n_words", "words", "number").repartition(1).sortWithinPartitions("shard").mapInPandas(train, "name string, value binary").collect()
+    got = table.where(F.col("shard").isin(chosen)).select("shard", "doc_id", "n_words", "first", "number").repartition(1).sortWithinPartitions("shard").mapInPandas(train, "name string, value binary").collect()
     like = attention.start_network()
     values = {r.name: np.frombuffer(r.value, np.float32) for r in got}
     return {x: values[x].reshape(y.shape) if x in values else y for x, y in like.items()}
 
 
-def copies(table: DataFrame, shared: Broadcast, start: Broadcast, vocabulary: Vocabulary, settings: Settings) -> DataFrame:
+def copies(table: DataFrame, shared: Broadcast, start: Broadcast, settings: Settings) -> DataFrame:
     """(place, value, seen): each task's copy of the first network, trained on all training windows of its shards."""
 
     def go_on(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trainer, seen = attention.Trainer(start.value), 0
         for batch in batches:
             for r in batch.itertuples(index=False):
-                s, doc, first = training_windows(r, shared.value, vocabulary, np.random.default_rng(abs(r.shard)))
+                s, doc, first = training_windows(r, shared.value, np.random.default_rng(abs(r.shard)))
                 for at in range(0, len(doc), settings.batch):
                     trainer.step(shared.value, gathered(s, shared.value, doc[at : at + settings.batch], first[at : at + settings.batch])[:4], settings.rate)
                 seen += len(doc)
@@ -287,18 +288,18 @@ def copies(table: DataFrame, shared: Broadcast, start: Broadcast, vocabulary: Vo
             flat = np.concatenate([x.reshape(-1) for x in trainer.net.values()]).astype(np.float64)
             yield pd.DataFrame({"place": np.arange(len(flat), dtype=np.int32), "value": flat * seen, "seen": seen})
 
-    return table.select("shard", "doc_id", "n_words", "words", "number").mapInPandas(go_on, "place int, value double, seen long")
+    return table.select("shard", "doc_id", "n_words", "first", "number").mapInPandas(go_on, "place int, value double, seen long")
 
 
-def network(table: DataFrame, t: attention.Tables, vocabulary: Vocabulary, settings: Settings) -> dict[str, np.ndarray]:
+def network(table: DataFrame, t: attention.Tables, settings: Settings) -> dict[str, np.ndarray]:
     """Train on all training windows: each task a copy of the first network, then their mean.
 
     Copies are added up by parameter, so the driver gets one row a parameter.
     """
     context = table.sparkSession.sparkContext
     shared = context.broadcast(t)
-    net = first_network(table, shared, vocabulary, settings)
-    trained = copies(table, shared, context.broadcast(net), vocabulary, settings)
+    net = first_network(table, shared, settings)
+    trained = copies(table, shared, context.broadcast(net), settings)
     means = trained.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas().sort_values("place")
     if not len(means):
         return net
@@ -324,7 +325,7 @@ def scored(documents: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
-    table = stored(shards(documents, settings), "lm-shards")
+    table = stored(shards(documents, vocabulary, settings), "lm-shards")
     size = table.agg(F.sum("entries").alias("entries"), F.sum("train_tokens").alias("tokens"), F.sum("train_texts").alias("texts")).first()
     n_tokens, n_texts = size.tokens or 0, size.texts or 0
     n_buckets = max(12, math.ceil((size.entries or 0) / settings.bucket_words))
@@ -333,10 +334,10 @@ def scored(documents: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
     distinct = (facts.distinct or 0) + (n_texts > 0)
     unknown = max(facts.once or 0, 0.5) / max(n_tokens, 1) if n_tokens else 1.0
     t = count_tables(sums, n_texts, vocabulary)
-    net = network(table, t, vocabulary, settings)
+    net = network(table, t, settings)
     model = spark.sparkContext.broadcast((net, t))
     own = sums.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("entry", "count")).alias("sums"))
-    both = table.select("shard", "doc_id", "n_words", "words", "number", "entries").join(own, "shard", "left")
+    both = table.select("shard", "doc_id", "n_words", "first", "number", "entries").join(own, "shard", "left")
     below = n_tokens + 0.5 * (distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,12 +347,11 @@ def scored(documents: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
                 ids = row["doc_id"].values
                 n_words = np.asarray(row["n_words"].values, np.int64)
-                number = unsqueeze(row["number"].as_py(), "<i4")
                 total = np.zeros(row["entries"].as_py() + 1, np.int64)
                 for part in row["sums"].as_py() or ():
                     total[unsqueeze(part["entry"], "<i4")] = unsqueeze(part["count"], "<i8")
                 total[-1] = n_texts
-                s = sequence(t, unsqueeze(row["words"].as_py()), number, n_words, vocabulary)
+                s = sequence(t, row["first"].as_py(), row["number"].as_py(), n_words)
                 count, at = total[s.token], s.bounds[:-1]
                 base = np.add.reduceat(np.log10((count + 0.5) / below), at)
                 known = np.add.reduceat((count > 0).astype(np.int64), at)
