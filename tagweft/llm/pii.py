@@ -14,8 +14,11 @@ differ. A card number gets its check digit anew; a date is a day of a 400-year c
 (189 * 773 days); an address keeps its domain; a number keeps its separators and
 its plus sign and country code.
 
-Null text stays null and counts no values. Rows are handled one by one, without a
-shuffle, so repeated rows and ids, and other columns, are of no account.
+Null text stays null and counts no values; an empty text stays empty, an empty table
+gives an empty one. Rows are handled one by one, without a shuffle, so repeated rows and
+ids, null ids, and other columns of any name are of no account; only the text and the
+count are replaced. Texts of any length are searched as a whole, in the memory of a few
+copies of one text.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import private
+
 ROUNDS = 8
 MARK, ESCAPE = "\x01", "\x02"
 
@@ -197,9 +202,10 @@ def pseudonymised(documents: DataFrame, key: str, text: str = "text", count: str
     own = F.col(text)
     safe = F.replace(F.replace(own, F.lit(ESCAPE), F.lit(ESCAPE + "\x03")), F.lit(MARK), F.lit(ESCAPE + "\x04"))
     pieces = F.when(own.rlike("[0-9@]"), F.split(F.regexp_replace(safe, ANY, f"{MARK}$0{MARK}"), MARK, -1))
-    marked = documents.withColumn("_pieces", pieces)
-    new = F.transform(F.col("_pieces"), lambda p, i: F.when(i % 2 == 1, pseudonym(p, key)).otherwise(p))
-    done = marked.withColumn("_new", F.when(F.size("_pieces") > 1, new))
-    back = F.replace(F.replace(F.array_join("_new", ""), F.lit(ESCAPE + "\x04"), F.lit(MARK)), F.lit(ESCAPE + "\x03"), F.lit(ESCAPE))
-    changed = F.size(F.filter(F.zip_with("_pieces", "_new", lambda a, b: a != b), lambda differs: differs))
-    return done.withColumns({text: F.when(F.col("_new").isNotNull(), back).otherwise(own), count: F.when(F.col("_new").isNotNull(), changed).otherwise(0).cast("long")}).drop("_pieces", "_new")
+    found, new = private(documents, "pieces", "new")
+    marked = documents.withColumn(found, pieces)
+    made = F.transform(F.col(found), lambda p, i: F.when(i % 2 == 1, pseudonym(p, key)).otherwise(p))
+    done = marked.withColumn(new, F.when(F.size(found) > 1, made))
+    back = F.replace(F.replace(F.array_join(new, ""), F.lit(ESCAPE + "\x04"), F.lit(MARK)), F.lit(ESCAPE + "\x03"), F.lit(ESCAPE))
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda differs: differs))
+    return done.withColumns({text: F.when(F.col(new).isNotNull(), back).otherwise(own), count: F.when(F.col(new).isNotNull(), changed).otherwise(0).cast("long")}).drop(found, new)

@@ -5,10 +5,12 @@ with each word replaced by its outline (kinds of its first two characters and it
 last, and its length class); a word that repeats its predecessor hashes to one
 shared pair. A value is a feature's count over the square root of all counts.
 
-Only training is bounded (``Settings.sample_rows``); every row is scored whole.
-Null and empty texts have no features and get the bias alone. Rows are scored one
-by one, so repeated rows and repeated ids score alike, and other columns of the
-input pass through :func:`scored` untouched.
+Only training is bounded (``Settings.sample_rows``); every row is scored whole, of any
+length. Null and empty texts have no features and get the bias alone. Rows are scored
+one by one, so repeated rows and repeated ids score alike; training takes one text of an
+id, the least, and none of a null id. Ids are of any type. Other columns of the input
+pass through :func:`scored` untouched; an empty table gives an empty one, and training
+on nothing gives scores of one half.
 """
 
 from __future__ import annotations
@@ -111,24 +113,25 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     where the texts are; one task gets the bounded sample of sparse vectors and
     returns the weights.
     """
-    kept = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+    kept = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     chosen = kept.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample_rows)
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    texts = texts.select(F.xxhash64(F.col("doc_id").cast("string")).alias("key"), "y", "text")
     bits = settings.bits
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = list(_sparse(batch.column("text"), bits))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["doc_id", "y", "index", "value"])
+            yield pa.record_batch([batch.column("key"), batch.column("y"), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["key", "y", "index", "value"])
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [(np.frombuffer(r.index, np.int32), np.frombuffer(r.value, np.float32), r.y) for b in batches for r in b[["index", "value", "y"]].rename(columns={"index": "index"}).itertuples(index=False)]
         weights, bias = ftrl(rows, settings)
         yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
 
-    sparse = texts.mapInArrow(vectors, "doc_id long, y int, index binary, value binary")
-    one = sparse.repartition(1).sortWithinPartitions("doc_id", F.xxhash64("index"))
-    got = one.drop("doc_id").mapInPandas(fit, "weights binary, bias double").collect()
+    sparse = texts.mapInArrow(vectors, "key long, y int, index binary, value binary")
+    one = sparse.repartition(1).sortWithinPartitions("key", F.xxhash64("index"))
+    got = one.drop("key").mapInPandas(fit, "weights binary, bias double").collect()
     if not got:
         return np.zeros(1 << bits, np.float32), 0.0
     return np.frombuffer(got[0].weights, np.float32), got[0].bias

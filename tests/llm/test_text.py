@@ -1,8 +1,11 @@
+import datetime
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -188,9 +191,155 @@ def test_days_permute(spark):
     assert tuple(got) == (146097, "1800-01-01", "2199-12-31")
 
 
+def plain_network(values, radices, kind, key):
+    cut = len(values) // 2
+    left, right = list(values[:cut]), list(values[cut:])
+
+    def added(own, other, radix, turn):
+        seen = ",".join(map(str, other))
+        return [(x + int(hashlib.sha256(f"{key}|{kind}|{turn}|{i}|{seen}".encode()).hexdigest()[:10], 16)) % r for i, (x, r) in enumerate(zip(own, radix))]
+
+    for turn in range(pii.ROUNDS):
+        if turn % 2 == 0:
+            left = added(left, right, radices[:cut], turn)
+        else:
+            right = added(right, left, radices[cut:], turn)
+    return left + right
+
+
+def plain_pseudonym(value, key):
+    """One found value by plain rules, on strings and dates of Python."""
+    fits = lambda pattern: re.fullmatch(pattern, value, re.A)
+    digits = lambda x, kind: "".join(map(str, plain_network([int(c) for c in x], [10] * len(x), kind, key)))
+    only = re.sub("[^0-9]", "", value)
+
+    def refilled(new):
+        new = iter(new)
+        return "".join(next(new) if c in "0123456789" else c for c in value)
+
+    if "@" in value:
+        name, rest = value.split("@", 1)
+        first = [48 if c.isdigit() else 97 if c.islower() else 65 if c.isupper() else None for c in name]
+        new = plain_network([ord(c) - f if f else 0 for c, f in zip(name, first)], [10 if f == 48 else 26 if f else 1 for f in first], "email", key)
+        return "".join(chr(n + f) if f else c for c, f, n in zip(name, first, new)) + "@" + rest
+    if fits(f"{pii.ISO}|{pii.DOTTED}|{pii.SLASHED}"):
+        for shape in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"):
+            try:
+                day = datetime.datetime.strptime(value, shape).date()
+            except ValueError:
+                continue
+            if 1800 <= day.year <= 2199:
+                n = (day - datetime.date(1800, 1, 1)).days
+                a, b = plain_network([n // 773, n % 773], [189, 773], "date", key)
+                return (datetime.date(1800, 1, 1) + datetime.timedelta(days=a * 773 + b)).strftime(shape)
+        return value
+    if fits(pii.IPV4):
+        parts = [int(x) for x in value.split(".")]
+        return ".".join(map(str, plain_network(parts, [256] * 4, "ip", key))) if max(parts) < 256 else value
+    if fits(pii.SSN):
+        area, group, serial = map(int, value.split("-"))
+        if not (0 < area < 900 and area != 666 and group and serial):
+            return value
+        a, g, n = plain_network([area - 1 - (area > 666), group - 1, serial - 1], [898, 99, 9999], "ssn", key)
+        return f"{a + 1 + (a + 1 >= 666):03d}-{g + 1:02d}-{n + 1:04d}"
+    if fits(pii.PHONE):
+        keep = len(only) - 10 if re.match(r"(\+?1[ .\-]?)?\(|(\+?1[ .\-])?\d{3}[.\-]|\+1", value, re.A) else 2
+        return refilled(only[:keep] + digits(only[keep:], "phone")) if 8 <= len(only) <= 15 else value
+    if not luhn(only):
+        return value
+    body = digits(only[:-1], "card")
+    return refilled(next(body + str(c) for c in range(10) if luhn(body + str(c))))
+
+
+def test_pseudonyms_against_plain_rules(spark):
+    """Over all documents of the smallest shared tables, and texts made of values of each kind."""
+    rng = random.Random(12)
+    some = lambda n, of="0123456789": "".join(rng.choices(of, k=n))
+    made = []
+    for _ in range(400):
+        card = some(rng.choice([12, 15, 18]))
+        made.append(rng.choice([
+            f"{some(5, 'aB.9_-')}@{some(4, 'ab')}.org", f"{rng.randint(1750, 2250)}-{rng.randint(0, 13):02d}-{rng.randint(0, 31):02d}", f"{rng.randint(0, 31):02d}.{rng.randint(1, 13):02d}.{rng.randint(1790, 2210)}",
+            f"{rng.randint(0, 31):02d}/{rng.randint(0, 31):02d}/{rng.randint(1900, 2100)}", ".".join(str(rng.randint(0, 270)) for _ in range(4)), f"{rng.randint(0, 950):03d}-{some(2)}-{some(4)}",
+            f"+1 ({some(3)}) {some(3)}-{some(4)}", f"+{rng.randint(2, 9)}{some(9)}", f"+4{some(1)} {some(3)} {some(5)}", f"{some(3)}.{some(3)}.{some(4)}",
+            next(card + c for c in "0123456789" if luhn(card + c)), card + some(1), f"{some(4)} {some(4)} {some(4)} {some(4)}", "plain text", "\x01\x02",
+        ]))
+    texts = [" ".join(rng.sample(made, 12)) for _ in range(100)] + made
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if os.path.exists(path):
+        texts += [r.text for r in spark.read.parquet(path).select("text").collect()]
+    frame = docs(spark, texts).withColumns({"Pieces": F.lit("x"), "new": F.lit("y")})
+    got = pii.pseudonymised(frame, "k")
+    assert got.columns == [*frame.columns, "n_pseudonyms"]
+    changed = 0
+    for r in got.collect():
+        n = 0
+
+        def put(found):
+            nonlocal n
+            new = plain_pseudonym(found[0], "k")
+            n += new != found[0]
+            return new
+
+        want = None if texts[r.doc_id] is None else re.sub(pii.ANY, put, texts[r.doc_id], flags=re.A)
+        assert (r.text, r.n_pseudonyms) == (want, n)
+        changed += n
+    assert changed > 300
+
+
 # --- quality
 
 
+def plain_ftrl(rows, s):
+    """FTRL-proximal, coordinate by coordinate."""
+    z, n, rate = {}, {}, 0.0
+    share = sum(y for *_, y in rows) / len(rows)
+    bias = math.log((share + 1e-3) / (1 - share + 1e-3))
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= s.l1:
+            return 0.0
+        return -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    random_ = np.random.default_rng(s.seed)
+    for _ in range(s.epochs):
+        for k in random_.permutation(len(rows)):
+            index, value, y = rows[k]
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(weight(i) * v for i, v in zip(index, value)) + bias))))
+            for i, v in zip(index, value):
+                g, w, before = (p - y) * v, weight(i), n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / s.alpha * w
+            rate += (p - y) ** 2
+            bias -= s.alpha * (p - y) / (s.beta + math.sqrt(rate))
+    return {i: weight(i) for i in z}, bias
+
+
+def test_training_and_scores_against_plain_ones(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["one", "Two", "3", "four.", "é", "$$"], weights=[1 + i % 2, 2, 1, 1, 1, 3 * (i % 2)], k=rng.randint(0, 12))) for i in range(60)]
+    ids = [f"id{i}" for i in range(60)]
+    frame = spark.createDataFrame([*zip(ids, texts), ("id3", texts[3] + " more"), (None, "x")], "doc_id string, text string").withColumn("key", F.lit(1))
+    labels = spark.createDataFrame([(x, i % 2, 0) for i, x in enumerate(ids)] + [(None, 1, 0)], "doc_id string, quality int, toxic int")
+    s = quality.Settings(bits=12, sample_rows=30)
+    weights, bias = quality.train(frame, labels, s)
+    key = {r.doc_id: r.k for r in labels.select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    chosen = sorted((x for x in ids if zlib.crc32(x.encode()) % 3 != 1), key=lambda x: (key[x], x))[:30]
+    rows = []
+    for x in sorted(chosen, key=lambda x: key[x]):
+        own = min(t for i, t in [*zip(ids, texts), ("id3", texts[3] + " more")] if i == x)
+        index = quality.features(next(words.blocks(pa.array([own]))), s.bits)[0].tolist()
+        n = Counter(index)
+        rows.append((sorted(n), [n[i] / math.sqrt(len(index)) for i in sorted(n)], int(x[2:]) % 2))
+    want, want_bias = plain_ftrl(rows, s)
+    assert abs(bias - want_bias) < 1e-5 and any(want.values())
+    assert all(abs(weights[i] - w) < 1e-5 for i, w in want.items()) and np.count_nonzero(weights) == sum(w != 0 for w in want.values())
+    for r in quality.scored(frame, (weights, bias), s.bits).collect():
+        index = quality.features(next(words.blocks(pa.array([r.text]))), s.bits)[0].tolist()
+        x = sum(float(weights[i]) for i in index) / math.sqrt(max(1, len(index))) + bias
+        assert abs(r.quality_score - 1 / (1 + math.exp(-x))) < 1e-6
+
+
 def test_quality(spark):
     rng = random.Random(1)
     vocabulary = ["".join(rng.choices("abcdefg", k=5)) for _ in range(80)]
@@ -338,14 +487,14 @@ def test_language_model(spark):
 def test_all_training_windows(spark):
     texts = [f"text {i} " + "some words here " * (i % 50) for i in range(200)]
     settings = language_model.Settings(shard_bytes=3000)
-    table = language_model.shards(docs(spark, texts).repartition(3), settings).cache()
+    table = language_model.shards(docs(spark, texts).repartition(3), VOCABULARY, settings).cache()
     v = len(language_model.id_bytes(VOCABULARY))
     t = attention.tables(np.ones(v), v - 1)
     share = spark.sparkContext.broadcast
-    rows = language_model.copies(table, share(t), share(attention.start_network()), VOCABULARY, settings).where("place = 0").collect()
+    rows = language_model.copies(table, share(t), share(attention.start_network()), settings).where("place = 0").collect()
     want = 0
     for r in table.collect():
-        s = language_model.sequence(t, language_model.unsqueeze(r.words), language_model.unsqueeze(r.number, "<i4"), np.array(r.n_words), VOCABULARY)
+        s = language_model.sequence(t, r.first, r.number, np.array(r.n_words))
         doc = language_model.windows(s)[0]
         want += sum(not language_model.held_out(r.doc_id[d]) for d in doc.tolist())
     assert sum(r.seen for r in rows) == want > 200
