@@ -8,16 +8,18 @@ folder before the next one reads them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagweft.llm import decontaminate, exact_dedup, near_copies, packing, quality
 from tagweft.llm.catalogue import VOCABULARY, table
-from tagweft.llm.shared import stored
+from tagweft.llm.shared import private, release, stored
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier scores 0.5 or more."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, column="_score").where("_score >= 0.5").drop("_score")
+    (score,) = private(docs, "score")
+    return quality.scored(docs, model, column=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts at a five-word Jaccard similarity of 0.8 or more, the row with the smallest id."""
+    """Of each group of texts at a five-word Jaccard similarity of 0.8 or more, the row with the smallest id, by SimHashes and vantage-point trees first."""
     return near_copies.deduplicated(docs)
 
 
@@ -55,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs, before = stored(stage(spark, docs, sf_dir), name), docs
+        if name != STAGES[0][0]:
+            release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
