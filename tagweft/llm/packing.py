@@ -19,6 +19,7 @@ table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -120,32 +121,34 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(vocabulary.ranks, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(vocabulary.tokenizer, "rb") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
         self.vocabulary = vocabulary
-        self.slow = Tokenizer.from_file(vocabulary.tokenizer)
-        added = {token.content: number for number, token in self.slow.get_added_tokens_decoder().items()}
         self.fast = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens=added)
 
+    def _slow(self, text: str, ordinary: bool) -> list[int]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.vocabulary.tokenizer)
+        own.encode_special_tokens = ordinary
+        return own.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> list[int]:
         """Texts that spell an added token get its id there."""
         try:
             return self.fast.encode(text, allowed_special="all", disallowed_special=())
         except ValueError:
-            return self.slow.encode(text, add_special_tokens=False).ids
+            return self._slow(text, False)
 
     def ordinary(self, text: str) -> list[int]:
         """Added tokens are ordinary text."""
         try:
             return self.fast.encode_ordinary(text)
         except ValueError:
-            from tokenizers import Tokenizer
-
-            own = Tokenizer.from_file(self.vocabulary.tokenizer)
-            own.encode_special_tokens = True
-            return own.encode(text, add_special_tokens=False).ids
+            return self._slow(text, True)
 
 
 @lru_cache(4)

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -95,19 +94,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(2)
-def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    up = np.full(n, base, np.uint64)
-    up[0] = 1
-    down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(n: int, base: int = int(_BASE)) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(10, (n - 1).bit_length())
-    up, down = _powers(size, base)
+    """base**i and base**-i modulo 2**64 for i below n; up to a million of each base are kept."""
+    up, down = _kept.get(base, (np.zeros(0, np.uint64),) * 2)
+    if n > len(up):
+        size = 1 << max(16, (n - 1).bit_length())
+        up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        np.multiply.accumulate(up, out=up)
+        np.multiply.accumulate(down, out=down)
+        if size <= 1 << 20:
+            _kept[base] = up, down
     return up[:n], down[:n]
 
 
@@ -119,7 +119,7 @@ def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return (total[ends] - total[starts]) * down[np.minimum(starts, len(down) - 1)]
 
 
-def word_hashes(block: Block, part: int = 1 << 19) -> np.ndarray:
+def word_hashes(block: Block, part: int = 1 << 18) -> np.ndarray:
     """A 64-bit hash of each word's bytes, made over parts of the block at a time."""
     out = np.empty(len(block.starts), np.uint64)
     first = 0
