@@ -1,10 +1,12 @@
 """Every core query with SQL, against DuckDB over the smallest shared tables."""
 
 import os
+import sys
 
 import duckdb
 import pytest
 
+import __spark_entry__
 from tagweft import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +30,15 @@ def test_query(spark, sql, name):
     assert rows == sorted(map(repr, want.select(*names).fetchall()))
 
 
-def test_all_others_run(spark):
-    for name in set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL):
-        assert catalogue.QUERIES[name](spark, SF).limit(5).count() == 5
+def test_entry_without_the_training_data_package(monkeypatch):
+    for name in [n for n in sys.modules if n.startswith("tagweft.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)  # its import fails
+    with pytest.warns(UserWarning, match="no training-data queries"):
+        assert __spark_entry__.queries().keys() == catalogue.QUERIES.keys()
+    with pytest.warns(UserWarning):
+        assert __spark_entry__.oracle_sql().keys() == catalogue.ORACLE_SQL.keys()
+
+
+def test_every_query_has_sql():
+    assert catalogue.QUERIES.keys() == catalogue.ORACLE_SQL.keys()
