@@ -16,7 +16,8 @@ components are groups of near copies:
    fingerprint, the odd counts of shingles by hashed places, tells by its Hamming
    distance how many shingles differ at least. In each block, pivots are compared with
    all others that are not in one component with them yet, and a spanning forest of
-   the candidates is returned, so a group of any size gives a row a member;
+   the candidates is returned, so a group of any size gives a row a member. This is done
+   with a few blocks first, so that others need not join the same large groups again;
 3. the candidates' sets are made again from their packed texts and compared. Where that
    refuted links of a forest, blocks meet once more, with the components so far, and
    return all candidates between different ones.
@@ -47,6 +48,8 @@ LEAST_PLACES, MOST_PLACES = 1024, 8192
 BLOCK = 1 << 20
 #: Texts that shape the order, shingles that it moves back, rows that are broadcast at most, and shingles of a block.
 SAMPLE, MOVED, BROADCAST, BLOCK_ROWS = 8192, 1 << 18, 1_000_000, 100_000
+#: Forests are taken from one block in so many, and then from all: what the first have joined, the others pass by.
+FIRST_BLOCKS = (16, 1)
 #: Members of a shingle from which pivots are taken in place of all pairs.
 PIVOT = 12
 
@@ -333,18 +336,21 @@ def links(documents: DataFrame, marked: DataFrame, settings: simhash.Search = si
     near = similar(documents, sets, closest(sets, settings))
     roots = stored(components(near), "near-roots")
     total = 0 if sets.isEmpty() else sets.agg(F.sum(F.size("prefix"))).first()[0]
-    parts = max(12, total // BLOCK_ROWS)
+    parts = max(16, total // BLOCK_ROWS)
     tokens = with_root(sets.select("node", "prefix"), roots).select("node", "root", F.explode("prefix").alias("shingle"))
     tokens = tokens.select(F.pmod("shingle", F.lit(parts)).cast("int").alias("part"), F.shiftright("shingle", 32).cast("int").alias("token"), "node", "root")
     again = apart(tokens)
-    more = similar(documents, sets, stored(candidates(again, sets, forest=True), "near-pairs"))
-    roots = stored(components(near.union(more)), "near-roots")
-    left = apart(with_root(again, roots))
+    for every in FIRST_BLOCKS:
+        rows = again.where(F.col("part") % every == 0)
+        near = near.union(similar(documents, sets, stored(candidates(rows, sets, forest=True), "near-pairs")))
+        roots = stored(components(near), "near-roots")
+        left = apart(with_root(again, roots))
+        release(again)
+        again = left
+    last = similar(documents, sets, stored(candidates(again, sets, forest=False), "near-pairs"))
     release(again)
-    last = similar(documents, sets, stored(candidates(left, sets, forest=False), "near-pairs"))
-    release(left)
     release(sets)
-    return near.union(more).union(last)
+    return near.union(last)
 
 
 def deduplicated(documents: DataFrame, settings: simhash.Search = simhash.Search(radius=RADIUS)) -> DataFrame:
