@@ -32,6 +32,8 @@ from .shared import one_of_each, possibly, release, stored, without
 SPACES = r"[\x20\x09-\x0D]+"
 #: Doublings of the directory at most: its cells are counted and broadcast.
 DEEPEST = 20
+#: Slots that are broadcast at most: no more can have over a ten-thousandth of all rows each.
+HOT = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -106,12 +108,19 @@ def index(table: DataFrame, capacity: int = 4096, max_depth: int = DEEPEST) -> D
     return owned
 
 
+def looked_up(table: DataFrame, known: DataFrame) -> DataFrame:
+    """Step 4: entries with their slots; those of the largest slots, ``HOT`` at most, without a shuffle."""
+    least = max(100, table.count() // HOT)
+    hot = F.broadcast(known.where(F.col("rows") > least))
+    rest = table.join(hot, ["key", "sha"], "left_anti").join(known.where(F.col("rows") <= least), ["key", "sha"])
+    return table.join(hot, ["key", "sha"]).unionByName(rest)
+
+
 def groups(documents: DataFrame, hash_bits: int = 64, capacity: int = 4096) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row_no, text_key (a hash of the text as it is)."""
     table = entries(documents, hash_bits)
     known = index(slots(documents, table, hash_bits), capacity)
-    found = table.join(known.select("key", "sha", "rows", F.col("first.id").alias("keep_id")), ["key", "sha"])
-    found = stored(found, "exact-found")
+    found = stored(looked_up(table, known.select("key", "sha", "rows", F.col("first.id").alias("keep_id"))), "exact-found")
     release(known)
     release(table)
     # of rows with the same id and text one stays: the first
