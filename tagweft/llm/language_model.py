@@ -7,7 +7,7 @@ word as its first subword id.
 
 The model's outcomes are those of the unigram: the words that training texts have, the
 end, and any other word as one outcome. That one has the share of training tokens that
-occur once (a Good-Turing estimate). Of the rest, a word's probability mixes (``MIX``)
+occur once (a Good-Turing estimate). Of the rest, a word's probability mixes (``Settings.mix``)
 that of its first subword in context, times the word's share of the training words that
 begin so, and the word's own share. So the probabilities of all outcomes sum to one.
 
@@ -50,12 +50,14 @@ from .packing import Vocabulary, encoder
 from .shared import stored
 
 
-#: Weight of a word's first subword in context and the word after it; the rest is the word's own share. Picked on training texts alone, of which a fifth was held back.
-MIX = 0.98
-
-
 @dataclass(frozen=True)
 class Settings:
+    """``mix`` is the weight of a word's first subword in context and the word after it; the rest is the word's own share.
+
+    It was picked on training texts alone, of which a fifth was held back.
+    """
+
+    mix: float = 0.98
     shard_bytes: int = 4 << 20
     bucket_words: int = 1_500_000
     sample_shards: int = 12
@@ -307,7 +309,7 @@ def network(table: DataFrame, t: attention.Tables, settings: Settings) -> dict[s
     return {x: v.reshape(net[x].shape) for x, v in zip(net, np.split(means.value.to_numpy(np.float32), edges))}
 
 
-def log_probabilities(net: dict[str, np.ndarray], t: attention.Tables, s: Sequence, count: np.ndarray, n_tokens: int, unknown: float, batch: int = 256) -> np.ndarray:
+def log_probabilities(net: dict[str, np.ndarray], t: attention.Tables, s: Sequence, count: np.ndarray, n_tokens: int, unknown: float, mix: float = Settings.mix, batch: int = 256) -> np.ndarray:
     """log10 probability of each text of a sequence; ``count`` has each token's count in training texts."""
     if not len(s.ids):
         return np.zeros(0)
@@ -317,7 +319,7 @@ def log_probabilities(net: dict[str, np.ndarray], t: attention.Tables, s: Sequen
         before, blank, now, used, place = gathered(s, t, doc[at : at + batch], begin[at : at + batch])
         out[place[used]] = attention.probabilities(net, t, before, blank, now, used)
     in_context = out * np.minimum(count / np.maximum(t.first_count[s.ids], 1), 1)
-    known = (1 - unknown) * (MIX * in_context + (1 - MIX) * count / max(n_tokens, 1))
+    known = (1 - unknown) * (mix * in_context + (1 - mix) * count / max(n_tokens, 1))
     return np.add.reduceat(np.log10(np.maximum(np.where(count > 0, known, unknown), 1e-30)), s.bounds[:-1])
 
 
@@ -355,7 +357,7 @@ def scored(documents: DataFrame, vocabulary: Vocabulary, settings: Settings = Se
                 count, at = total[s.token], s.bounds[:-1]
                 base = np.add.reduceat(np.log10((count + 0.5) / below), at)
                 known = np.add.reduceat((count > 0).astype(np.int64), at)
-                score = log_probabilities(net, t, s, count, n_tokens, unknown)
+                score = log_probabilities(net, t, s, count, n_tokens, unknown, settings.mix)
                 held = pa.array([held_out(x) for x in ids.to_pylist()])
                 yield pa.record_batch(
                     [ids, held, pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(ids), n_tokens)), pa.array(base), pa.array(score)],

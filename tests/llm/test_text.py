@@ -427,7 +427,7 @@ def plain_score(net, t, ids, count, n_tokens, unknown):
         c = t.group[x]
         chosen = soft(h @ net["group"] + net["group0"])[c] * soft(h @ net["slot"][c] + net["slot0"][c])[t.slot[x]] * t.in_slot[x]
         p = gate @ [chosen, sum(w for w, b in zip(a, before) if b == x), t.first[x]]
-        word = language_model.MIX * p * count[i] / max(t.first_count[x], 1) + (1 - language_model.MIX) * count[i] / n_tokens
+        word = language_model.Settings.mix * p * count[i] / max(t.first_count[x], 1) + (1 - language_model.Settings.mix) * count[i] / n_tokens
         total += math.log10((1 - unknown) * word if count[i] else unknown)
     return total
 
