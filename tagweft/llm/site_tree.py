@@ -14,8 +14,9 @@ is its own, inline elements included). Over the ``m`` pages that have a node:
   composite importance, weighted by the pages that have them. What fewer than
   ``Settings.pages`` pages share differs, and counts as important in full.
 
-A branch that at least ``Settings.pages`` distinct pages have and whose composite
-importance is under ``Settings.least`` is site furniture, and is removed. Elements
+A branch that at least ``Settings.pages`` distinct pages have, and in which this node and
+all below are under ``Settings.least``, is site furniture, and is removed; children that
+are not shared keep it if that share of its pages has one. Elements
 more than ``Settings.levels`` deep are no nodes; their text is the content of the node
 above them.
 
@@ -298,8 +299,10 @@ def counted(pages: DataFrame, settings: Settings) -> DataFrame:
 
 
 def importance(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(host, path, above, pages, importance) of every node that ``settings.pages`` distinct pages of a host share.
+    """(host, path, pages, importance, most) of every node that ``settings.pages`` distinct pages of a host share.
 
+    ``most`` is the largest importance in its branch, children that are not shared
+    counting by the share of pages that have them.
     A node's composite importance is a sum over the nodes below it and itself, each
     times the steps between; so it takes a join and no loop over levels.
     """
@@ -317,7 +320,7 @@ def importance(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     held = F.col("kinds") + F.col("texts")
     left = F.pow(F.lit(s.decay), F.col("l"))
     rest = F.col("texts") * F.col("content") + F.greatest(F.col("kinds") - F.coalesce("shared", F.lit(0.0)), F.lit(0.0))
-    nodes = nodes.join(shared, ["host", "path"], "left").withColumns({"own": (1 - left) * F.col("look") + F.when(held > 0, left * rest / held).otherwise(0.0), "give": F.when(held > 0, left / held).otherwise(0.0)})
+    nodes = nodes.join(shared, ["host", "path"], "left").withColumns({"own": (1 - left) * F.col("look") + F.when(held > 0, left * rest / held).otherwise(0.0), "give": F.when(held > 0, left / held).otherwise(0.0), "apart": F.greatest(F.col("kinds") - F.coalesce("shared", F.lit(0.0)), F.lit(0.0)) / F.col("m")})
     nodes = stored(nodes, "site-own")
     up = nodes.select("host", F.col("path").alias("parent"), "give")
     steps = nodes.where("parent IS NOT NULL").select("host", "path", "parent", "m").join(up, ["host", "parent"]).select("host", "path", (F.col("give") * F.col("m")).alias("step"))
@@ -326,12 +329,15 @@ def importance(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     chain = chain.groupBy("host", "path").agg(F.first("own").alias("own"), F.sort_array(F.collect_list(F.struct("level", "on", F.coalesce("step", F.lit(1.0)).alias("step")))).alias("on"))
     given = F.transform("on", lambda x: F.struct(x["on"].alias("path"), (F.col("own") * F.aggregate(F.filter("on", lambda y: y["level"] > x["level"]), F.lit(1.0), lambda p, y: p * y["step"])).alias("value")))
     sums = chain.select("host", F.explode(given).alias("x")).groupBy("host", F.col("x.path").alias("path")).agg(F.sum("x.value").alias("importance"))
-    return nodes.select("host", "path", "above", F.round("m").cast("long").alias("pages")).join(sums, ["host", "path"])
+    valued = stored(nodes.select("host", "path", "above", F.round("m").cast("long").alias("pages"), "apart").join(sums, ["host", "path"]), "site-importance")
+    own = F.greatest("importance", F.least("apart", F.lit(1.0)))
+    most = valued.select("host", F.explode(F.concat("above", F.array("path"))).alias("path"), own.alias("own")).groupBy("host", "path").agg(F.max("own").alias("most"))
+    return valued.select("host", "path", "pages", "importance").join(most, ["host", "path"])
 
 
 def furniture(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(host, paths): the paths of each host whose importance is too low."""
-    low = importance(pages, settings).where(F.col("importance") < settings.least)
+    """(host, paths): the paths of each host in whose branches all importance is too low."""
+    low = importance(pages, settings).where(F.col("most") < settings.least)
     return low.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths"))
 
 

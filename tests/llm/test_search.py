@@ -389,7 +389,13 @@ def plain_importance(htmls, settings=site_tree.Settings()):
         left = settings.decay ** len(looks)
         return (1 - left) * entropy(looks.values(), m) + (left * parts / (kinds + texts) if kinds + texts else 0)
 
-    return {p: value(p) for p in shared}
+    def most(path):
+        own = [page[path] for page in pages if path in page]
+        children = [c for c in shared if paths[c] and paths[c][-1] == path]
+        apart = sum(x[2] for x in own) - sum(sum(c in page for page in pages) for c in children)
+        return max([value(path), min(1, apart / len(own)), *map(most, children)])
+
+    return {p: (value(p), most(p)) for p in shared}
 
 
 def varied_site(rng, n=24):
@@ -411,7 +417,7 @@ def test_tree_finds_furniture_that_varies_and_declares_nothing(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"paths": F.lit(1), "Host": F.lit("x")}).repartition(3)
     got = {r.path: r for r in site_tree.importance(frame).collect()}
     want = plain_importance(htmls)
-    assert got.keys() == want.keys() and all(abs(got[p].importance - want[p]) < 1e-9 for p in want)
+    assert got.keys() == want.keys() and all(abs(got[p].importance - want[p][0]) < 1e-9 and abs(got[p].most - want[p][1]) < 1e-9 for p in want)
     text = {r.page_id: r.text for r in site_tree.extracted(frame).collect()}
     assert [text[i] for i in range(len(htmls))] == bodies and text[len(htmls)] == bodies[0]
     alone = {r.page_id: r.text for r in site_tree.extracted(frame, site_tree.Settings(declarations=False)).collect()}
@@ -433,9 +439,19 @@ def test_importance_against_recursion(spark, seed):
     htmls = [some(4) for _ in range(40)]
     s = site_tree.Settings(pages=4)
     frame = spark.createDataFrame([(i, "//h/", h) for i, h in enumerate([*htmls, htmls[3]])], "page_id long, url string, html string")
-    got = {r.path: r.importance for r in site_tree.importance(frame, s).collect()}
+    got = {r.path: (r.importance, r.most) for r in site_tree.importance(frame, s).collect()}
     want = plain_importance(htmls, s)
-    assert len(want) > 2 and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    assert len(want) > 2 and got.keys() == want.keys() and all(abs(x - y) < 1e-9 for p in want for x, y in zip(got[p], want[p]))
+
+
+def test_a_page_of_mostly_furniture_keeps_its_text(spark):
+    rng = random.Random(5)
+    same = "".join(f"<div class='f{c}'>Always the same {c}</div>" for c in "abcdefghij")
+    bodies = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(20)) for _ in range(30)]
+    rows = [(i, "//a/", f"<body>{same}<div class='text'><div>{b}</div></div></body>") for i, b in enumerate(bodies)]
+    rows += [(100 + i, "//b/", f"<body>{same}<div class='{''.join(rng.choices('xyzuvw', k=6))}'>{b}</div></body>") for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in site_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == got[100 + i] == b for i, b in enumerate(bodies))
 
 
 @pytest.mark.parametrize("tags", ["<div>", "<b>", "<p><b>", "<article>", "<main><header>", "<article><header>", "<li><td>", "<nav>", "<i>"])
