@@ -31,7 +31,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -252,26 +251,31 @@ def pairs_of(token: np.ndarray, member: np.ndarray, block: Block, forest: bool)
 def candidates(again: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
     """(a, b, far) of distinct sets in different components that may be at 0.8 or more, from tokens (part, token, node, root)."""
 
-    def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        node, first, member = np.unique(frame.node.to_numpy(), return_index=True, return_inverse=True)
-        size, root = frame["size"].to_numpy()[first], frame.root.to_numpy()[first]
-        block = Block(size, frame.odd.iloc[first].tolist(), np.unique(root, return_inverse=True)[1])
-        a, b, far = (np.concatenate([*x, np.zeros(0)]) for x in pairs_of(frame.token.to_numpy(), member, block, forest))
+    def meet(rows: pa.Table) -> pa.Table:
+        node, first, member = np.unique(rows["node"].to_numpy(), return_index=True, return_inverse=True)
+        size, root = rows["size"].to_numpy()[first], rows["root"].to_numpy()[first]
+        block = Block(size, rows["odd"].take(pa.array(first)).to_pylist(), np.unique(root, return_inverse=True)[1])
+        a, b, far = (np.concatenate([*x, np.zeros(0)]) for x in pairs_of(rows["token"].to_numpy(), member, block, forest))
         a, b = node[a.astype(np.int64)], node[b.astype(np.int64)]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "far": far})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "far": far})
 
     rows = again.join(sets.select("node", "size", "odd"), "node")
-    return rows.groupBy("part").applyInPandas(meet, "a long, b long, far double").groupBy("a", "b").agg(F.min("far").alias("far"))
+    return rows.groupBy("part").applyInArrow(meet, "a long, b long, far double").groupBy("a", "b").agg(F.min("far").alias("far"))
 
 
 def apart(tokens: DataFrame) -> DataFrame:
     """Those tokens (part, token, node, root) whose sets are not all in one component."""
 
-    def several(frame: pd.DataFrame) -> pd.DataFrame:
-        root = frame.groupby("token").root
-        return frame[root.transform("min") != root.transform("max")]
+    def several(rows: pa.Table) -> pa.Table:
+        token, root = rows["token"].to_numpy(), rows["root"].to_numpy()
+        order = np.lexsort((root, token))
+        token, root = token[order], root[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        differ = root[first] != root[first + size - 1]
+        return rows.take(pa.array(order[np.repeat(differ, size)]))
 
-    return stored(tokens.groupBy("part").applyInPandas(several, "part int, token int, node long, root long"), "near-tokens")
+    return stored(tokens.groupBy("part").applyInArrow(several, "part int, token int, node long, root long"), "near-tokens")
 
 
 def with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:

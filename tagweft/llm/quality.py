@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,14 +123,14 @@ def train(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
             made = list(_sparse(batch.column("text"), bits))
             yield pa.record_batch([batch.column("key"), batch.column("y"), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=["key", "y", "index", "value"])
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(np.frombuffer(r.index, np.int32), np.frombuffer(r.value, np.float32), r.y) for b in batches for r in b[["index", "value", "y"]].rename(columns={"index": "index"}).itertuples(index=False)]
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), y) for b in batches for a, v, y in zip(*(b.column(c).to_pylist() for c in ("index", "value", "y")))]
         weights, bias = ftrl(rows, settings)
-        yield pd.DataFrame({"weights": [weights.tobytes()], "bias": [bias]})
+        yield pa.record_batch([pa.array([weights.tobytes()], pa.binary()), pa.array([float(bias)])], names=["weights", "bias"])
 
     sparse = texts.mapInArrow(vectors, "key long, y int, index binary, value binary")
     one = sparse.repartition(1).sortWithinPartitions("key", F.xxhash64("index"))
-    got = one.drop("key").mapInPandas(fit, "weights binary, bias double").collect()
+    got = one.drop("key").mapInArrow(fit, "weights binary, bias double").collect()
     if not got:
         return np.zeros(1 << bits, np.float32), 0.0
     return np.frombuffer(got[0].weights, np.float32), got[0].bias

@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -256,12 +255,12 @@ def whole_router(distinct: DataFrame, settings: Search) -> list[tuple]:
             who, leaf, own = route(shared.value, points, 0)
             yield pa.record_batch([pa.array(points[who[own]].view(np.int64)), pa.array(leaf[own])], names=["fp", "leaf"])
 
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes = router(np.sort(frame.fp.to_numpy().view(np.uint64)), -(-len(frame) // s.each))
-        return pd.DataFrame({"leaf": frame.leaf.iloc[:1], "nodes": [pickle.dumps(nodes)]})
+    def build(rows: pa.Table) -> pa.Table:
+        nodes = router(np.sort(rows["fp"].to_numpy().view(np.uint64)), -(-len(rows) // s.each))
+        return pa.table({"leaf": rows["leaf"][:1].combine_chunks(), "nodes": pa.array([pickle.dumps(nodes)], pa.binary())})
 
     some = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, s.shard // s.each))) == 0).select("fp")
-    rows = some.mapInArrow(home, "fp long, leaf long").groupBy("leaf").applyInPandas(build, "leaf long, nodes binary").collect()
+    rows = some.mapInArrow(home, "fp long, leaf long").groupBy("leaf").applyInArrow(build, "leaf long, nodes binary").collect()
     return grafted(top, {r.leaf: pickle.loads(r.nodes) for r in rows})
 
 
@@ -276,16 +275,16 @@ def links(distinct: DataFrame, settings: Search = Search()) -> DataFrame:
             who, shard, own = route(shared.value, points, s.radius)
             yield pa.record_batch([pa.array(points[who].view(np.int64)), pa.array(shard), pa.array(own)], names=["fp", "shard", "own"])
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        fp = frame.fp.to_numpy().view(np.uint64)
-        own = frame.own.to_numpy()
+    def join(rows: pa.Table) -> pa.Table:
+        fp = rows["fp"].to_numpy().view(np.uint64)
+        own = rows["own"].to_numpy()
         both = np.concatenate([fp[own], fp[~own]])
         forest = search(fp[own], fp[~own], s.radius, s.leaf)
         linked = np.flatnonzero(forest.root != np.arange(len(both)))
-        return pd.DataFrame({"a": both[linked].view(np.int64), "b": both[forest.root[linked]].view(np.int64)})
+        return pa.table({"a": both[linked].view(np.int64), "b": both[forest.root[linked]].view(np.int64)})
 
     sent = distinct.select("fp").mapInArrow(send, "fp long, shard long, own boolean")
-    return sent.groupBy("shard").applyInPandas(join, "a long, b long")
+    return sent.groupBy("shard").applyInArrow(join, "a long, b long")
 
 
 def named(marks: DataFrame, settings: Search = Search()) -> DataFrame:
