@@ -59,15 +59,17 @@ def entries(documents: DataFrame, hash_bits: int = 64) -> DataFrame:
 
 
 def slots(documents: DataFrame, table: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """Step 2: (key, sha, rows, first) of each distinct text; ``first`` is its smallest id."""
-    count = table.groupBy("key").agg(F.count("*").alias("n"), F.min("sha").alias("sha"), F.min(_id()).alias("first"))
+    """Step 2: (key, sha, rows, first, first_row) of each distinct text: its smallest id, and of the rows with that the first."""
+    count = table.groupBy("key").agg(F.count("*").alias("n"), F.min("sha").alias("sha"), F.min(_id()).alias("first"), F.min("row_no").alias("first_row"))
     count = stored(count, "exact-keys")
     repeated = stored(count.where("n > 1").select("key"), "exact-repeated")
     texts = documents.select("doc_id", normalised(F.col("text")).alias("body")).withColumn("key", key_of(F.col("body"), hash_bits))
     texts = possibly(texts, F.col("key"), repeated)
     same = texts.groupBy("key", "body").agg(F.count("*").alias("rows"), F.min(_id()).alias("first"))
     same = same.select("key", F.sha2("body", 256).alias("sha"), "rows", "first").join(repeated, "key", "left_semi")
-    return count.where("n = 1").select("key", "sha", F.lit(1).cast("long").alias("rows"), "first").union(same)
+    rows = possibly(table, F.col("key"), repeated).groupBy("key", "sha").agg(F.min(F.struct(_id().alias("id"), "row_no")).alias("least"))
+    same = same.join(rows, ["key", "sha"]).select("key", "sha", "rows", "first", F.col("least.row_no").alias("first_row"))
+    return count.where("n = 1").select("key", "sha", F.lit(1).cast("long").alias("rows"), "first", "first_row").union(same)
 
 
 def prefix(key: Column, depth: Column | int) -> Column:
@@ -103,7 +105,7 @@ def index(table: DataFrame, capacity: int = 4096, max_depth: int = DEEPEST) -> D
     chain = Window.partitionBy("lowest", "depth", "key").orderBy("sha")
     twice = F.raise_error(F.lit("different texts share a SHA-256")).cast("int")
     place = F.when(F.lag("sha").over(chain) == F.col("sha"), twice).otherwise(F.row_number().over(chain))
-    owned = stored(owned.select("key", "sha", "rows", "first", "lowest", "depth", place.alias("place")), "exact-index")
+    owned = stored(owned.select("key", "sha", "rows", "first", "first_row", "lowest", "depth", place.alias("place")), "exact-index")
     release(table)
     return owned
 
@@ -120,21 +122,11 @@ def groups(documents: DataFrame, hash_bits: int = 64, capacity: int = 4096) -> D
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row_no, text_key (a hash of the text as it is)."""
     table = entries(documents, hash_bits)
     known = index(slots(documents, table, hash_bits), capacity)
-    found = stored(looked_up(table, known.select("key", "sha", "rows", F.col("first.id").alias("keep_id"))), "exact-found")
+    found = stored(looked_up(table, known.select("key", "sha", "rows", F.col("first.id").alias("keep_id"), "first_row")), "exact-found")
     release(known)
     release(table)
-    # of rows with the same id and text one stays: the first
-    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    first = found.where(own & (F.col("rows") > 1)).groupBy("key", "sha").agg(F.min("row_no").alias("first_row"))
-    return found.join(first, ["key", "sha"], "left").select(
-        "doc_id",
-        "keep_id",
-        F.col("rows").alias("group_size"),
-        ((F.col("rows") == 1) | (F.col("row_no") == F.col("first_row"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-        "row_no",
-        "text_key",
-    )
+    kept = F.col("row_no") == F.col("first_row")
+    return found.select("doc_id", "keep_id", F.col("rows").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"), "row_no", "text_key")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:

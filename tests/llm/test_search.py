@@ -55,7 +55,7 @@ def test_exact(spark, bits, capacity):
 def test_exact_splits_buckets(spark):
     frame = docs(spark, [f"text {i}" for i in range(200)])
     table = exact_dedup.entries(frame)
-    every = table.select("key", "sha", F.lit(1).cast("long").alias("rows"), F.struct(F.lit(False).alias("last"), F.col("doc_id").alias("id")).alias("first"))
+    every = table.select("key", "sha", F.lit(1).cast("long").alias("rows"), F.struct(F.lit(False).alias("last"), F.col("doc_id").alias("id")).alias("first"), F.col("row_no").alias("first_row"))
     found = exact_dedup.index(every, capacity=20).collect()
     assert len(found) == 200 and min(r.depth for r in found) >= 3
     sizes = {}
