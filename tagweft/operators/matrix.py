@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def counts(molecules: DataFrame) -> DataFrame:
     """AGG6: (category, cell_id, feature_id, n)."""
@@ -32,15 +34,17 @@ def _before(rows: DataFrame, value: str) -> DataFrame:
 def dense(matrix: DataFrame) -> DataFrame:
     """SRT4: adds ``cell_idx``, from 0 over the cells present, in list order, within each category.
 
-    Numbers come from the distinct cells; the entries only join them.
+    Numbers come from the distinct cells; the entries only join them. The matrix is
+    stored first, as it is read three times.
     """
+    matrix = stored(matrix, "matrix")
     cells = matrix.select("category", "cell_id").distinct().withColumn("one", F.lit(1).cast("bigint"))
     return matrix.join(_before(cells, "one").select("category", "cell_id", F.col("before").alias("cell_idx")), ["category", "cell_id"])
 
 
 def row_pointers(matrix: DataFrame) -> DataFrame:
     """CSR row ends: (category, cell_idx, indptr), indptr counting the entries of all rows up to this one."""
-    rows = matrix.groupBy("category", "cell_id").agg(F.count("*").alias("entries"), F.lit(1).cast("bigint").alias("one"))
+    rows = stored(matrix.groupBy("category", "cell_id").agg(F.count("*").alias("entries"), F.lit(1).cast("bigint").alias("one")), "matrix-rows")
     placed = _before(rows, "entries").withColumn("indptr", F.col("before") + F.col("entries")).drop("before")
     return _before(placed, "one").select("category", F.col("before").alias("cell_idx"), "indptr")
 
