@@ -151,6 +151,36 @@ def test_chat_escapes(text, role):
     assert chat.read(chunk * 2) == [(role, text)] * 2
 
 
+def test_chat_examples(spark):
+    """The query's rows come from one example per assistant turn, each with all turns before it spelled out."""
+    big = 2**53 + 1
+    long = [(big, i, "assistant" if i % 2 else "user", f"{i} <turn \\ é" + "x" * 200) for i in range(300)]
+    rows = [*long, (big, 300, "user", "left"), (big, 301, "system", "over"), (None, 0, "user", "u"), (None, 1, "assistant", ""), (5, 0, "user", "alone"), (6, 0, "assistant", "a"), (6, 1, "assistant", "b")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    examples = chat.formatted(frame)
+    got = sorted(examples.collect(), key=lambda r: (r.conv_id or 0, r.example))
+
+    want = []
+    for conv in (None, 5, 6, big):
+        turns = [(r, x) for c, _, r, x in sorted((x for x in rows if x[0] == conv), key=lambda x: x[1])]
+        ends = [i for i, (r, _) in enumerate(turns) if r == "assistant" or i == len(turns) - 1]
+        want += [(conv, k, i, turns[: i + 1]) for k, i in enumerate(ends)]
+    assert [(r.conv_id, r.example, r.position) for r in got] == [w[:3] for w in want]
+    for r, (_, _, i, turns) in zip(got, want):
+        assert chat.read(r.context) == turns[:i] and chat.read(r.reply) == turns[i:]
+        assert r.trained == (turns[i][0] == "assistant") == (r.loss_start is not None)
+        if r.trained:
+            assert chat.unescape((r.context + r.reply)[r.loss_start : r.loss_end]) == turns[i][1]
+    assert sum(len(r.context) + len(r.reply) for r in got) > chat.BATCH_CHARS
+
+    read = {r.conv_id: r for r in chat.digests(examples).collect()}
+    assert set(read) == {None, 5, 6, big}
+    assert (read[big].n_turns, read[big].loss_chars) == (302, sum(len(x[3]) for x in long[1::2]))
+    for spoilt in (examples.withColumn("context", F.lit("")), examples.where("example <> 1")):
+        with pytest.raises(Exception, match="does not go on from the one before"):
+            chat.digests(spoilt).collect()
+
+
 # --- PII
 
 
