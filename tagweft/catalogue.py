@@ -13,7 +13,7 @@ from .operators import chemistry, chimera, matrix, molecules, nearest, scaffold,
 from .plans import run as plan
 from .sinks import fastq as fastq_sink
 from .sinks import tables
-from .sources import derived, fastq, lists
+from .sources import derived, fastq, lines, lists
 from .storage import new_path, stored
 
 LAYOUT = molecules.Layout(derived.CELL, derived.UMI, derived.FEATURE)
@@ -153,9 +153,8 @@ def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select("barcode", code.alias("code"), dna.decode(code, derived.FEATURE).alias("roundtrip"), dna.reverse_complement(F.col("barcode")).alias("rc"))
 
 
-def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read1, read2) as structs, with a name for each pair."""
-    rows = derived.reads(spark, sf_dir)
+def _records(rows: DataFrame) -> DataFrame:
+    """(read1, read2) of derived reads as structs, with a name for each pair."""
     name = F.concat_ws(":", F.col("read_key").cast("string"), F.col("line_no").cast("string"))
 
     def mate(n: int) -> Column:
@@ -168,25 +167,25 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fastq_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as pairs of gzip files, and read back by the data source."""
     folder = new_path(spark, "fastq")
-    fastq_sink.write_pairs(_records(spark, sf_dir), folder)
+    fastq_sink.write_pairs(_records(derived.reads(spark, sf_dir)), folder)
     return fastq.read_pairs(spark, folder).select("name1", "comment1", "read1", "qual1", "name2", "comment2", "read2", "qual2")
 
 
 def fastq_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As fastq_round_trip, read through Hadoop's file systems; counted by file, as their number depends on the cores."""
     folder = new_path(spark, "fastq")
-    fastq_sink.write_pairs(_records(spark, sf_dir), folder)
+    fastq_sink.write_pairs(_records(derived.reads(spark, sf_dir)), folder)
     got = fastq.pairs_of_lines(spark, folder)
     return got.groupBy(F.substring("read1", 1, 2).alias("start")).agg(F.count("*").alias("reads"), F.count_distinct("file_id", "ordinal").alias("places"), F.sum(F.length("read2")).alias("bases"))
 
 
 def bgzf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All first reads as one BGZF file, in order, read back as text."""
-    path = f"{new_path(spark, 'bgzf')}.gz"
-    rows = _records(spark, sf_dir).orderBy("read_key", "line_no").select(F.col("read1").alias("read"))
-    fastq_sink.write_bgzf(rows, path)
-    lines = lists.read_lines(spark, path)
-    return lines.groupBy((F.col("line_no") % 4).alias("line_of_record")).agg(F.count("*").alias("lines"), F.min("line").alias("least"), F.max("line").alias("most"), F.min_by("line", "line_no").alias("first"), F.max_by("line", "line_no").alias("last"))
+    path = f"{new_path(spark, 'bgzf')}.bgz"
+    rows = derived.reads(spark, sf_dir).orderBy("read_key", "line_no")
+    fastq_sink.write_bgzf(_records(rows).select(F.col("read1").alias("read")), path)
+    found = lines.bgzf_lines(spark, path)
+    return found.groupBy((F.col("line_no") % 4).alias("line_of_record")).agg(F.count("*").alias("lines"), F.min("line").alias("least"), F.max("line").alias("most"), F.min_by("line", "line_no").alias("first"), F.max_by("line", "line_no").alias("last"))
 
 
 def list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

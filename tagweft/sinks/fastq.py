@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import fastq_text
-from ..storage import release, remove, ship, stored
+from ..storage import new_path, release, remove, ship, stored
 
 BLOCK = 0xFF00
 #: Fixed value: the empty block that ends a BGZF file.
 LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+#: What each block begins with; two bytes of its size follow.
+BLOCK_HEAD = LAST_BLOCK[:16]
 
 
 def bgzf_block(data: bytes, level: int = 6) -> bytes:
@@ -30,14 +32,20 @@ def bgzf(chunks: Iterator[bytes], level: int = 6) -> Iterator[bytes]:
     rest = b""
     for chunk in chunks:
         rest += chunk
-        while len(rest) >= BLOCK:
-            yield bgzf_block(rest[:BLOCK], level)
-            rest = rest[BLOCK:]
+        whole = len(rest) - len(rest) % BLOCK
+        for at in range(0, whole, BLOCK):
+            yield bgzf_block(rest[at : at + BLOCK], level)
+        rest = rest[whole:]
     if rest:
         yield bgzf_block(rest, level)
     yield LAST_BLOCK
 
 
+def part_number(file) -> int:
+    """The task that wrote a file of Spark's writers."""
+    return int(file.getName().split("-")[1].split(".")[0])
+
+
 def write_gzip(reads: DataFrame, path: str, column: str = "read") -> None:
     """A column of read structs as gzip FASTQ, a file per task."""
     text = reads.select(F.rtrim(fastq_text(reads[column]), F.lit("\n")).alias("value"))  # the writer ends each row
@@ -86,16 +94,27 @@ def bgzf_parts(reads: DataFrame, column: str = "read") -> DataFrame:
 def write_bgzf(reads: DataFrame, path: str, column: str = "read") -> None:
     """All reads as one BGZF file, in the order of the rows' parts.
 
-    Tasks compress; the driver only copies their blocks, one at a time, to the file,
-    through Hadoop's file system.
+    Tasks compress and write: a row of their text files is a block without its fixed
+    head, and that head is the line separator, so it comes before the next block. The
+    driver's JVM only puts the files end to end, through Hadoop's file system.
     """
     spark = reads.sparkSession
-    blocks = stored(bgzf_parts(reads, column), "bgzf")
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    jvm, hadoop = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    folder, where = jvm.fs.Path(new_path(spark, "bgzf")), jvm.fs.Path(path)
+    tails = bgzf_parts(reads, column).select(F.expr(f"substring(data, {len(BLOCK_HEAD) + 1})").cast("string").alias("value"))
+    tails.write.options(lineSep=BLOCK_HEAD.decode("latin-1"), encoding="ISO-8859-1", compression="none").text(folder.toString())
+    system = folder.getFileSystem(hadoop)
+    files = [f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    out = where.getFileSystem(hadoop).create(where)
     try:
-        for row in blocks.orderBy("part", "block").select("data").toLocalIterator(prefetchPartitions=True):
-            out.write(bytes(row.data))
-        out.write(LAST_BLOCK)
+        out.write(BLOCK_HEAD)
+        for file in sorted(files, key=part_number):
+            part = system.open(file)
+            try:
+                jvm.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+        out.write(LAST_BLOCK[len(BLOCK_HEAD) :])
     finally:
         out.close()
+    remove(spark, folder.toString())

@@ -7,7 +7,7 @@ from tagweft.plans import cli
 from tagweft.plans import run as plan
 from tagweft.sinks import fastq as out
 from tagweft.sinks import tables
-from tagweft.sources import fastq, lists
+from tagweft.sources import fastq, lines, lists
 from tagweft.streaming import intake
 
 
@@ -115,6 +115,37 @@ def test_one_bgzf_file(spark, tmp_path):
         assert [r[0] for r in fastq.records(f)] == [f"r{i}" for i in range(2000)]
 
 
+@pytest.mark.parametrize("size", [70, 1000, 40000, 10**9])
+def test_lines_of_bgzf_by_split(spark, tmp_path, size):
+    texts = [b"".join(b"%d %s\n" % (i, b"x" * (i * 37 % 300)) for i in range(3000)), b"\n\na\n\n", b"", b"one", b"y" * 200_000 + b"\nlast", b"a\n" + b"z" * 70_000]
+    own = out.BLOCK if size > 10**6 else size
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 3000)
+    try:
+        for n, text in enumerate(t for t in texts if len(t) < 5000 * own):
+            path = tmp_path / f"{n}.bgz"
+            path.write_bytes(b"".join(out.bgzf_block(text[i : i + own]) for i in range(0, len(text), own)) + out.LAST_BLOCK)
+            got = lines.bgzf_lines(spark, str(path))
+            want = text.decode().split("\n")
+            assert sorted(map(tuple, got.collect())) == list(enumerate(want if want[-1] else want[:-1]))
+            if path.stat().st_size > 10_000:
+                assert got.rdd.getNumPartitions() > 2  # not one task for a file
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_damaged_bgzf(spark, tmp_path):
+    whole = out.bgzf_block(b"abc\n") + out.LAST_BLOCK
+    for n, bad in enumerate((b"junk" + whole, whole[:-5], whole[:20] + b"?" + whole[21:])):
+        (tmp_path / f"{n}.bgz").write_bytes(bad)
+        with pytest.raises(Exception, match="BGZF|zlib|decompress"):
+            lines.bgzf_lines(spark, str(tmp_path / f"{n}.bgz")).collect()
+
+
+def test_bgzf_file_of_no_reads(spark, tmp_path):
+    out.write_bgzf(spark.createDataFrame([], "read struct<name: string, comment: string, seq: string, qual: string>"), str(tmp_path / "none.bgz"))
+    assert (tmp_path / "none.bgz").read_bytes() == out.LAST_BLOCK and lines.bgzf_lines(spark, str(tmp_path / "none.bgz")).count() == 0
+
+
 def test_written_pairs(spark, tmp_path):
     kind = "struct<name: string, comment: string, seq: string, qual: string>"
     rows = [((f"r{i}", "1", "ACGT", "IIII"), (f"r{i}", "2", "T" * (i % 5 + 1), "")) for i in range(500)]

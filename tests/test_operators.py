@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweft.operators import chemistry, chimera, components, matrix, molecules, nearest, scaffold, umi
+from tagweft.sources import derived
 
 KEYS = "category string, cell_id int, feature_id int, umi string, reads long"
 
@@ -19,6 +20,12 @@ def matches(spark, barcodes, limit, queries):
     return {r.barcode: r.id for r in got.collect()}
 
 
+def test_tags_looked_up_are_those_made(spark):
+    rows = spark.createDataFrame([(n,) for n in (*range(50), -1, -7, 10**12, None)], "n long")
+    got = rows.select(derived._numbered_tag("cell", F.col("n"), 32, 16).alias("a"), derived._tag("cell", F.col("n") % 32, 16).alias("b"))
+    assert got.where("not (a <=> b)").count() == 0 and got.where("a is null").count() == 1
+
+
 def test_nearest_fixed_cases(spark):
     assert matches(spark, ["AAAA", "CCCC"], 1, ["AAAA", "ANAA", "CCCT", "AACC", "AAA"]) == {"AAAA": 0, "ANAA": 0, "CCCT": 1}
     assert matches(spark, ["AAAA", "AACC"], 1, ["AAAC"]) == {}
