@@ -173,6 +173,32 @@ def test_batches_and_records_agree():
             assert got == list(fastq.records(iter(text.splitlines(True))))
 
 
+def test_array_batches_and_records_agree(tmp_path):
+    plain = "".join(record(f"r{i}" + " c" * (i % 3), "ACGT"[: i % 4 + 1]) for i in range(40))
+    odd = ["@a\tb c\n AC \n+x\nII\n", "@ c\nAC\n+\nII\n", ">f\nAC\nGG\n", "@a\nAC\nGT\n+\nII\nII\n", "@é c\nAC\n+\nII\n", "\n", "@a c\r\nAC\r\n+\r\nII\r\n", record("a", "ACGT", "@III"), ""]
+    for text in (plain, "", *(plain + o + plain for o in odd), *odd, "@ c\nAC\n+\nII"):
+        (tmp_path / "t").write_text(text, newline="")
+        for size in (1, 3, 100):
+            with open(tmp_path / "t") as f:
+                got = [r for b in fastq.array_batches(fastq.file_arrays(f), size) for r in zip(*(x.to_pylist() for x in b))]
+            with open(tmp_path / "t") as f:
+                assert got == list(fastq.records(f))
+
+
+def test_mates_meet_by_chunk(spark, tmp_path):
+    n = 2 * fastq.BATCH + 5
+    for k in "ab":
+        for mate in "12":
+            write(tmp_path / f"{k}_R{mate}_001.fastq.gz", "".join(record(f"{k}{i}", "ACGT"[int(mate) :] * (i % 3 + 1)) for i in range(n)))
+    where = f"file://{tmp_path}"
+    assert fastq._chunks(spark, [f"{where}/{k}_R1_001.fastq.gz" for k in "ab"], "1").count() == 6  # rows that are sorted and shuffled
+    names = ["file_id", "ordinal", "name1", "name2", "read1", "read2", "qual2", "comment1"]
+    want = [(f, i, f"{k}{i}", f"{k}{i}", "CGT" * (i % 3 + 1), "GT" * (i % 3 + 1), "II" * (i % 3 + 1), "c") for f, k in enumerate("ab") for i in range(n)]
+    for place in (where, str(tmp_path)):
+        assert sorted(map(tuple, fastq.read_pairs(spark, place).select(names).collect())) == want
+        assert sorted(map(tuple, fastq.read_pairs(spark, place, n + 9000).select(names).collect())) == want[: n + 9000]
+
+
 def test_stream(spark, tmp_path):
     layout = molecules.Layout(4, 4, 4)
     cells = spark.createDataFrame([(0, "AAAA", "one")], "id int, barcode string, name string")
