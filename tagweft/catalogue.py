@@ -181,7 +181,7 @@ def fastq_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bgzf_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All first reads as one BGZF file, in order, read back as text."""
-    path = f"{new_path(spark, 'bgzf')}.bgz"
+    path = f"{new_path(spark, 'bgzf')}/reads.bgz"
     rows = derived.reads(spark, sf_dir).orderBy("read_key", "line_no")
     fastq_sink.write_bgzf(_records(rows).select(F.col("read1").alias("read")), path)
     found = lines.bgzf_lines(spark, path)

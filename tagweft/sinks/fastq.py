@@ -6,13 +6,14 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import fastq_text
-from ..storage import new_path, release, remove, ship, stored
+from ..storage import new_path, remove, ship
 
 BLOCK = 0xFF00
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 #: Fixed value: the empty block that ends a BGZF file.
 LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 #: What each block begins with; two bytes of its size follow.
@@ -46,31 +47,42 @@ def part_number(file) -> int:
     return int(file.getName().split("-")[1].split(".")[0])
 
 
+def _line(read: Column) -> Column:
+    """A record without its last line end, as the writer ends each row."""
+    return F.rtrim(fastq_text(read), F.lit("\n"))
+
+
 def write_gzip(reads: DataFrame, path: str, column: str = "read") -> None:
     """A column of read structs as gzip FASTQ, a file per task."""
-    text = reads.select(F.rtrim(fastq_text(reads[column]), F.lit("\n")).alias("value"))  # the writer ends each row
+    text = reads.select(_line(reads[column]).alias("value"))
     text.write.mode("overwrite").option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
 def write_pairs(reads: DataFrame, folder: str, sample: str = "reads") -> None:
     """Mates (structs ``read1`` and ``read2``) as pairs of gzip files that :mod:`tagweft.sources.fastq` finds, one pair a task.
 
-    The rows are stored first, so that both mates' files are written from the same
-    parts in the same order; files get their names through Hadoop's file system.
+    A task writes both mates' files of its rows side by side, so they have one order and
+    no row is stored or made twice. Spark sorts by mate once a task has as many writers
+    as it is allowed, so it is allowed three for two. Files get their names through Hadoop's file system.
     """
     spark = reads.sparkSession
-    rows = stored(reads.select("read1", "read2"), "fastq-pairs")
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = place(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    both = reads.select(F.inline(F.array(*(F.struct(F.lit(mate).alias("mate"), _line(reads[f"read{mate}"]).alias("value")) for mate in "12"))))
+    own, halves = spark.conf.get(WRITERS, None), f"{folder}/_mates"
+    spark.conf.set(WRITERS, "3")
+    try:
+        both.write.partitionBy("mate").mode("overwrite").option("compression", "gzip").option("lineSep", "\n").text(halves)
+    finally:
+        spark.conf.set(WRITERS, own) if own is not None else spark.conf.unset(WRITERS)
     for mate in "12":
-        half = f"{folder}/_mate{mate}"
-        write_gzip(rows, half, f"read{mate}")
+        half = f"{halves}/mate={mate}"
+        if not system.exists(place(half)):  # no rows: a pair of empty files
+            write_gzip(reads.limit(0), half, f"read{mate}")
         for file in system.listStatus(place(half)):
-            name = file.getPath().getName()
-            if name.startswith("part-"):
-                system.rename(file.getPath(), place(f"{folder}/{sample}_{name[5:10]}_R{mate}_001.fastq.gz"))
-        remove(spark, half)
-    release(rows)
+            if file.getPath().getName().startswith("part-"):
+                system.rename(file.getPath(), place(f"{folder}/{sample}_{part_number(file.getPath()):05d}_R{mate}_001.fastq.gz"))
+    remove(spark, halves)
 
 
 def bgzf_parts(reads: DataFrame, column: str = "read") -> DataFrame:

@@ -199,6 +199,20 @@ def test_mates_meet_by_chunk(spark, tmp_path):
         assert sorted(map(tuple, fastq.read_pairs(spark, place, n + 9000).select(names).collect())) == want[: n + 9000]
 
 
+def test_pairs_keep_their_rows_order(spark, tmp_path):
+    kind = "struct<name: string, comment: string, seq: string, qual: string>"
+    read = "struct(string(id) AS name, '' AS comment, 'ACGT' AS seq, 'IIII' AS qual)"
+    rows = spark.range(20000, numPartitions=2).selectExpr(f"{read} AS read1", f"{read} AS read2")
+    before = spark.conf.get(out.WRITERS)
+    out.write_pairs(rows, str(tmp_path / "x"))
+    out.write_pairs(spark.createDataFrame([], f"read1 {kind}, read2 {kind}"), str(tmp_path / "none"))
+    assert spark.conf.get(out.WRITERS) == before and fastq.read_pairs(spark, str(tmp_path / "none")).count() == 0
+    for part in "01":
+        for mate in "12":
+            with gzip.open(tmp_path / f"x/reads_0000{part}_R{mate}_001.fastq.gz", "rt") as f:
+                assert [int(r[0]) for r in fastq.records(f)] == list(range(int(part) * 10000, int(part) * 10000 + 10000))
+
+
 def test_stream(spark, tmp_path):
     layout = molecules.Layout(4, 4, 4)
     cells = spark.createDataFrame([(0, "AAAA", "one")], "id int, barcode string, name string")
